@@ -1 +1,33 @@
+"""Registered queries over the test tables."""
 
+from __future__ import annotations
+
+import importlib
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .bindings import ORACLES, QUERIES
+
+_MODULES = ("chunk_queries", "retrieval_queries", "maintain_queries")
+
+
+def load():
+    for name in _MODULES:
+        importlib.import_module(f"{__name__}.{name}")
+    return QUERIES
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents are chunked, indexed and searched with every benchmark clause; hits carry their citation."""
+    from ..operators.chunking import outline_chunks
+    from ..operators.fusion import cite
+    from ..operators.lexical import bm25_topk
+    from .bindings import clauses, outlined, registry
+
+    reg = registry(spark, sf)
+    chunks = outline_chunks(outlined(spark, sf)).join(reg.select("document_id", "status"), "document_id", "left")
+    hits = bm25_topk(clauses(spark, sf), chunks, 5)
+    return cite(hits, chunks.drop("status"), reg).select(
+        "query_id", "rank", "chunk_id", "bm25_score", "document_id", "document_title", "document_url", "section",
+        "paragraph_anchor", "page", "status", "text",
+    )
