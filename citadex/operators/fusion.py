@@ -80,7 +80,7 @@ def cite(hits: DataFrame, chunks: DataFrame, registry: DataFrame) -> DataFrame:
 
 def clamp_limit(value: Column, default: int = DEFAULT_LIMIT) -> Column:
     """Whole number in [1, 50]; anything unreadable is the default."""
-    number = F.coalesce(value.cast("string").try_cast("double").try_cast("bigint"), F.lit(default))
+    number = F.coalesce(value.try_cast("bigint"), F.lit(default))
     return F.least(F.greatest(number, F.lit(1)), F.lit(MAX_LIMIT))
 
 

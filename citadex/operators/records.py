@@ -113,8 +113,8 @@ def circular_rows(pages: DataFrame, profile: SiteProfile = REGULATOR) -> DataFra
         .filter((F.size("hits") == 1) & (F.size("cells") >= 4))
         .select(
             "page_id", "url", "row_no",
-            F.col("hits")[0]["href"].alias("href"),
-            F.col("cells")[1].alias("ref_no"), F.col("cells")[2].alias("c2"), F.col("cells")[3].alias("c3"),
+            F.get("hits", F.lit(0))["href"].alias("href"),
+            F.get("cells", F.lit(1)).alias("ref_no"), F.get("cells", F.lit(2)).alias("c2"), F.get("cells", F.lit(3)).alias("c3"),
         )
         .withColumn("swapped", title_date(F.col("c2")) & ~title_date(F.col("c3")))
         .select(
@@ -188,9 +188,9 @@ def press_release_rows(pages: DataFrame, profile: SiteProfile = REGULATOR, min_c
     """Rows with exactly one press-release link; navigation rows hold many."""
     rows = table_rows(pages).withColumn("hits", F.filter("links", lambda a: a["href"].rlike(profile.press_release_url)))
     one = rows.filter(F.size("hits") == 1).select(
-        "page_id", "row_no", extract(F.col("hits")[0]["href"], profile.press_release_url).alias("prid"),
-        F.col("hits")[0]["label"].alias("title"),
-        canonicalize_url(resolve_url(F.col("url"), F.col("hits")[0]["href"]), profile).alias("detail_url"),
+        "page_id", "row_no", extract(F.get("hits", F.lit(0))["href"], profile.press_release_url).alias("prid"),
+        F.get("hits", F.lit(0))["label"].alias("title"),
+        canonicalize_url(resolve_url(F.col("url"), F.get("hits", F.lit(0))["href"]), profile).alias("detail_url"),
     )
     return first_by_id(one, "prid", ("page_id", "row_no"), F.length("title") >= min_chars)
 
@@ -230,7 +230,7 @@ def master_circular_rows(pages: DataFrame, profile: SiteProfile = REGULATOR, min
     rows = table_rows(pages).withColumn("pdfs", F.filter("links", lambda a: is_attachment(a["href"], profile)))
     found = rows.filter(F.size("pdfs") == 1).select(
         "page_id", "row_no",
-        canonicalize_url(resolve_url(F.col("url"), F.col("pdfs")[0]["href"]), profile, force_https=True).alias("pdf_url"),
+        canonicalize_url(resolve_url(F.col("url"), F.get("pdfs", F.lit(0))["href"]), profile, force_https=True).alias("pdf_url"),
         strip_size_suffix(clean_text(H.text_of(F.col("row")))).alias("title"),
         F.col("url").alias("detail_url"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bindings import ORACLES, QUERIES
 
-_MODULES = ("chunk_queries", "retrieval_queries", "maintain_queries")
+_MODULES = ("chunk_queries", "retrieval_queries", "maintain_queries", "record_queries", "report_queries")
 
 
 def load():

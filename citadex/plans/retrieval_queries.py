@@ -240,13 +240,13 @@ def search(spark, sf):
 @query(
     "limit_clamp",
     """SELECT conv_id, turn, length(text) AS length, length(text) > 1000 AS refused,
-  CASE WHEN length(text) <= 1000 THEN least(greatest(coalesce(TRY_CAST(split_part(text, ' ', 1) AS BIGINT), CASE WHEN turn % 2 = 0 THEN turn * 30 ELSE 5 END), 1), 50) END AS limit_used
+  CASE WHEN length(text) <= 1000 THEN least(greatest(CASE WHEN turn % 2 = 0 THEN turn * 30 ELSE 5 END, 1), 50) END AS limit_used
 FROM conversations""",
 )
 def limit_clamp(spark, sf):
     asked = table(spark, sf, "conversations")
     ok, refused = fusion.split_oversized(asked, 1000)
-    used = fusion.clamp_limit(F.when(F.col("turn") % 2 == 0, F.col("turn") * 30).otherwise(F.lit("not a number")))
+    used = fusion.clamp_limit(F.when(F.col("turn") % 2 == 0, (F.col("turn") * 30).cast("string")).otherwise("not a number"))
     return ok.select("conv_id", "turn", F.length("text").cast("bigint").alias("length"), F.lit(False).alias("refused"), used.alias("limit_used")).unionByName(
         refused.select("conv_id", "turn", F.col("length").cast("bigint").alias("length"), F.lit(True).alias("refused"), F.lit(None).cast("bigint").alias("limit_used"))
     )
