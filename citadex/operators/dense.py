@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import QUERY_INSTRUCTION, Encoder, best_k, l2, list_column, matrix, normalise
-from ..sizes import fits
 from .lexical import top_k
 
 #: Query rows that may be held by the driver and each worker (about 3 MB per thousand at 768 dimensions).
@@ -93,8 +92,9 @@ def knn_topk(
     queries = queries.select(
         "query_id", "embedding", wanted.cast("string").alias("wanted"), F.coalesce(any_status, F.lit(False)).alias("any")
     )
-    if fits(queries, query_rows):
-        partial = _knn_broadcast(vectors, queries, k)
+    held = queries.limit(query_rows + 1).toArrow()
+    if held.num_rows <= query_rows:
+        partial = _knn_broadcast(vectors, queries, held, k)
     else:
         partial = _knn_blocks(vectors, queries, k)
     return top_k(partial, k, F.col("vec_distance"), F.col("chunk_id"))
@@ -124,9 +124,9 @@ def _vector_side(columns) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     )
 
 
-def _knn_broadcast(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def _knn_broadcast(vectors: DataFrame, queries: DataFrame, held: pa.Table, k: int) -> DataFrame:
     """Queries of checked size go to every task; vectors stay where they are."""
-    payload = vectors.sparkSession.sparkContext.broadcast(_query_side(queries.toArrow()))
+    payload = vectors.sparkSession.sparkContext.broadcast(_query_side(held))
     schema = _schema(vectors, queries)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import strip, word_tokens
 from ..sizes import BROADCAST_ROWS, broadcast_if, fits
 from .dense import knn_topk
-from .lexical import bm25_topk, topic_filter
+from .lexical import TextIndex, bm25_topk, topic_filter
 
 PER_SIDE = 30
 RRF_K = 60
@@ -45,14 +45,16 @@ def hybrid_search(
     query_vectors: DataFrame,
     limit: int = DEFAULT_LIMIT,
     per_side: int = PER_SIDE,
-    index=None,
+    index: TextIndex | None = None,
+    small: bool | None = None,
 ) -> DataFrame:
     """Keyword top-30 and vector top-30 per query, fused; the first ``limit`` (or the query's own limit) stay.
 
-    ``vectors`` has chunk_id, embedding, md_id, status; ``query_vectors`` has query_id, embedding.
+    ``vectors`` has chunk_id, embedding, md_id, status; ``query_vectors`` has query_id, embedding. ``small`` tells
+    that the number of queries has been checked already.
     """
     carry = [c for c in ("filter_md_id", "include_withdrawn") if c in queries.columns]
-    sparse = bm25_topk(queries, chunks, per_side, index=index)
+    sparse = bm25_topk(queries, chunks, per_side, index=index, small=small)
     asked = queries.select("query_id", *carry).join(query_vectors.select("query_id", "embedding"), "query_id")
     dense = knn_topk(vectors, asked, per_side, include_withdrawn=False)
     fused = rrf_fuse(sparse, dense)
@@ -61,9 +63,16 @@ def hybrid_search(
     return fused.filter(F.col("rank") <= limit)
 
 
-def cite(hits: DataFrame, chunks: DataFrame, registry: DataFrame) -> DataFrame:
-    """Add citation columns after the ranking, so wide text is read for the hits only."""
-    small = fits(hits, BROADCAST_ROWS)
+def few_queries(queries: DataFrame) -> bool:
+    """Are there so few queries that even fifty hits for each of them may be broadcast?"""
+    return fits(queries, BROADCAST_ROWS // MAX_LIMIT)
+
+
+def cite(hits: DataFrame, chunks: DataFrame, registry: DataFrame, small: bool) -> DataFrame:
+    """Add citation columns after the ranking, so wide text is read for the hits only.
+
+    ``small`` says that the hits come from :func:`few_queries`; they are then broadcast to the chunk scan.
+    """
     hits = broadcast_if(small, hits)
     columns = ["document_id", "ref_no", "section", "paragraph_anchor", "page", "text", "pdf_url"]
     present = [c for c in columns if c in chunks.columns]
@@ -93,12 +102,11 @@ def split_oversized(inputs: DataFrame, max_chars: int = MAX_INPUT_CHARS, col: st
     return inputs.filter(length <= max_chars), rejected
 
 
-def confidence(hits: DataFrame, queries: DataFrame) -> DataFrame:
+def confidence(hits: DataFrame, queries: DataFrame, small: bool) -> DataFrame:
     """One row per query with low_confidence; ``queries`` has query_id and retrieval (NULL: nothing was searched)."""
     top = hits.filter(F.col("rank") == 1).select(
         "query_id", "fusion_score", "sparse_rank", "dense_rank", "bm25_score", F.lit(True).alias("answered")
     )
-    small = fits(queries, BROADCAST_ROWS)
     agree = F.col("sparse_rank").isNotNull() & F.col("dense_rank").isNotNull()
     low = (
         F.when(F.col("answered").isNull(), True)
@@ -139,18 +147,20 @@ def check_compliance(
     query_vectors: DataFrame,
     aliases: DataFrame,
     limit: int = DEFAULT_LIMIT,
-    index=None,
+    index: TextIndex | None = None,
+    small: bool | None = None,
 ) -> DataFrame:
     """Clauses (query_id, text, topic_hint) to ranked provisions with citation, status and confidence.
 
     Every clause yields at least one row; a clause without provisions has a NULL rank.
     """
+    small = few_queries(queries) if small is None else small
     prepared = topic_filter(_prepare(queries, query_vectors), aliases)
     searched = prepared.filter(F.col("retrieval").isNotNull())
     carry = ["filter_md_id"] + (["limit"] if "limit" in queries.columns else [])
-    hits = hybrid_search(searched.select("query_id", "text", *carry), chunks, vectors, query_vectors, limit, index=index)
-    flags = confidence(hits, prepared)
-    provisions = cite(hits, chunks, registry).withColumnRenamed("text", "quoted_text")
+    hits = hybrid_search(searched.select("query_id", "text", *carry), chunks, vectors, query_vectors, limit, index=index, small=small)
+    flags = confidence(hits, prepared, small)
+    provisions = cite(hits, chunks, registry, small).withColumnRenamed("text", "quoted_text")
     report = flags.select(
         "query_id", "topic_hint", "retrieval", "low_confidence", "message", F.substring("text", 1, 120).alias("input_text_preview")
     )
@@ -167,16 +177,18 @@ def search(
     query_vectors: DataFrame,
     aliases: DataFrame,
     limit: int = DEFAULT_LIMIT,
-    index=None,
+    index: TextIndex | None = None,
+    small: bool | None = None,
 ) -> DataFrame:
     """Queries (query_id, text, topic, include_withdrawn, regulated_entity, as_of_date) to ranked results.
 
     The last two filters are accepted but not applied; filter_warning names them when given.
     """
+    small = few_queries(queries) if small is None else small
     prepared = topic_filter(_prepare(queries, query_vectors), aliases, "topic")
     searched = prepared.filter(F.col("retrieval").isNotNull())
     hits = hybrid_search(
-        searched.select("query_id", "text", "filter_md_id", "include_withdrawn"), chunks, vectors, query_vectors, limit, index=index
+        searched.select("query_id", "text", "filter_md_id", "include_withdrawn"), chunks, vectors, query_vectors, limit, index=index, small=small
     )
     given = lambda c: F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.lit(c))
     ignored = F.array_compact(F.array(given("regulated_entity"), given("as_of_date")))
@@ -184,4 +196,4 @@ def search(
         "query_id", F.col("text").alias("query"), "retrieval", "message",
         F.when(F.size(ignored) > 0, F.array_join(ignored, ", ")).alias("filter_warning"),
     )
-    return report.join(cite(hits, chunks, registry), "query_id", "left")
+    return report.join(cite(hits, chunks, registry, small), "query_id", "left")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stem import stem_vocabulary
 from ..functions.text import index_tokens, word_tokens
-from ..sizes import BROADCAST_ROWS, broadcast_if, fits
+from ..sizes import BROADCAST_ROWS, fits
 
 MAX_QUERY_TERMS = 32
 K1 = 1.2
@@ -145,8 +145,9 @@ class Prepared:
     small: bool
 
 
-def prepare_queries(queries: DataFrame, carry: tuple[str, ...] = ()) -> Prepared:
-    small = fits(queries, BROADCAST_ROWS // MAX_QUERY_TERMS)
+def prepare_queries(queries: DataFrame, carry: tuple[str, ...] = (), small: bool | None = None) -> Prepared:
+    if small is None:
+        small = fits(queries, BROADCAST_ROWS // MAX_QUERY_TERMS)
     return Prepared(query_terms(queries, carry), small)
 
 
@@ -156,6 +157,7 @@ def bm25_topk(
     k: int = 5,
     include_withdrawn: bool = False,
     index: TextIndex | None = None,
+    small: bool | None = None,
 ) -> DataFrame:
     """(query_id, chunk_id, bm25_score, rank) for queries (query_id, text).
 
@@ -164,7 +166,7 @@ def bm25_topk(
     the statistics.
     """
     carry = tuple(c for c in ("filter_md_id", "include_withdrawn") if c in queries.columns)
-    prepared = prepare_queries(queries, carry)
+    prepared = prepare_queries(queries, carry, small)
     if index is None:
         # Only a flag and the record id travel with the postings, never the text.
         slim = chunks.select(
@@ -196,6 +198,7 @@ def load_index(spark, folder: str, carry: tuple[str, ...] = ("md_id", "is_curren
 
 def topic_filter(queries: DataFrame, aliases: DataFrame, hint_col: str = "topic_hint") -> DataFrame:
     """Add filter_md_id from a table (alias, md_id); unknown and ambiguous hints give NULL, that is no filter."""
-    small = fits(aliases, BROADCAST_ROWS)
-    table = broadcast_if(small, aliases.select(F.col("alias").alias("_alias"), F.col("md_id").alias("filter_md_id")))
+    asked = queries.select(F.lower(F.col(hint_col)).alias("_alias")).filter("_alias IS NOT NULL").distinct()
+    # Only the aliases in use, so that Spark can tell at run time whether they are few enough to broadcast.
+    table = aliases.select(F.col("alias").alias("_alias"), F.col("md_id").alias("filter_md_id")).join(asked, "_alias", "left_semi")
     return queries.join(table, F.lower(F.col(hint_col)) == F.col("_alias"), "left").drop("_alias")

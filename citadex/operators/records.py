@@ -63,10 +63,22 @@ def primary_attachment(pages: DataFrame, profile: SiteProfile = REGULATOR, prefe
 
 
 def table_rows(pages: DataFrame) -> DataFrame:
-    """(page_id, url, row_no, row, cells, links): every table row with cell texts and anchors."""
-    return pages.select("page_id", "url", F.posexplode(H.table_rows(F.col("html"))).alias("row_no", "row")).select(
-        "page_id", "url", "row_no", "row", H.cell_texts(F.col("row")).alias("cells"), H.anchors(F.col("row")).alias("links")
+    """(page_id, url, row_no, row, text, cells, links): every table row with its text, cell texts and anchors.
+
+    Rows are parsed inside the generator, so that later filters work on finished columns.
+    """
+    parsed = F.transform(
+        H.table_rows(F.col("html")),
+        lambda row: F.struct(
+            row.alias("row"), clean_text(H.text_of(row)).alias("text"), H.cell_texts(row).alias("cells"), H.anchors(row).alias("links")
+        ),
     )
+    return pages.select("page_id", "url", F.posexplode(parsed).alias("row_no", "r")).select("page_id", "url", "row_no", "r.*")
+
+
+def _once(df: DataFrame, *columns: Column | str) -> DataFrame:
+    """Select ``columns`` through a one-row generator: filters that follow do not evaluate them again."""
+    return df.select(F.inline(F.array(F.struct(*columns))))
 
 
 def is_ref_like(text: Column) -> Column:
@@ -108,21 +120,21 @@ def circular_rows(pages: DataFrame, profile: SiteProfile = REGULATOR) -> DataFra
     rows = table_rows(pages)
     page_name = F.filter("links", lambda a: a["href"].rlike(profile.notification_url))
     title_date = lambda t: D.parse_date(t, D.CIRCULAR_FORMS).isNotNull() & (F.length(t) < 30)
+    candidates = rows.withColumn("hits", page_name).filter((F.size("hits") == 1) & (F.size("cells") >= 4))
     picked = (
-        rows.withColumn("hits", page_name)
-        .filter((F.size("hits") == 1) & (F.size("cells") >= 4))
-        .select(
+        candidates.select(
             "page_id", "url", "row_no",
             F.get("hits", F.lit(0))["href"].alias("href"),
             F.get("cells", F.lit(1)).alias("ref_no"), F.get("cells", F.lit(2)).alias("c2"), F.get("cells", F.lit(3)).alias("c3"),
         )
         .withColumn("swapped", title_date(F.col("c2")) & ~title_date(F.col("c3")))
-        .select(
-            "page_id", "row_no", extract(F.col("href"), profile.notification_url).alias("notif_id"), "ref_no",
-            F.when(F.col("swapped"), F.col("c3")).otherwise(F.col("c2")).alias("title"),
-            canonicalize_url(resolve_url(F.col("url"), F.col("href")), profile).alias("detail_url"),
-            D.parse_date(F.when(F.col("swapped"), F.col("c2")).otherwise(F.col("c3")), D.CIRCULAR_FORMS).alias("issued_date"),
-        )
+    )
+    picked = _once(
+        picked,
+        "page_id", "row_no", extract(F.col("href"), profile.notification_url).alias("notif_id"), "ref_no",
+        F.when(F.col("swapped"), F.col("c3")).otherwise(F.col("c2")).alias("title"),
+        canonicalize_url(resolve_url(F.col("url"), F.col("href")), profile).alias("detail_url"),
+        D.parse_date(F.when(F.col("swapped"), F.col("c2")).otherwise(F.col("c3")), D.CIRCULAR_FORMS).alias("issued_date"),
     )
     header = F.lower("ref_no").isin("circular number", "ref no.") | F.lower("title").isin("circular name/title", "subject")
     usable = F.col("notif_id").isNotNull() & (F.col("ref_no") != "") & (F.col("title") != "") & ~header
@@ -137,19 +149,19 @@ def withdrawn_rows(pages: DataFrame, profile: SiteProfile = REGULATOR) -> DataFr
     href = F.try_element_at(F.filter("links", is_link), F.lit(1))["href"]
     linked = F.transform(H.cell_html(F.col("row")), lambda c: F.exists(H.anchors(c), is_link))
     dates = D.issue_and_withdrawal(joined, F.col("cells"))
-    found = (
-        rows.filter(joined.rlike(r"(?U)\b(19|20)\d{2}\b"))
-        .withColumn("href", href)
-        .withColumn("original_ref", F.try_element_at(F.filter("cells", is_ref_like), F.lit(1)))
-        .withColumn("dates", dates)
-        .select(
-            "page_id", "row_no", "original_ref",
-            extract(F.col("href"), profile.notification_url).alias("original_id"),
-            pick_title(F.col("cells"), linked, F.col("original_ref")).alias("title"),
-            "dates.issued_date", "dates.withdrawn_date",
-            F.lit(None).cast("string").alias("replacement_ref"),
-            canonicalize_url(resolve_url(F.col("url"), F.col("href")), profile).alias("detail_url"),
-        )
+    marked = _once(
+        rows.filter(joined.rlike(r"(?U)\b(19|20)\d{2}\b")),
+        "page_id", "url", "row_no", "cells", href.alias("href"), linked.alias("linked"), dates.alias("dates"),
+        F.try_element_at(F.filter("cells", is_ref_like), F.lit(1)).alias("original_ref"),
+    )
+    found = _once(
+        marked,
+        "page_id", "row_no", "original_ref",
+        extract(F.col("href"), profile.notification_url).alias("original_id"),
+        pick_title(F.col("cells"), F.col("linked"), F.col("original_ref")).alias("title"),
+        F.col("dates.issued_date").alias("issued_date"), F.col("dates.withdrawn_date").alias("withdrawn_date"),
+        F.lit(None).cast("string").alias("replacement_ref"),
+        canonicalize_url(resolve_url(F.col("url"), F.col("href")), profile).alias("detail_url"),
     )
     key = F.when(F.col("original_id").isNotNull(), F.concat_ws("|", F.lit("id"), "original_id")).otherwise(
         F.concat_ws("|", F.lit("title_ref"), F.lower("title"), F.coalesce("original_ref", F.lit("")))
@@ -187,7 +199,8 @@ def row_date(title: Column, cells: Column) -> Column:
 def press_release_rows(pages: DataFrame, profile: SiteProfile = REGULATOR, min_chars: int = 5) -> DataFrame:
     """Rows with exactly one press-release link; navigation rows hold many."""
     rows = table_rows(pages).withColumn("hits", F.filter("links", lambda a: a["href"].rlike(profile.press_release_url)))
-    one = rows.filter(F.size("hits") == 1).select(
+    one = _once(
+        rows.filter(F.size("hits") == 1),
         "page_id", "row_no", extract(F.get("hits", F.lit(0))["href"], profile.press_release_url).alias("prid"),
         F.get("hits", F.lit(0))["label"].alias("title"),
         canonicalize_url(resolve_url(F.col("url"), F.get("hits", F.lit(0))["href"]), profile).alias("detail_url"),
@@ -198,7 +211,8 @@ def press_release_rows(pages: DataFrame, profile: SiteProfile = REGULATOR, min_c
 def faq_rows(pages: DataFrame, profile: SiteProfile = REGULATOR, min_chars: int = 5) -> DataFrame:
     """FAQ topics: a leading date is split off the label."""
     links = extract_links(pages, profile, profile.faq_item).withColumn("split", D.split_date_prefix(F.col("label")))
-    rows = links.select(
+    rows = _once(
+        links,
         "page_id", "pos", extract(F.col("href"), profile.faq_item).alias("faq_id"), "label",
         F.col("split.title").alias("title"), F.col("url").alias("detail_url"), F.col("split.date").alias("issued_date"),
     )
@@ -228,10 +242,11 @@ def is_noise(url: Column, label: Column, url_parts: Sequence[str] = NOISE_URL_PA
 def master_circular_rows(pages: DataFrame, profile: SiteProfile = REGULATOR, min_chars: int = 8) -> DataFrame:
     """Rows of category pages (page_id, url, html, department) with exactly one attachment and a real title."""
     rows = table_rows(pages).withColumn("pdfs", F.filter("links", lambda a: is_attachment(a["href"], profile)))
-    found = rows.filter(F.size("pdfs") == 1).select(
+    found = _once(
+        rows.filter(F.size("pdfs") == 1),
         "page_id", "row_no",
         canonicalize_url(resolve_url(F.col("url"), F.get("pdfs", F.lit(0))["href"]), profile, force_https=True).alias("pdf_url"),
-        strip_size_suffix(clean_text(H.text_of(F.col("row")))).alias("title"),
+        strip_size_suffix(F.col("text")).alias("title"),
         F.col("url").alias("detail_url"),
     )
     usable = (F.length("title") >= min_chars) & ~is_noise(F.col("pdf_url"), F.col("title"))

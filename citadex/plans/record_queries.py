@@ -199,11 +199,11 @@ def parse_reference(spark, sf):
 
 @query(
     "replacement_ref",
-    """SELECT doc_id, CASE WHEN lang = 'en' THEN 'REF/DEPT/2024-25/' || (doc_id + 1) END AS replacement FROM documents""",
+    """SELECT doc_id, CASE WHEN lang = 'en' THEN 'REF/DEPT/2024/' || (doc_id + 1) END AS replacement FROM documents""",
 )
 def replacement_ref(spark, sf):
-    own = F.concat(F.lit("REF/DEPT/2024-25/"), "doc_id")
-    other = F.when(F.col("lang") == "en", F.concat(F.lit(" replaced by: REF/DEPT/2024-25/"), (F.col("doc_id") + 1).cast("string"), F.lit(".")))
+    own = F.concat(F.lit("REF/DEPT/2024/"), "doc_id")
+    other = F.when(F.col("lang") == "en", F.concat(F.lit(" replaced by: REF/DEPT/2024/"), (F.col("doc_id") + 1).cast("string"), F.lit(".")))
     rows = table(spark, sf, "documents").withColumn("note", F.concat(F.lit("see: "), own, F.lit(";"), F.coalesce(other, F.lit(" none"))))
     return rows.select("doc_id", R.replacement_reference(F.col("note"), own, SAMPLE.inline_reference).alias("replacement"))
 

@@ -53,7 +53,8 @@ FROM (SELECT c.case_name, any_value(c.enabled) AS enabled, any_value(c.expected_
 def _report(spark, sf, cases):
     asked = cases.select(F.col("case_name").alias("query_id"), F.col("clause").alias("text"), "topic_hint")
     return fusion.check_compliance(
-        asked, chunks(spark, sf), registry(spark, sf), vectors(spark, sf), clause_vectors(spark, sf), aliases(spark, sf)
+        asked, chunks(spark, sf), registry(spark, sf), vectors(spark, sf), clause_vectors(spark, sf), aliases(spark, sf),
+        small=fusion.few_queries(clauses(spark, sf)),  # one case per clause
     )
 
 
@@ -210,14 +211,14 @@ def compare_n(spark, sf):
     return out.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in out.dtypes])
 
 
-STATS = """count(*) AS calls, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max,
+STATS = """count(*) AS calls, round(avg(value) + 1e-9, 6) AS mean, min(value) AS min, max(value) AS max,
   list_sort(list(value))[CAST(floor(count(*) * 0.95) AS BIGINT) + 1] AS p95"""
 
 
 @query("latency_stats", f"SELECT event_type AS tool, {STATS} FROM events GROUP BY 1")
 def latency_stats(spark, sf):
     calls = table(spark, sf, "events").withColumnRenamed("event_type", "tool")
-    return E.latency_stats(calls, ["tool"], "value").withColumn("mean", F.round("mean", 6))
+    return E.latency_stats(calls, ["tool"], "value").withColumn("mean", F.round(F.col("mean") + 1e-9, 6))
 
 
 # --- corpus quality -------------------------------------------------------------------------------------------
@@ -341,7 +342,7 @@ def calls(spark, sf):
 def tool_telemetry(spark, sf):
     out = Q.tool_telemetry(calls(spark, sf))
     return out.select(
-        F.date_format("window_start", "yyyy-MM-dd").alias("day"), "tool", "status", "calls", F.round("mean", 6).alias("mean"), "min", "max", "p95"
+        F.date_format("window_start", "yyyy-MM-dd").alias("day"), "tool", "status", "calls", F.round(F.col("mean") + 1e-9, 6).alias("mean"), "min", "max", "p95"
     )
 
 
@@ -408,7 +409,7 @@ def _collect_stream(spark, stream, name, mode="append"):
 cte(
     "ingest_bodies",
     r"""SELECT 'ns:' || source || ':' || doc_id AS key, 0 AS start, trim(array_to_string(list_filter(string_split(text, chr(10)),
-  lambda x: trim(x) <> '' AND NOT regexp_full_match(trim(x), '\d{1,3}')), chr(10)), ' ' || chr(9) || chr(10)) AS body FROM documents""".replace("\\\\d", "\\d"),
+  lambda x: trim(x) <> '' AND NOT regexp_full_match(trim(x), '\d{1,3}')), chr(10)), ' ' || chr(9) || chr(10)) AS body FROM documents""",
 )
 split_cte("ingest_parts", "SELECT * FROM ingest_bodies WHERE length(body) >= 80", "ingest_bodies")
 
