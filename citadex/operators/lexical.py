@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.stem import stem_vocabulary
@@ -48,14 +48,18 @@ def stemmed(terms: DataFrame, keys: tuple[str, ...], count_col: str) -> DataFram
 
 @dataclass
 class TextIndex:
-    postings: DataFrame  # chunk_id, carry.., dl, term, tf
-    term_stats: DataFrame  # term, df
-    corpus: DataFrame  # one row: chunks, avgdl
-    carry: tuple[str, ...]
-    clustered: bool  # postings are hash-partitioned by chunk_id
+    """``key`` is a struct of chunk_id and the carried columns; equal chunks have equal keys."""
+
+    postings: DataFrame  # key, dl, term, tf
+    stats: DataFrame  # term, df; two pseudo terms hold the number of chunks and their total length
     hot_terms: DataFrame | None = None  # term; only kept for an index over the whole vocabulary
 
 
+#: Pseudo terms of the statistics, never tokens: number of chunks and total length. One column for all keeps the
+#: plan of the statistics the same wherever they are used, so they are computed once.
+EVERY, LENGTH = "", "\u0001"
+
+
 def build_index(
     chunks: DataFrame,
     vocabulary: DataFrame | None = None,
@@ -64,31 +68,52 @@ def build_index(
 ) -> TextIndex:
     """Inverted index of chunks (chunk_id, text, carry..).
 
-    With ``vocabulary`` (a checked-small set of terms) everything else is dropped before the shuffle. The corpus
-    row always covers the whole table.
+    The one shuffle brings each chunk's text to its task; postings, statistics and scores all read it. With
+    ``vocabulary`` (a checked-small set of terms) all other terms are dropped as they are read; the chunk count and
+    the mean length always cover the whole table.
     """
     tokens = index_tokens(F.col("text"))
-    corpus = chunks.select(F.size(tokens).alias("dl")).agg(
-        F.count(F.lit(1)).alias("chunks"), F.avg("dl").alias("avgdl")
+    spread = chunks.select(F.struct("chunk_id", *carry).alias("key"), "text").repartition("key")
+    # The outer generator keeps Spark from testing the token list for emptiness first, which would tokenise twice.
+    exploded = (
+        spread.select("key", tokens.alias("tokens"))
+        .select("key", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term"))
+        .filter("term IS NOT NULL")
     )
-    exploded = chunks.select("chunk_id", *carry, tokens.alias("tokens")).select(
-        "chunk_id", *carry, F.size("tokens").alias("dl"), F.explode("tokens").alias("term")
+    pseudo = F.array(F.lit(EVERY), F.lit(LENGTH))
+    seen = spread.select(tokens.alias("tokens")).select(
+        F.size("tokens").alias("dl"), F.explode_outer(F.concat(pseudo, F.array_distinct("tokens"))).alias("term")
     )
     if vocabulary is not None:
-        exploded = exploded.join(F.broadcast(vocabulary.select("term").distinct()), "term", "left_semi")
-    postings = (
-        exploded.repartition("chunk_id")
-        .groupBy("chunk_id", *carry, "dl", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+        wanted = F.broadcast(vocabulary.select("term").distinct().withColumn("_wanted", F.lit(True)))
+        exploded = exploded.join(wanted, "term", "left_semi")
+        seen = seen.join(wanted, "term", "left").filter(F.col("term").isin(EVERY, LENGTH) | F.col("_wanted"))
+    postings = exploded.groupBy("key", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     if stem:
-        postings = stemmed(postings, ("chunk_id", *carry, "dl"), "tf")
-    stats = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    hot = None
-    if vocabulary is None:
-        total = stats.agg(F.sum("df").alias("n")).scalar()
-        hot = stats.filter(F.col("df") > total * F.lit(HOT_SHARE)).select("term")
-    return TextIndex(postings, stats, corpus, carry, clustered=not stem, hot_terms=hot)
+        postings = stemmed(postings, ("key", "dl"), "tf")
+        every = seen.filter(F.col("term").isin(EVERY, LENGTH))
+        seen = postings.select("dl", "term").unionByName(every.select("dl", "term"))
+    stats = term_stats(seen)
+    return TextIndex(postings, stats, hot_terms(stats) if vocabulary is None else None)
+
+
+def term_stats(seen: DataFrame) -> DataFrame:
+    """(term, df) from one row (dl, term) per chunk and distinct term, pseudo terms included."""
+    weight = F.when(F.col("term") == LENGTH, F.col("dl")).otherwise(1).cast("bigint")
+    return seen.groupBy("term").agg(F.sum(weight).alias("df"))
+
+
+def hot_terms(stats: DataFrame) -> DataFrame:
+    """Terms in more than their share of chunks; there are fewer than 1 / HOT_SHARE of them."""
+    real = ~F.col("term").isin(EVERY, LENGTH)
+    total = stats.agg(F.sum(F.when(real, F.col("df")))).scalar()
+    return stats.filter(real & (F.col("df") > total * F.lit(HOT_SHARE))).select("term")
+
+
+def corpus_row(stats: DataFrame) -> DataFrame:
+    """One row: chunks, avgdl."""
+    value = lambda term: F.max(F.when(F.col("term") == term, F.col("df")))
+    return stats.agg(value(EVERY).alias("chunks"), (value(LENGTH) / value(EVERY)).alias("avgdl"))
 
 
 def idf(df: Column, n: Column) -> Column:
@@ -96,38 +121,41 @@ def idf(df: Column, n: Column) -> Column:
     return F.when(raw <= 0, F.lit(MIN_IDF)).otherwise(raw)
 
 
-def _weighted_terms(index: TextIndex, terms: DataFrame, n: Column) -> DataFrame:
-    return terms.join(index.term_stats, "term").withColumn("weight", F.col("qtf") * idf(F.col("df"), n)).drop("qtf", "df")
-
-
 def bm25_scores(index: TextIndex, terms: DataFrame, small_query_side: bool, keep: Column | None = None) -> DataFrame:
     """(query_id, chunk_id, bm25_score): lower is better, statistics from the whole index.
 
-    ``keep`` is a predicate over the carried columns of chunk and query.
+    ``keep`` is a predicate over the columns of ``key`` and of the query. It acts on the summed score and not as a
+    filter on the postings, so that statistics and scores read one and the same shuffle.
     """
-    corpus = index.corpus.select(F.struct("chunks", "avgdl")).scalar()
-    query_side = _weighted_terms(index, terms, corpus["chunks"])
+    corpus = corpus_row(index.stats).select(F.struct("chunks", "avgdl")).scalar()
+    frequencies = index.stats.select(F.col("term").alias("_term"), "df")
+    # Null-safe on purpose: a plain equality would add a filter that sets these statistics apart from the corpus row's.
+    query_side = (
+        terms.join(frequencies, F.col("term").eqNullSafe(F.col("_term")))
+        .withColumn("weight", F.col("qtf") * idf(F.col("df"), corpus["chunks"]))
+        .drop("qtf", "df", "_term")
+    )
     if small_query_side:
         matched = index.postings.join(F.broadcast(query_side), "term")
     else:
         matched = _salted_match(index, query_side)
-    if keep is not None:
-        matched = matched.filter(keep)
     length = 1 - B + B * F.col("dl") / corpus["avgdl"]
     part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length)
-    scores = matched.withColumn("part", part).groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
-    return scores.select("query_id", "chunk_id", F.round(-F.col("score"), 6).alias("bm25_score"))
+    if keep is not None:
+        part = F.when(keep, part)
+    scores = matched.withColumn("part", part).groupBy("query_id", "key").agg(F.sum("part").alias("score"))
+    return scores.filter("score IS NOT NULL").select(
+        "query_id", F.col("key.chunk_id").alias("chunk_id"), F.round(-F.col("score"), 6).alias("bm25_score")
+    )
 
 
 def _salted_match(index: TextIndex, query_side: DataFrame) -> DataFrame:
     """Shuffle join on (term, salt): hot terms are spread, their query rows repeated once per salt."""
     hot = F.broadcast(index.hot_terms.withColumn("is_hot", F.lit(True)))
-    spread = F.when(F.col("is_hot"), F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS))).otherwise(F.lit(0))
-    left = index.postings.join(hot, "term", "left").withColumn("salt", spread.cast("long")).drop("is_hot")
+    spread = F.when(F.col("is_hot"), F.pmod(F.xxhash64("key"), F.lit(SALTS))).otherwise(F.lit(0))
+    left = index.postings.join(hot, "term", "left").withColumn("salt", spread.cast("int")).drop("is_hot")
     copies = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right = (
-        query_side.join(hot, "term", "left").withColumn("salt", F.explode(copies)).withColumn("salt", F.col("salt").cast("long")).drop("is_hot")
-    )
+    right = query_side.join(hot, "term", "left").withColumn("salt", F.explode(copies)).drop("is_hot")
     return left.join(right, ["term", "salt"]).drop("salt")
 
 
@@ -174,26 +202,46 @@ def bm25_topk(
         )
         index = build_index(slim, prepared.terms if prepared.small else None, ("md_id", "is_current"))
     any_status = F.col("include_withdrawn") if "include_withdrawn" in carry else F.lit(include_withdrawn)
-    keep = F.col("is_current") | F.coalesce(any_status, F.lit(False))
+    keep = F.col("key.is_current") | F.coalesce(any_status, F.lit(False))
     if "filter_md_id" in carry:
-        keep = keep & (F.col("filter_md_id").isNull() | (F.col("filter_md_id") == F.col("md_id")))
+        keep = keep & (F.col("filter_md_id").isNull() | (F.col("filter_md_id") == F.col("key.md_id")))
     scores = bm25_scores(index, prepared.terms, prepared.small, keep)
     return top_k(scores, k, F.col("bm25_score"), F.col("chunk_id"))
 
 
 def save_index(index: TextIndex, folder: str) -> None:
-    """Write an index as parquet; postings stay clustered by chunk."""
+    """Write an index as parquet, postings in chunk order."""
     index.postings.write.mode("errorifexists").parquet(f"{folder}/postings")
-    index.term_stats.write.mode("errorifexists").parquet(f"{folder}/term_stats")
-    index.corpus.write.mode("errorifexists").parquet(f"{folder}/corpus")
+    index.stats.write.mode("errorifexists").parquet(f"{folder}/stats")
 
 
-def load_index(spark, folder: str, carry: tuple[str, ...] = ("md_id", "is_current")) -> TextIndex:
-    postings = spark.read.parquet(f"{folder}/postings")
-    stats = spark.read.parquet(f"{folder}/term_stats")
-    total = stats.agg(F.sum("df").alias("n")).scalar()
-    hot = stats.filter(F.col("df") > total * F.lit(HOT_SHARE)).select("term")
-    return TextIndex(postings, stats, spark.read.parquet(f"{folder}/corpus"), carry, False, hot)
+def load_index(spark: SparkSession, folder: str) -> TextIndex:
+    """Read an index; postings are brought together by chunk, hot terms are found again from the statistics."""
+    stats = spark.read.parquet(f"{folder}/stats")
+    return TextIndex(spark.read.parquet(f"{folder}/postings").repartition("key"), stats, hot_terms(stats))
+
+
+def refresh_index(index: TextIndex, gone: DataFrame, fresh: TextIndex) -> TextIndex:
+    """Index after replacing chunks: those in ``gone`` (chunk_id) leave, those of ``fresh`` join.
+
+    Statistics are brought up to date from the difference alone; the kept postings are not counted again.
+    """
+    leaving = gone.select("chunk_id").distinct()
+    by_chunk = index.postings.withColumn("chunk_id", F.col("key.chunk_id"))
+    kept = by_chunk.join(leaving, "chunk_id", "left_anti").drop("chunk_id")
+    dropped = by_chunk.join(leaving, "chunk_id", "left_semi")
+    pseudo = F.explode(F.array(F.lit(EVERY), F.lit(LENGTH))).alias("term")
+    lengths = dropped.groupBy("key").agg(F.first("dl").alias("dl")).select("dl", pseudo)
+    lost = term_stats(dropped.select("dl", "term").unionByName(lengths))
+    minus = lost.select("term", (-F.col("df")).alias("df"))
+    stats = (
+        index.stats.unionByName(fresh.stats)
+        .unionByName(minus)
+        .groupBy("term")
+        .agg(F.sum("df").alias("df"))
+        .filter(F.col("df") > 0)
+    )
+    return TextIndex(kept.unionByName(fresh.postings), stats, hot_terms(stats))
 
 
 def topic_filter(queries: DataFrame, aliases: DataFrame, hint_col: str = "topic_hint") -> DataFrame:

@@ -60,9 +60,9 @@ FROM tfs t JOIN dls l USING (chunk_id) JOIN dfs d USING (term) CROSS JOIN corpus
 )
 def build_index(spark, sf):
     index = lexical.build_index(chunks(spark, sf))
-    corpus = index.corpus.select(F.struct("chunks", "avgdl")).scalar()
-    return index.postings.join(index.term_stats, "term").select(
-        "chunk_id", "term", "tf", *LONG("dl"), "df", corpus["chunks"].alias("chunks"), F.round(corpus["avgdl"], 6).alias("avgdl")
+    corpus = lexical.corpus_row(index.stats).select(F.struct("chunks", "avgdl")).scalar()
+    return index.postings.join(index.stats, "term").select(
+        F.col("key.chunk_id").alias("chunk_id"), "term", "tf", *LONG("dl"), "df", corpus["chunks"].alias("chunks"), F.round(corpus["avgdl"], 6).alias("avgdl")
     )
 
 

@@ -81,6 +81,18 @@ def test_saved_index_gives_same_ranking(spark, chunks, tmp_path):
     assert sorted(stored.collect()) == sorted(lexical.bm25_topk(q, chunks, 5).collect())
 
 
+def test_refreshed_index_equals_a_new_one(spark, chunks):
+    old = chunks.filter("chunk_id <> 'e'")
+    new = chunks.filter("chunk_id <> 'a'").withColumn("text", F.when(F.col("chunk_id") == "b", "kyc only").otherwise(F.col("text")))
+    fresh = lexical.build_index(new.filter("chunk_id IN ('b', 'e')"))
+    gone = spark.createDataFrame([("a",), ("b",)], "chunk_id string")
+    got, want = lexical.refresh_index(lexical.build_index(old), gone, fresh), lexical.build_index(new)
+    assert sorted(got.stats.collect()) == sorted(want.stats.collect())
+    assert sorted(map(str, got.postings.select("key.chunk_id", "dl", "term", "tf").collect())) == sorted(
+        map(str, want.postings.select("key.chunk_id", "dl", "term", "tf").collect())
+    )
+
+
 def test_stemming(spark):
     pairs = {
         "caresses": "caress", "ponies": "poni", "cats": "cat", "feed": "feed", "agreed": "agre", "plastered": "plaster",
