@@ -9,7 +9,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean_text, extract, extract_all, let, strip
+from .text import blank_to_null, clean_text, extract, extract_all, let, strip
 
 _BREAK = "\u0001"
 _TAG = r"(?s)<!--.*?-->|<[/!?A-Za-z][^>]*>"
@@ -35,13 +35,19 @@ def _code_point(entity: Column) -> Column:
 def unescape(c: Column) -> Column:
     """Replace character references; the ampersand goes last so nothing is decoded twice."""
     names = _named_entities()
-    found = F.array_distinct(extract_all(c, _ENTITY))
     is_amp = lambda e: e.isin("&amp;", "&#38;", "&#x26;", "&#X26;")
-    ordered = F.concat(F.filter(found, lambda e: ~is_amp(e)), F.filter(found, is_amp))
-    decoded = F.aggregate(
-        ordered, c, lambda acc, e: F.replace(acc, e, F.coalesce(F.try_element_at(names, e), _code_point(e), e))
-    )
-    return F.when(c.contains("&"), decoded).otherwise(c)
+
+    def decode(text: Column) -> Column:
+        found = F.array_distinct(extract_all(text, _ENTITY))
+        ordered = F.concat(F.filter(found, lambda e: ~is_amp(e)), F.filter(found, is_amp))
+        decoded = F.aggregate(
+            ordered,
+            text,
+            lambda acc, e: F.replace(acc, e, F.coalesce(F.try_element_at(names, e), _code_point(e), e)),
+        )
+        return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
+
+    return let(c, decode)
 
 
 def text_of(fragment: Column, joiner: str = " ") -> Column:
@@ -100,45 +106,53 @@ def element_text(html: Column, tag: str, joiner: str = " ") -> Column:
     return F.when(html.rlike(rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>"), clean_text(text_of(F.coalesce(inner, F.lit("")), joiner)))
 
 
+def _sized(text: Column, low: int, high: int, unwanted: Sequence[str] = ()) -> Column:
+    """``text`` when its length lies strictly between the bounds and it is none of the unwanted labels."""
+
+    def check(t: Column) -> Column:
+        good = (F.length(t) > low) & (F.length(t) < high)
+        return F.when(good & ~F.lower(t).isin(*unwanted) if unwanted else good, t)
+
+    return let(text, check)
+
+
 def page_title(html: Column, max_chars: int = 300) -> Column:
     """First heading (h1, else h2), else the title element, 5 < length < ``max_chars``."""
     heading = F.coalesce(element_text(html, "h1"), element_text(html, "h2"))
-    fits = lambda t: F.when((F.length(t) > 5) & (F.length(t) < max_chars), t)
-    return F.coalesce(fits(heading), fits(element_text(html, "title")))
+    return F.coalesce(_sized(heading, 5, max_chars), _sized(element_text(html, "title"), 5, max_chars))
 
 
 def topic_title(html: Column, generic: Sequence[str], max_chars: int = 250) -> Column:
     """As :func:`page_title` for FAQ pages: h1, h2, title in turn, generic labels skipped."""
-    parts = [element_text(html, tag, "") for tag in ("h1", "h2", "title")]
-    keep = lambda t: F.when(
-        (F.length(t) > 5) & (F.length(t) < max_chars) & ~F.lower(t).isin(*generic), t
-    )
-    return F.coalesce(*[keep(p) for p in parts])
+    return F.coalesce(*[_sized(element_text(html, tag, ""), 5, max_chars, generic) for tag in ("h1", "h2", "title")])
 
 
 def static_title(html: Column, default: str, max_chars: int = 300) -> Column:
     """h1, else title, cut at ``max_chars``; ``default`` when both are empty."""
-    parts = [extract(html, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>") for tag in ("h1", "title")]
-    texts = [text_of(p, "") for p in parts]
-    return F.coalesce(*[F.when(t != "", F.substring(t, 1, max_chars)) for t in texts], F.lit(default))
+    parts = [text_of(extract(html, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"), "") for tag in ("h1", "title")]
+    return F.coalesce(*[F.substring(blank_to_null(p), 1, max_chars) for p in parts], F.lit(default))
 
 
 def _opening(selector: str) -> str:
     """Pattern of the start tag a simple selector (#id, .class, tag) picks; group 1 is the tag name."""
     if selector.startswith("#"):
-        return rf"(?is)<([a-z][a-z0-9]*)\b[^>]*\bid\s*=\s*[\"']?{selector[1:]}[\"'\s>][^>]*>?"
+        return rf"(?s)<([A-Za-z][A-Za-z0-9]*)\b[^>]*\b(?i:id)\s*=\s*[\"']?{selector[1:]}[\"'\s>][^>]*>?"
     if selector.startswith("."):
-        return rf"(?is)<([a-z][a-z0-9]*)\b[^>]*\bclass\s*=\s*[\"']?(?:[^\"'>]*\s)?{selector[1:]}[\"'\s>][^>]*>?"
+        return rf"(?s)<([A-Za-z][A-Za-z0-9]*)\b[^>]*\b(?i:class)\s*=\s*[\"']?(?:[^\"'>]*\s)?{selector[1:]}[\"'\s>][^>]*>?"
     return rf"(?is)<({selector})\b[^>]*>"
 
 
 def container(html: Column, selector: str) -> Column:
     """Inner HTML of the first element the selector picks, nested same-name elements balanced."""
     opening = _opening(selector)
-    name = F.regexp_extract(html, opening, 1)
-    start = F.regexp_extract(html, opening, 0)
-    after = F.substring(html, F.position(start, html) + F.length(start), F.length(html))
-    return F.when(html.rlike(opening), _balanced(after, name))
+
+    def inside(start: Column) -> Column:
+        after = F.substring(html, F.position(start, html) + F.length(start), F.length(html))
+        return F.when(start != "", _balanced(after, F.regexp_extract(start, opening, 1)))
+
+    # A plain search for the name comes first: most pages have none of the containers.
+    named = F.contains(html, F.lit(selector.lstrip("#."))) if selector[0] in "#." else F.contains(F.lower(html), F.lit(f"<{selector}"))
+    return F.when(named, let(F.regexp_extract(html, opening, 0), inside))
 
 
 def _balanced(rest: Column, name: Column) -> Column:
@@ -173,7 +187,7 @@ def page_body(html: Column, selectors: Sequence[str], drop: Sequence[str], min_c
 
     def read(cleaned: Column) -> Column:
         options = [_prose(container(cleaned, s)) for s in selectors] + [_prose(cleaned)]
-        return F.coalesce(*[F.when(F.length(o) > min_chars, o) for o in options])
+        return F.coalesce(*[let(o, lambda x: F.when(F.length(x) > min_chars, x)) for o in options])
 
     return let(without(html, drop), read)
 

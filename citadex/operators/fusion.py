@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, word_tokens
+from ..session import settle
 from ..sizes import BROADCAST_ROWS, broadcast_if, fits
 from .dense import knn_topk
 from .lexical import TextIndex, bm25_topk, topic_filter
@@ -159,6 +160,7 @@ def check_compliance(
     searched = prepared.filter(F.col("retrieval").isNotNull())
     carry = ["filter_md_id"] + (["limit"] if "limit" in queries.columns else [])
     hits = hybrid_search(searched.select("query_id", "text", *carry), chunks, vectors, query_vectors, limit, index=index, small=small)
+    hits = settle(hits)  # ranked once, then used for the flags, the citations and the report
     flags = confidence(hits, prepared, small)
     provisions = cite(hits, chunks, registry, small).withColumnRenamed("text", "quoted_text")
     report = flags.select(
@@ -190,6 +192,7 @@ def search(
     hits = hybrid_search(
         searched.select("query_id", "text", "filter_md_id", "include_withdrawn"), chunks, vectors, query_vectors, limit, index=index, small=small
     )
+    hits = settle(hits)
     given = lambda c: F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.lit(c))
     ignored = F.array_compact(F.array(given("regulated_entity"), given("as_of_date")))
     report = prepared.select(

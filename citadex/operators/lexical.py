@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stem import stem_vocabulary
 from ..functions.text import index_tokens, word_tokens
+from ..session import settle
 from ..sizes import BROADCAST_ROWS, fits
 
 MAX_QUERY_TERMS = 32
@@ -176,7 +177,8 @@ class Prepared:
 def prepare_queries(queries: DataFrame, carry: tuple[str, ...] = (), small: bool | None = None) -> Prepared:
     if small is None:
         small = fits(queries, BROADCAST_ROWS // MAX_QUERY_TERMS)
-    return Prepared(query_terms(queries, carry), small)
+    terms = query_terms(queries, carry)
+    return Prepared(settle(terms) if small else terms, small)
 
 
 def bm25_topk(

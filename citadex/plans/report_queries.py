@@ -11,7 +11,7 @@ from ..operators import evaluate as E
 from ..operators import quality as Q
 from ..operators import fusion, lexical
 from ..schema import DOCUMENTS
-from ..session import STATE_STORE, shared_dir
+from ..session import STATE_STORE, settle, shared_dir
 from ..streaming import streams as S
 from .bindings import (
     aliases, chunks, clause_vectors, clauses, cte, labelled_cases, query, registry, split_cte, sql, table, vectors,
@@ -54,12 +54,11 @@ def _report(spark, sf, cases):
     asked = cases.select(F.col("case_name").alias("query_id"), F.col("clause").alias("text"), "topic_hint")
     return fusion.check_compliance(
         asked, chunks(spark, sf), registry(spark, sf), vectors(spark, sf), clause_vectors(spark, sf), aliases(spark, sf),
-        small=fusion.few_queries(clauses(spark, sf)),  # one case per clause
     )
 
 
 def _evaluated(spark, sf):
-    cases = labelled_cases(spark, sf)
+    cases = settle(labelled_cases(spark, sf))
     report = _report(spark, sf, cases)
     return cases, report, E.evaluate_cases(cases, report)
 

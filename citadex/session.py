@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -40,3 +40,12 @@ def shared_dir(spark: SparkSession) -> str:
         _local_dirs[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(_local_dirs[app])
     return _local_dirs[app]
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a small intermediate once, into the shared checkpoint folder, for use in several places."""
+    context = df.sparkSession.sparkContext
+    folder = shared_dir(df.sparkSession)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)
