@@ -94,8 +94,11 @@ def upsert(
 
 
 def snapshot_diff(previous: DataFrame, current: DataFrame, key: str = "md_id", order: str | None = None) -> DataFrame:
-    """(key, change) for added, removed and changed records; a change is another title or another set of links."""
-    facts = lambda df, name: (last_per_key(df, [key], order) if order else df).select(
+    """(key, change) for added, removed and changed records; a change is another title or another set of links.
+
+    A listing with the ``order`` column may repeat a key: its last row counts.
+    """
+    facts = lambda df, name: (last_per_key(df, [key], order) if order in df.columns else df).select(
         key, F.struct("title", F.array_sort("pdf_urls").alias("urls")).alias(name)
     )
     both = facts(previous, "p").join(facts(current, "c"), key, "full_outer")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import html as H
-from ..functions.text import clean_text, extract, extract_all
+from ..functions.text import clean_text, extract, extract_all, let
 from ..functions.urls import canonicalize_url, is_attachment, resolve_url, stable_id
 from ..profile import NOISE_LABELS, NOISE_URL_PARTS, REGULATOR, SiteProfile
 
@@ -45,18 +45,33 @@ def first_by_id(rows: DataFrame, id_col: str, order: Sequence[str], accept: Colu
 
 
 def primary_attachment(pages: DataFrame, profile: SiteProfile = REGULATOR, prefer_unlabelled: bool = True) -> DataFrame:
-    """(page_id, pos, url, label, is_primary) for the attachments of detail pages.
+    """(page_id, pos, url, label, is_primary) for the attachments of detail pages, each URL once.
 
     The first unlabelled attachment is primary, else the first. Direction pages use ``prefer_unlabelled=False``:
-    there the first attachment is primary whatever its label.
+    there the first attachment is primary whatever its label. All of a page is in its row, so nothing is shuffled.
     """
-    links = extract_links(pages, profile).filter(is_attachment(F.col("href"), profile))
-    by_url = Window.partitionBy("page_id", "url").orderBy("pos")
-    unique = links.withColumn("_n", F.row_number().over(by_url)).filter("_n = 1").drop("_n")
-    order = [F.col("label") != "", F.col("pos")] if prefer_unlabelled else [F.col("pos")]
-    return unique.withColumn(
-        "is_primary", F.row_number().over(Window.partitionBy("page_id").orderBy(*order)) == 1
-    ).select("page_id", "pos", "url", "label", "is_primary")
+    links = F.transform(
+        F.filter(H.anchors(F.col("html")), lambda a: is_attachment(a["href"], profile)),
+        lambda a: F.struct(
+            canonicalize_url(resolve_url(F.col("url"), a["href"]), profile).alias("url"), a["label"].alias("label")
+        ),
+    )
+
+    def mark(found: Column) -> Column:
+        urls = F.transform(found, lambda a: a["url"])
+        unique = F.filter(found, lambda a, i: F.array_position(urls, a["url"]) == i + 1)
+
+        def choose(kept: Column) -> Column:
+            bare = F.array_position(F.transform(kept, lambda a: a["label"]), "") if prefer_unlabelled else F.lit(0)
+            first = F.greatest(bare, F.lit(1))
+            return F.transform(
+                kept,
+                lambda a, i: F.struct(a["url"].alias("url"), a["label"].alias("label"), (first == i + 1).alias("is_primary")),
+            )
+
+        return let(unique, choose)
+
+    return pages.select("page_id", F.posexplode(let(links, mark)).alias("pos", "a")).select("page_id", "pos", "a.*")
 
 
 # --- table rows -----------------------------------------------------------------------------------------------

@@ -13,7 +13,7 @@ ENVELOPE = (
     "status", "document_id", "title", "official_url", "ref_no", "issued_date", "document_family", "last_updated_at",
     "withdrawn_date", "replacement_ref", "as_of", "source_url", "note",
 )
-UNSUPPORTED = "unsupported"
+UNSUPPORTED = "unsupported_at_v0.1"  # fixed value
 
 
 def classify_reference(raw: Column, profile: SiteProfile = REGULATOR) -> Column:

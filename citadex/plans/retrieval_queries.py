@@ -364,7 +364,7 @@ def find_document(spark, sf):
     sql(
         """SELECT c.input_id, CASE WHEN kind = 'direction' THEN coalesce(d.status, 'unknown') WHEN kind = 'withdrawn_list' THEN 'list_page'
     WHEN kind = 'notification' THEN CASE WHEN w.original_id IS NOT NULL THEN 'withdrawn' WHEN a.md_id IS NOT NULL THEN 'current' ELSE 'not_withdrawn' END
-    ELSE 'unsupported' END AS status,
+    ELSE 'unsupported_at_v0.1' END AS status,
   CASE WHEN kind = 'direction' THEN coalesce(d.document_id, 'ns:direction:' || record_id) WHEN kind = 'notification' AND w.original_id IS NULL THEN a.document_id END AS document_id,
   CASE WHEN kind = 'direction' THEN d.title WHEN kind = 'notification' THEN coalesce(w.title, a.title) END AS title,
   CASE WHEN kind = 'direction' THEN coalesce(d.detail_url, t) WHEN kind = 'notification' THEN coalesce(w.detail_url, a.detail_url, t) WHEN kind = 'withdrawn_list' THEN t END AS official_url,
