@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS, clean_text, extract, extract_all
+from .text import WS, clean_text, extract, extract_all, let
 
 
 @dataclass(frozen=True)
@@ -66,21 +66,22 @@ def issue_and_withdrawal(row_text: Column, cells: Column | None = None) -> Colum
 
     With no date in the joined text the first short date cell counts as the withdrawal.
     """
-    dates = all_dates(row_text, LISTING_FORMS)
-    several = F.size(dates) >= 2
     fallback = F.lit(None).cast("date")
     if cells is not None:
-        fallback = F.try_element_at(
-            F.filter(F.transform(cells, lambda c: F.when(is_date_cell(c), parse_date(c))), lambda d: d.isNotNull()),
-            F.lit(1),
+        found = F.filter(F.transform(cells, lambda c: F.when(is_date_cell(c), parse_date(c))), lambda d: d.isNotNull())
+        fallback = F.try_element_at(found, F.lit(1))
+
+    def assign(dates: Column) -> Column:
+        several = F.size(dates) >= 2
+        return F.struct(
+            F.when(several, F.array_min(dates)).alias("issued_date"),
+            F.when(several, F.array_max(dates))
+            .when(F.size(dates) == 1, F.try_element_at(dates, F.lit(1)))
+            .otherwise(fallback)
+            .alias("withdrawn_date"),
         )
-    return F.struct(
-        F.when(several, F.array_min(dates)).alias("issued_date"),
-        F.when(several, F.array_max(dates))
-        .when(F.size(dates) == 1, F.try_element_at(dates, F.lit(1)))
-        .otherwise(fallback)
-        .alias("withdrawn_date"),
-    )
+
+    return let(all_dates(row_text, LISTING_FORMS), assign)
 
 
 def updated_as_on(text: Column, forms: Sequence[DateForm] = LISTING_FORMS) -> Column:
@@ -98,7 +99,7 @@ def header_date(text: Column, this_year: int, head_chars: int = 2000) -> Column:
 
 def is_date_cell(cell: Column, max_chars: int = 25) -> Column:
     """A short cell that holds a readable date."""
-    return parse_date(cell).isNotNull() & (F.length(cell) <= max_chars)
+    return (F.length(cell) <= max_chars) & parse_date(cell).isNotNull()
 
 
 def split_date_prefix(label: Column) -> Column:

@@ -56,6 +56,11 @@ def text_of(fragment: Column, joiner: str = " ") -> Column:
     return F.array_join(F.filter(F.transform(nodes, strip), lambda n: n != ""), joiner)
 
 
+def plain_text(fragment: Column) -> Column:
+    """Text of a fragment as it runs, only the tags removed."""
+    return clean_text(unescape(F.regexp_replace(fragment, _TAG, "")))
+
+
 def without(html: Column, tags: Sequence[str]) -> Column:
     """Drop comments and the named elements with their content."""
     out = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
@@ -74,16 +79,21 @@ _ANCHOR = r"(?is)<a\s[^>]*\bhref\s*=[^>]*>.*?</a\s*>"
 
 
 def anchors(html: Column) -> Column:
-    """array<struct<href, label, spaced>> in page order; ``spaced`` joins text nodes by a blank."""
+    """array<struct<href, label, inner>> in page order; ``label`` joins the text nodes without blanks."""
     tags = extract_all(F.regexp_replace(html, r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>", ""), _ANCHOR)
-    return F.transform(
-        tags,
-        lambda a: F.struct(
-            attribute(a, "href").alias("href"),
-            clean_text(text_of(a, "")).alias("label"),
-            clean_text(text_of(a, " ")).alias("spaced"),
-        ),
-    )
+
+    def read(tag: Column) -> Column:
+        inner = F.regexp_extract(tag, r"(?is)^<a\s[^>]*>(.*)</a\s*>$", 1)
+        return F.struct(
+            attribute(tag, "href").alias("href"), clean_text(text_of(inner, "")).alias("label"), inner.alias("inner")
+        )
+
+    return F.transform(tags, read)
+
+
+def links_to(fragment: Column, pattern: str) -> Column:
+    """Does a fragment hold an anchor whose target matches?"""
+    return fragment.rlike(r"(?is)<a\s[^>]*\bhref\s*=\s*[\"']?[^\"'>]*?(?:" + pattern + ")")
 
 
 def table_rows(html: Column) -> Column:

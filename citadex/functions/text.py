@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # White space in the Unicode sense plus the four ASCII separators, for use under (?U).
 WS = r"[\s\x1c-\x1f]"
+# The same characters spelled out.
+WS_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 WORD = r"[\p{L}\p{N}_]+"
 
 
@@ -23,11 +25,12 @@ def clean_text(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"(?U)^{WS}+|{WS}+$", "")
+    """Drop white space at both ends."""
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.when(c != "", c)
+    return F.nullif(c, F.lit(""))
 
 
 def extract(c: Column, pattern: str, group: int = 1) -> Column:

@@ -9,14 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import WS, blank_to_null, extract_all, let, strip
+from ..functions.text import WS, let, strip
 
-# Line ends in the sense of universal newlines; \r\n counts once and the form feed ends a page.
-_ENDS = r"\n\r\x0b\x1c\x1d\x1e\x{85}\x{2028}\x{2029}"
-_LINE = rf"[^{_ENDS}\f]*(?:\r\n|[{_ENDS}\f])|[^{_ENDS}\f]+"
+# Places after a line end in the sense of universal newlines; \r\n counts once and the form feed ends a page.
+_AFTER_LINE = r"(?<=[\n\f\x0b\x1c-\x1e\x{85}\x{2028}\x{2029}])|(?<=\r)(?!\n)"
 # Heading marks at the start of a line: "8.2", "8.", "(1)", "a." or "a)".
 _HEADING = rf"(?Ud)^{WS}*(\d{{1,2}}\.\d{{1,2}}\.?|\d{{1,2}}\.|\(\d{{1,3}}\)|[a-z][.)]){WS}+."
-_PAGE_NUMBER = r"(?U)^\d{1,3}$"
+_BLANK_OR_PAGE_NUMBER = rf"(?U)^{WS}*(?:\d{{1,3}}{WS}*)?$"
 
 MIN_CHARS = 80
 MAX_CHARS = 2000
@@ -49,21 +48,19 @@ def extraction_quality(text: Column, error: Column | None = None) -> Column:
 
 
 def _lines(text: Column) -> Column:
-    """array<struct<body, kept, size, new_page, mark>> for every line of a text."""
+    """array<struct<body, kept, size, new_page, mark>> for every line of a text; no heading is an empty mark."""
 
     def describe(piece: Column) -> Column:
-        body = F.regexp_replace(piece, r"[\n\f]$", "")
-        stripped = strip(body)
-        kept = (stripped != "") & ~stripped.rlike(_PAGE_NUMBER)
+        body = F.rtrim(piece, F.lit("\n\f"))
         return F.struct(
             body.alias("body"),
-            kept.alias("kept"),
+            (~body.rlike(_BLANK_OR_PAGE_NUMBER)).alias("kept"),
             F.length(piece).alias("size"),
             piece.endswith("\f").cast("int").alias("new_page"),
-            F.when(kept, blank_to_null(F.regexp_extract(body, _HEADING, 1))).alias("mark"),
+            F.regexp_extract(body, _HEADING, 1).alias("mark"),
         )
 
-    return F.transform(extract_all(text, _LINE), describe)
+    return F.transform(F.split(text, _AFTER_LINE), describe)
 
 
 def lines_with_offsets(docs: DataFrame, id_col: str = "document_id", text_col: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ RATE_WINDOW_SECONDS = 60.0
 def corpus_profile(registry: DataFrame, chunks: DataFrame) -> DataFrame:
     """(document_family, documents, chunks): per family and, with NULL family, in total."""
     per_document = chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
-    totals = chunks.agg(F.count(F.lit(1))).scalar()
+    totals = per_document.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
     return (
         registry.select("document_id", "document_family")
         .join(per_document, "document_id", "left")

@@ -6,7 +6,7 @@ id and task before it does.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,16 +77,15 @@ def primary_attachment(pages: DataFrame, profile: SiteProfile = REGULATOR, prefe
 # --- table rows -----------------------------------------------------------------------------------------------
 
 
-def table_rows(pages: DataFrame) -> DataFrame:
-    """(page_id, url, row_no, row, text, cells, links): every table row with its text, cell texts and anchors.
+def table_rows(pages: DataFrame, *extra: Callable[[Column], Column]) -> DataFrame:
+    """(page_id, url, row_no, cells, links, extra..): every table row with its cell texts and anchors.
 
-    Rows are parsed inside the generator, so that later filters work on finished columns.
+    Rows are parsed inside the generator, so that later filters work on finished columns; ``extra`` functions of
+    the row's HTML join in there.
     """
     parsed = F.transform(
         H.table_rows(F.col("html")),
-        lambda row: F.struct(
-            row.alias("row"), clean_text(H.text_of(row)).alias("text"), H.cell_texts(row).alias("cells"), H.anchors(row).alias("links")
-        ),
+        lambda row: F.struct(H.cell_texts(row).alias("cells"), H.anchors(row).alias("links"), *[e(row) for e in extra]),
     )
     return pages.select("page_id", "url", F.posexplode(parsed).alias("row_no", "r")).select("page_id", "url", "row_no", "r.*")
 
@@ -105,8 +104,8 @@ def is_ref_like(text: Column) -> Column:
         & ~(text.contains(" ") & (words > 6))
         & text.rlike("[A-Z]{2,}")
         & text.rlike("[/.]")
-        & (D.parse_date(text).isNull() | text.rlike(r"[A-Z]{2,}.*[/.].*\d"))
-        & (F.trim(text).rlike(r"^[A-Z][A-Z0-9.()/_\-]*[/.]") | F.upper(text).startswith("RBI")),
+        & (F.trim(text).rlike(r"^[A-Z][A-Z0-9.()/_\-]*[/.]") | F.upper(text).startswith("RBI"))
+        & (text.rlike(r"[A-Z]{2,}.*[/.].*\d") | D.parse_date(text).isNull()),
         F.lit(False),
     )
 
@@ -124,7 +123,7 @@ def pick_title(cells: Column, linked: Column, ref: Column) -> Column:
     by_link = F.try_element_at(F.filter(pairs, lambda p: p["hit"] & (p["t"] != "")), F.lit(1))["t"]
     plain = F.filter(
         cells,
-        lambda t: (t != "") & ~D.is_date_cell(t) & ~t.eqNullSafe(ref) & ~is_ref_like(t) & ~is_serial(t),
+        lambda t: (t != "") & ~is_serial(t) & ~t.eqNullSafe(ref) & ~is_ref_like(t) & ~D.is_date_cell(t),
     )
     longest = F.array_max(F.transform(plain, lambda t, i: F.struct(F.length(t).alias("n"), (-i).alias("i"), t.alias("t"))))["t"]
     return F.coalesce(by_link, longest)
@@ -158,15 +157,15 @@ def circular_rows(pages: DataFrame, profile: SiteProfile = REGULATOR) -> DataFra
 
 def withdrawn_rows(pages: DataFrame, profile: SiteProfile = REGULATOR) -> DataFrame:
     """Rows of a withdrawals listing; layouts vary, so cells are told apart by their content."""
-    rows = table_rows(pages).filter(F.size("cells") >= 2)
+    linked = lambda row: F.transform(H.cell_html(row), lambda c: H.links_to(c, profile.notification_url)).alias("linked")
+    rows = table_rows(pages, linked).filter(F.size("cells") >= 2)
     joined = F.array_join("cells", " ")
     is_link = lambda a: a["href"].rlike(profile.notification_url)
     href = F.try_element_at(F.filter("links", is_link), F.lit(1))["href"]
-    linked = F.transform(H.cell_html(F.col("row")), lambda c: F.exists(H.anchors(c), is_link))
     dates = D.issue_and_withdrawal(joined, F.col("cells"))
     marked = _once(
         rows.filter(joined.rlike(r"(?U)\b(19|20)\d{2}\b")),
-        "page_id", "url", "row_no", "cells", href.alias("href"), linked.alias("linked"), dates.alias("dates"),
+        "page_id", "url", "row_no", "cells", href.alias("href"), "linked", dates.alias("dates"),
         F.try_element_at(F.filter("cells", is_ref_like), F.lit(1)).alias("original_ref"),
     )
     found = _once(
@@ -190,7 +189,7 @@ def direction_rows(pages: DataFrame, profile: SiteProfile = REGULATOR) -> DataFr
     in_rows = table_rows(pages).select("page_id", "url", "row_no", "cells", "links", F.posexplode("links").alias("pos", "a"))
     hit = in_rows.filter(F.col("a.href").rlike(profile.direction_url)).select(
         "page_id", "url", "row_no", "pos", extract(F.col("a.href"), profile.direction_url).alias("md_id"),
-        F.col("a.href").alias("href"), F.col("a.spaced").alias("title"), "cells", "links",
+        F.col("a.href").alias("href"), H.plain_text(F.col("a.inner")).alias("title"), "cells", "links",
     )
     attachments = F.transform(
         F.filter("links", lambda a: is_attachment(a["href"], profile)),
@@ -256,7 +255,8 @@ def is_noise(url: Column, label: Column, url_parts: Sequence[str] = NOISE_URL_PA
 
 def master_circular_rows(pages: DataFrame, profile: SiteProfile = REGULATOR, min_chars: int = 8) -> DataFrame:
     """Rows of category pages (page_id, url, html, department) with exactly one attachment and a real title."""
-    rows = table_rows(pages).withColumn("pdfs", F.filter("links", lambda a: is_attachment(a["href"], profile)))
+    text = lambda row: clean_text(H.text_of(row)).alias("text")
+    rows = table_rows(pages, text).withColumn("pdfs", F.filter("links", lambda a: is_attachment(a["href"], profile)))
     found = _once(
         rows.filter(F.size("pdfs") == 1),
         "page_id", "row_no",
