@@ -7,7 +7,7 @@ Only the best k rows per query and task travel to the final ranking.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -54,6 +54,7 @@ class TextIndex:
     postings: DataFrame  # key, dl, term, tf
     stats: DataFrame  # term, df; two pseudo terms hold the number of chunks and their total length
     hot_terms: DataFrame | None = None  # term; only kept for an index over the whole vocabulary
+    stored: bool = False  # postings come from files and are not yet brought together by chunk
 
 
 #: Pseudo terms of the statistics, never tokens: number of chunks and total length. One column for all keeps the
@@ -203,6 +204,8 @@ def bm25_topk(
             "chunk_id", "text", "md_id", (F.coalesce("status", F.lit("current")) == "current").alias("is_current")
         )
         index = build_index(slim, prepared.terms if prepared.small else None, ("md_id", "is_current"))
+    if index.stored:
+        index = gather(index, prepared.terms if prepared.small else None)
     any_status = F.col("include_withdrawn") if "include_withdrawn" in carry else F.lit(include_withdrawn)
     keep = F.col("key.is_current") | F.coalesce(any_status, F.lit(False))
     if "filter_md_id" in carry:
@@ -218,9 +221,17 @@ def save_index(index: TextIndex, folder: str) -> None:
 
 
 def load_index(spark: SparkSession, folder: str) -> TextIndex:
-    """Read an index; postings are brought together by chunk, hot terms are found again from the statistics."""
+    """Read an index; hot terms are found again from the statistics."""
     stats = spark.read.parquet(f"{folder}/stats")
-    return TextIndex(spark.read.parquet(f"{folder}/postings").repartition("key"), stats, hot_terms(stats))
+    return TextIndex(spark.read.parquet(f"{folder}/postings"), stats, hot_terms(stats), stored=True)
+
+
+def gather(index: TextIndex, vocabulary: DataFrame | None) -> TextIndex:
+    """Bring the postings of a stored index together by chunk; with a vocabulary only its terms move."""
+    postings = index.postings
+    if vocabulary is not None:
+        postings = postings.join(F.broadcast(vocabulary.select("term").distinct()), "term", "left_semi")
+    return replace(index, postings=postings.repartition("key"), stored=False)
 
 
 def refresh_index(index: TextIndex, gone: DataFrame, fresh: TextIndex) -> TextIndex:
@@ -243,7 +254,7 @@ def refresh_index(index: TextIndex, gone: DataFrame, fresh: TextIndex) -> TextIn
         .agg(F.sum("df").alias("df"))
         .filter(F.col("df") > 0)
     )
-    return TextIndex(kept.unionByName(fresh.postings), stats, hot_terms(stats))
+    return TextIndex(kept.unionByName(fresh.postings), stats, hot_terms(stats), stored=True)
 
 
 def topic_filter(queries: DataFrame, aliases: DataFrame, hint_col: str = "topic_hint") -> DataFrame:

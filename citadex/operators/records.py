@@ -286,6 +286,27 @@ def replacement_reference(text: Column, own: Column, pattern: str = REGULATOR.in
     return F.try_element_at(F.filter(found, lambda r: own.isNull() | (r != own)), F.lit(1))
 
 
+def circular_header(
+    text: Column, ref_hint: Column, date_hint: Column, this_year: int, pattern: str = REGULATOR.header_reference
+) -> Column:
+    """struct(ref_no, issued_date) of a circular: what the text says, else what the listing said."""
+    return F.struct(
+        F.coalesce(parse_reference(text, pattern), ref_hint).alias("ref_no"),
+        F.coalesce(D.header_date(text, this_year), date_hint).alias("issued_date"),
+    )
+
+
+def direction_header(
+    text: Column, page_html: Column, this_year: int, pattern: str = REGULATOR.header_reference
+) -> Column:
+    """struct(ref_no, last_updated_at) of a direction: the page's "Updated as on", else the date in the text."""
+    stamped = D.updated_as_on(H.text_of(page_html), D.PAGE_FORMS)
+    return F.struct(
+        parse_reference(text, pattern).alias("ref_no"),
+        F.coalesce(stamped, D.header_date(text, this_year)).alias("last_updated_at"),
+    )
+
+
 def choose_body(passes: Column, text: Column, html_body: Column) -> Column:
     """struct(body, source): extracted text that passes the gate, else the page body, else nothing."""
     has_page = F.coalesce(html_body, F.lit("")) != ""

@@ -296,6 +296,33 @@ def body_sql(drop) -> str:
     return f"regexp_replace(array_to_string({pieces}, chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g')"
 
 
+def headed(spark, sf):
+    """Texts with a header: French ones carry a reference, all but the German ones a date; English pages are stamped."""
+    rows = registry(spark, sf)
+    ref = F.when(F.col("lang") == "fr", F.concat(F.lit("REF/DEPT/2024-25/"), "md_id"))
+    day = F.when(F.col("lang") != "de", F.date_format("issued_date", "MMMM d, yyyy"))
+    stamp = F.when(F.col("lang") == "en", F.concat(F.lit("<p>(Updated <b>as</b> on "), F.date_format(F.date_add("issued_date", 7), "d MMMM yyyy"), F.lit(")</p>")))
+    return rows.withColumn("headed", F.concat_ws("\n", ref, day, F.lit("To all"))).withColumn("page", F.coalesce(stamp, F.lit("<p>none</p>")))
+
+
+@query(
+    "header_precedence",
+    sql(
+        """SELECT md_id, CASE WHEN lang = 'fr' THEN 'REF/DEPT/2024-25/' || md_id ELSE ref_no END AS ref_no,
+  CASE WHEN lang <> 'de' THEN strftime(issued_date, '%Y-%m-%d') ELSE '2020-02-02' END AS issued_date,
+  CASE WHEN lang = 'en' THEN strftime(issued_date + 7, '%Y-%m-%d') WHEN lang <> 'de' THEN strftime(issued_date, '%Y-%m-%d') END AS last_updated_at FROM registry""",
+        "registry",
+    ),
+)
+def header_precedence(spark, sf):
+    rows = headed(spark, sf)
+    circular = R.circular_header(F.col("headed"), F.col("ref_no"), F.lit("2020-02-02").cast("date"), 2025, SAMPLE.header_reference)
+    direction = R.direction_header(F.col("headed"), F.col("page"), 2025, SAMPLE.header_reference)
+    return rows.select("md_id", circular.alias("c"), direction.alias("d")).select(
+        "md_id", "c.ref_no", F.col("c.issued_date").cast("string").alias("issued_date"), F.col("d.last_updated_at").cast("string").alias("last_updated_at")
+    )
+
+
 cte("page_bodies", f"SELECT page_id, {body_sql(H.DETAIL_NOISE)} AS detail, {body_sql(H.FAQ_NOISE)} AS faq FROM pages")
 
 

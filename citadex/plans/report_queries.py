@@ -12,6 +12,9 @@ from ..operators import quality as Q
 from ..operators import fusion, lexical
 from ..schema import DOCUMENTS
 from ..session import STATE_STORE, settle, shared_dir
+from ..sources.dumps import load_dump, write_dump
+from ..sources.snapshots import publish_snapshot, read_snapshot
+from ..sources.tables import write_table
 from ..streaming import streams as S
 from .bindings import (
     aliases, chunks, clause_vectors, clauses, cte, labelled_cases, query, registry, split_cte, sql, table, vectors,
@@ -119,6 +122,36 @@ def eval_dump(spark, sf):
     )
 
 
+@query(
+    "eval_load",
+    sql(
+        """SELECT v.case_name, v.passed, v.retrieval_mode, count(f.rank) AS provisions, coalesce(max(k.document_id || '::' || k.paragraph_anchor) FILTER (WHERE f.rank = 1), '') AS first_key
+FROM verdicts v LEFT JOIN (SELECT * FROM fused WHERE rank <= 5) f ON f.query_id = v.case_name LEFT JOIN chunks k USING (chunk_id) GROUP BY v.case_name, v.passed, v.retrieval_mode""",
+        "verdicts", "fused", "chunks",
+    ),
+)
+def eval_load(spark, sf):
+    cases, report, results = _evaluated(spark, sf)
+    path = _folder(spark, "dump")
+    write_dump(E.dump_cases(results, report, cases), path)
+    loaded = load_dump(spark, path, "now")
+    return loaded.select(
+        "case_name", "passed", "retrieval_mode", F.size("keys").cast("bigint").alias("provisions"), F.coalesce(F.get("keys", F.lit(0)), F.lit("")).alias("first_key")
+    )
+
+
+@query("publish_snapshot", sql("SELECT md_id, status, title FROM registry WHERE lang <> 'de'", "registry"))
+def publish(spark, sf):
+    """Two builds are published and one is left uncommitted; readers see the second."""
+    root = _folder(spark, "corpus")
+    rows = registry(spark, sf).select("md_id", "status", "title", "lang")
+    gate = E.eval_gate(rows.select((F.col("status").isNotNull()).alias("passed")))
+    publish_snapshot(spark, root, "one", {"documents": rows}, gate=gate)
+    publish_snapshot(spark, root, "two", {"documents": rows.filter("lang <> 'de'")}, gate=gate)
+    write_table(rows.filter("lang = 'de'"), f"{root}/snapshot=three/documents")
+    return read_snapshot(spark, root, "documents").select("md_id", "status", "title")
+
+
 RUNS = ("keywords", "keywords_all", "hybrid")
 
 

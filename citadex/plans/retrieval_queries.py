@@ -66,6 +66,21 @@ def build_index(spark, sf):
     )
 
 
+@query(
+    "refresh_index",
+    f"""WITH now AS (SELECT doc_id, CASE WHEN lang = 'fr' THEN text || ' refreshed' ELSE text END AS text FROM documents WHERE lang <> 'de')
+SELECT term, count(DISTINCT doc_id) AS df, count(*) AS occurrences FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM now) GROUP BY 1""",
+)
+def refresh_index(spark, sf):
+    """German documents leave, French ones are indexed anew."""
+    every = chunks(spark, sf)
+    fresh = every.filter(F.col("section") == "fr").withColumn("text", F.concat("text", F.lit(" refreshed")))
+    gone = every.filter(F.col("section").isin("de", "fr")).select("chunk_id")
+    index = lexical.refresh_index(lexical.build_index(every), gone, lexical.build_index(fresh))
+    found = index.postings.groupBy("term").agg(F.sum("tf").alias("occurrences"))
+    return index.stats.join(found, "term").select("term", "df", "occurrences")
+
+
 @query(
     "bm25_topk",
     sql("SELECT query_id, chunk_id, bm25_score, sparse_rank AS rank FROM sparse30 WHERE sparse_rank <= 5", "sparse30"),
