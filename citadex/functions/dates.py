@@ -32,15 +32,15 @@ PREFIX_DATE = DateForm(
     ("MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy"),
 )
 
+UPDATED_AS_ON = r"(?iU)Updated\s+as\s+on\s+([A-Za-z]+\s+\d{1,2},?\s*\d{4}|\d{1,2}\s+[A-Za-z]+\s+\d{4})"
+DATE_PREFIX = r"(?U)^\s*([A-Z][a-z]{2,8}\s+\d{1,2},?\s+\d{4})\s+(.+)$"
+
 ALL_FORMS = (DAY_MONTH_YEAR, MONTH_DAY_COMMA_YEAR, MONTH_DAY_YEAR, SLASHED, DASHED)
 LISTING_FORMS = (DAY_MONTH_YEAR, MONTH_DAY_COMMA_YEAR, SLASHED, DASHED)
 CIRCULAR_FORMS = (MONTH_DAY_COMMA_YEAR, DAY_MONTH_YEAR, SLASHED, DASHED)
 PAGE_FORMS = (DAY_MONTH_YEAR, MONTH_DAY_COMMA_YEAR)
 HEADER_FORMS = (HEADER_MONTH_DAY_COMMA_YEAR, HEADER_DAY_MONTH_YEAR, SLASHED, DASHED)
 
-UPDATED_AS_ON = r"(?iU)Updated\s+as\s+on\s+([A-Za-z]+\s+\d{1,2},?\s*\d{4}|\d{1,2}\s+[A-Za-z]+\s+\d{4})"
-
-
 def _read(match: Column, formats: Sequence[str]) -> Column:
     """One matched date; impossible dates and unknown month names give NULL."""
     squeezed = F.regexp_replace(match, f"(?U){WS}+", " ")
@@ -104,10 +104,9 @@ def is_date_cell(cell: Column, max_chars: int = 25) -> Column:
 
 def split_date_prefix(label: Column) -> Column:
     """struct(date, title) of a label such as "Nov 12, 2021 Title"."""
-    shape = r"(?U)^\s*([A-Z][a-z]{2,8}\s+\d{1,2},?\s+\d{4})\s+(.+)$"
     text = clean_text(label)
-    prefix = extract(text, shape, 1)
+    prefix = extract(text, DATE_PREFIX, 1)
     return F.struct(
         parse_date(prefix, (PREFIX_DATE,)).alias("date"),
-        F.when(prefix.isNotNull(), F.trim(F.regexp_extract(text, shape, 2))).otherwise(text).alias("title"),
+        F.when(prefix.isNotNull(), F.trim(F.regexp_extract(text, DATE_PREFIX, 2))).otherwise(text).alias("title"),
     )

@@ -167,6 +167,7 @@ def upsert_indexed(stored: DataFrame, indexed: DataFrame) -> DataFrame:
     )
 
 
+# Fixed value: a title that is only a date.
 _DATE_TITLE = (
     r"(?U)^\s*([A-Z][a-z]+\s+\d{1,2},?\s*\d{4}|\d{1,2}\s+[A-Z][a-z]+\s+\d{4}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-\d{1,2}-\d{4})\s*$"
 )

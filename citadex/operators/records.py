@@ -17,6 +17,16 @@ from ..functions.text import clean_text, extract, extract_all, let
 from ..functions.urls import canonicalize_url, is_attachment, resolve_url, stable_id
 from ..profile import NOISE_LABELS, NOISE_URL_PARTS, REGULATOR, SiteProfile
 
+# Shapes of agency references, serial numbers, years and file sizes in table cells.
+REF_CAPITALS = r"[A-Z]{2,}"
+REF_SEPARATOR = r"[/.]"
+REF_START = r"^[A-Z][A-Z0-9.()/_\-]*[/.]"
+REF_WITH_NUMBER = r"[A-Z]{2,}.*[/.].*\d"
+REF_AGENCY = "RBI"
+SERIAL = r"(?U)^\d+\.?$"
+YEAR = r"(?U)\b(19|20)\d{2}\b"
+SIZE_SUFFIX = r"(?iU)\s+\d{1,5}\s*kb\s*$"
+
 # --- links ----------------------------------------------------------------------------------------------------
 
 
@@ -102,16 +112,16 @@ def is_ref_like(text: Column) -> Column:
         (text != "")
         & (F.length(text) <= 200)
         & ~(text.contains(" ") & (words > 6))
-        & text.rlike("[A-Z]{2,}")
-        & text.rlike("[/.]")
-        & (F.trim(text).rlike(r"^[A-Z][A-Z0-9.()/_\-]*[/.]") | F.upper(text).startswith("RBI"))
-        & (text.rlike(r"[A-Z]{2,}.*[/.].*\d") | D.parse_date(text).isNull()),
+        & text.rlike(REF_CAPITALS)
+        & text.rlike(REF_SEPARATOR)
+        & (F.trim(text).rlike(REF_START) | F.upper(text).startswith(REF_AGENCY))
+        & (text.rlike(REF_WITH_NUMBER) | D.parse_date(text).isNull()),
         F.lit(False),
     )
 
 
 def is_serial(text: Column) -> Column:
-    return text.rlike(r"(?U)^\d+\.?$")
+    return text.rlike(SERIAL)
 
 
 def pick_title(cells: Column, linked: Column, ref: Column) -> Column:
@@ -164,7 +174,7 @@ def withdrawn_rows(pages: DataFrame, profile: SiteProfile = REGULATOR) -> DataFr
     href = F.try_element_at(F.filter("links", is_link), F.lit(1))["href"]
     dates = D.issue_and_withdrawal(joined, F.col("cells"))
     marked = _once(
-        rows.filter(joined.rlike(r"(?U)\b(19|20)\d{2}\b")),
+        rows.filter(joined.rlike(YEAR)),
         "page_id", "url", "row_no", "cells", href.alias("href"), "linked", dates.alias("dates"),
         F.try_element_at(F.filter("cells", is_ref_like), F.lit(1)).alias("original_ref"),
     )
@@ -242,7 +252,7 @@ def category_rows(pages: DataFrame, profile: SiteProfile = REGULATOR, min_chars:
 
 
 def strip_size_suffix(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?iU)\s+\d{1,5}\s*kb\s*$", ""))
+    return F.trim(F.regexp_replace(text, SIZE_SUFFIX, ""))
 
 
 def is_noise(url: Column, label: Column, url_parts: Sequence[str] = NOISE_URL_PARTS, labels: Sequence[str] = NOISE_LABELS) -> Column:

@@ -20,8 +20,8 @@ def registry(spark):
     )
     return spark.createDataFrame(
         [
-            row("master_direction", "12550", "current", dt.date(2025, 4, 25)), row("master_direction", "7", "superseded"),
-            row("press_release", "12550", "withdrawn"), row("standalone_circular", "900", "current"), row("notification", "901", "superseded"),
+            row("master_direction", "40100", "current", dt.date(2025, 2, 14)), row("master_direction", "7", "superseded"),
+            row("press_release", "40100", "withdrawn"), row("standalone_circular", "900", "current"), row("notification", "901", "superseded"),
         ],
         DOCUMENTS,
     )
@@ -32,7 +32,7 @@ def withdrawn(spark):
     d = dt.date(2019, 8, 21)
     return spark.createDataFrame(
         [
-            ("RBI/2018/45", "11234", "Old", None, d, None, None, T0, T0), ("RBI/2018/45", "11234", "Newer", None, d, "N", "w/1", dt.datetime(2025, 3, 1), T0),
+            ("RBI/AAA/2017/4", "555", "Old", None, d, None, None, T0, T0), ("RBI/AAA/2017/4", "555", "Newer", None, d, "N", "w/1", dt.datetime(2025, 3, 1), T0),
             (None, "900", "Gone", None, d, None, "w/2", T0, T0),
         ],
         WITHDRAWN,
@@ -41,10 +41,10 @@ def withdrawn(spark):
 
 def test_check_current(spark, registry, withdrawn):
     asks = {
-        "dir": SITE + "BS_ViewMasDirections.aspx?id=12550", "old": SITE + "bs_viewmasdirections.aspx?ID=7", "new": SITE + "BS_ViewMasDirections.aspx?id=1",
-        "list": SITE + "NotificationUserWithdrawnCircular.aspx?Id=42", "gone": SITE + "NotificationUser.aspx?Id=11234&Mode=0",
+        "dir": SITE + "BS_ViewMasDirections.aspx?id=40100", "old": SITE + "bs_viewmasdirections.aspx?ID=7", "new": SITE + "BS_ViewMasDirections.aspx?id=1",
+        "list": SITE + "NotificationUserWithdrawnCircular.aspx?Id=42", "gone": SITE + "NotificationUser.aspx?Id=555&Mode=0",
         "both": SITE + "NotificationUser.aspx?Id=900", "none": SITE + "NotificationUser.aspx?Id=901", "faq": SITE + "FAQView.aspx?Id=3",
-        "ref": " RBI/DOR/2020/106 ", "ref2": "RBI/2024-25/108", "junk": "hello", "empty": "  ", "null": None, "case": SITE + "notificationuserwithdrawncircular.aspx",
+        "ref": " RBI/BBB/2019/8 ", "ref2": "RBI/2020-21/33", "junk": "hello", "empty": "  ", "null": None, "case": SITE + "notificationuserwithdrawncircular.aspx",
     }
     inputs = spark.createDataFrame(list(asks.items()), "input_id string, reference string")
     rows = {r.input_id: r for r in status.check_current(inputs, registry, withdrawn, F.lit("2025-06-01")).collect()}
@@ -53,9 +53,9 @@ def test_check_current(spark, registry, withdrawn):
         "dir": "current", "old": "superseded", "new": "unknown", "list": "list_page", "gone": "withdrawn", "both": "withdrawn", "none": "not_withdrawn",
         **dict.fromkeys(("faq", "ref", "ref2", "junk", "empty", "null", "case"), status.UNSUPPORTED),
     }
-    assert rows["dir"].document_id == "rbi:master_direction:12550" and rows["dir"].last_updated_at == dt.date(2025, 4, 25)
+    assert rows["dir"].document_id == "rbi:master_direction:40100" and rows["dir"].last_updated_at == dt.date(2025, 2, 14)
     assert rows["new"].document_id == "rbi:master_direction:1" and rows["new"].official_url == asks["new"]
-    assert rows["gone"].title == "Newer" and rows["gone"].ref_no == "RBI/2018/45" and rows["gone"].replacement_ref == "N"
+    assert rows["gone"].title == "Newer" and rows["gone"].ref_no == "RBI/AAA/2017/4" and rows["gone"].replacement_ref == "N"
     assert {k: rows[k].reason for k in ("faq", "ref", "ref2", "junk", "empty", "null")} == {
         "faq": "faq_url", "ref": "textual_ref", "ref2": "unknown", "junk": "unknown", "empty": "unknown", "null": "unknown",
     }
@@ -64,8 +64,8 @@ def test_check_current(spark, registry, withdrawn):
 
 
 def test_lookups(spark, registry, withdrawn):
-    ids = spark.createDataFrame([("12550",), ("5",)], "md_id string")
-    assert [r.document_id for r in status.find_document(ids, registry).collect()] == ["rbi:master_direction:12550"]
+    ids = spark.createDataFrame([("40100",), ("5",)], "md_id string")
+    assert [r.document_id for r in status.find_document(ids, registry).collect()] == ["rbi:master_direction:40100"]
     assert {r.title for r in status.withdrawn_latest(withdrawn).collect()} == {"Newer", "Gone"}
     assert [r.title for r in status.withdrawn_latest(withdrawn, "original_ref").collect()] == ["Newer"]
 
@@ -75,33 +75,33 @@ def test_documents(spark, registry):
         [("c2", "rbi:master_direction:7", "1", "1.a", 1, 50, "x" * 100), ("c1", "rbi:master_direction:7", "1", "1", 1, 0, "first")],
         "chunk_id string, document_id string, section string, paragraph_anchor string, page int, char_start int, text string",
     )
-    asked = spark.createDataFrame([("rbi:master_direction:7",), ("rbi:master_direction:12550",), ("nope",)], "document_id string")
+    asked = spark.createDataFrame([("rbi:master_direction:7",), ("rbi:master_direction:40100",), ("nope",)], "document_id string")
     rows = documents.document_toc(asked, registry, chunks).orderBy("document_id", "char_start").collect()
     by = {}
     for r in rows:
         by.setdefault(r.document_id, []).append(r)
     assert [(r.chunk_id, r.chunk_count, len(r.preview)) for r in by["rbi:master_direction:7"]] == [("c1", 2, 5), ("c2", 2, 80)]
-    assert by["rbi:master_direction:12550"][0].chunk_count == 0 and by["nope"][0].status == "unknown" and by["nope"][0].error
+    assert by["rbi:master_direction:40100"][0].chunk_count == 0 and by["nope"][0].status == "unknown" and by["nope"][0].error
     assert documents.assemble_text(chunks).first().text == "first\n\n" + "x" * 100
 
 
 def test_evaluation(spark):
     cases = spark.createDataFrame(
         [
-            ("anchor", "1", "d:1", "8.2", "", True), ("text", "1", "d:1", "", "NET-worth", True), ("either", "1", "d:1", "99", "net-worth", True),
+            ("anchor", "1", "d:1", "9.4", "", True), ("text", "1", "d:1", "", "OPENING-balance", True), ("either", "1", "d:1", "99", "opening-balance", True),
             ("neither", "1", "d:1", "99", "zebra", True), ("absent", "5", "d:5", "", "", True), ("nothing", "1", "d:1", "", "", True),
             ("negative", "", None, "", "", True), ("negative_hit", "", None, "", "", True), ("off", "9", "d:9", "", "", False),
         ],
         "case_name string, expected_md_id string, expected_document_id string, expected_anchor_prefix string, expected_text_contains string, enabled boolean",
     ).withColumn("clause", F.lit("c"))
     hits = [(c, 1, "d:2", "3", "other", False) for c in ("anchor", "text", "either", "neither", "absent", "negative_hit")]
-    hits += [(c, 2, "d:1", "8.2.a", "The Net-Worth rule", False) for c in ("anchor", "text", "either", "neither", "absent")]
+    hits += [(c, 2, "d:1", "9.4.b", "The Opening-Balance rule", False) for c in ("anchor", "text", "either", "neither", "absent")]
     report = spark.createDataFrame(hits, "query_id string, rank int, document_id string, paragraph_anchor string, quoted_text string, low_confidence boolean")
     extra = spark.createDataFrame([("negative", True), ("nothing", True)], "query_id string, low_confidence boolean")
     report = report.unionByName(extra, allowMissingColumns=True).withColumn("retrieval", F.lit("hybrid"))
     rows = {r.case_name: r for r in E.evaluate_cases(cases, report).collect()}
     assert {k for k, r in rows.items() if r.passed} == {"anchor", "text", "either", "negative", "off"}
-    assert rows["anchor"].detail == "matched at 8.2.a" and rows["absent"].detail == "expected 5 not among 1,2"
+    assert rows["anchor"].detail == "matched at 9.4.b" and rows["absent"].detail == "expected 5 not among 1,2"
     assert rows["neither"].detail.endswith("present but unmatched") and rows["nothing"].detail == "no provisions returned"
     assert rows["off"].detail == "skipped (disabled)" and rows["negative_hit"].detail == "expected low confidence, got 1 provisions"
     results = E.evaluate_cases(cases, report)

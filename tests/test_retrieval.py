@@ -9,11 +9,11 @@ from citadex.functions.vectors import hashed_encoder
 from citadex.operators import dense, fusion, lexical
 
 TEXTS = {
-    "a": ("1", "current", "kyc verification customer due diligence"),
-    "b": ("1", "current", "kyc verification quarterly reporting unrelated"),
-    "c": ("2", "current", "non matching prudential lender ratio"),
-    "d": ("3", "withdrawn", "kyc kyc kyc"),
-    "e": ("4", None, "reporting kyc_lender ratio ratio"),
+    "a": ("1", "current", "ledger audit of client account opening"),
+    "b": ("1", "current", "ledger audit weekly summary elsewhere"),
+    "c": ("2", "current", "another topic about reserve share"),
+    "d": ("3", "withdrawn", "ledger ledger ledger"),
+    "e": ("4", None, "summary ledger_reserve share share"),
 }
 
 
@@ -51,39 +51,39 @@ def test_bm25(spark, chunks, small, monkeypatch):
     if not small:
         monkeypatch.setattr(lexical, "BROADCAST_ROWS", 0)
         monkeypatch.setattr(lexical, "HOT_SHARE", 0.05)
-    text = "Reporting ratio, ratio: kyc!"
+    text = "Summary share, share: ledger!"
     got = lexical.bm25_topk(queries(spark, ("q", text), ("none", "?!"), ("miss", "zebra")), chunks, 10, include_withdrawn=True).collect()
     assert {r.chunk_id: r.bm25_score for r in got} == pytest.approx(expected_scores(text))
     assert {r.query_id for r in got} == {"q"}
     shown = lexical.bm25_topk(queries(spark, ("q", text)), chunks, 10).collect()
     assert {r.chunk_id for r in shown} == {"a", "b", "c", "e"}
     narrowed = lexical.bm25_topk(
-        queries(spark, ("q", "kyc", "1"), ("all", "kyc", None), extra=", filter_md_id string"), chunks, 10
+        queries(spark, ("q", "ledger", "1"), ("all", "ledger", None), extra=", filter_md_id string"), chunks, 10
     ).collect()
     assert sorted((r.query_id, r.chunk_id) for r in narrowed) == [("all", "a"), ("all", "b"), ("all", "e"), ("q", "a"), ("q", "b")]
 
 
 def test_query_terms(spark):
     many = " ".join(f"tok{i}" for i in range(100))
-    q = queries(spark, ("long", many), ("ops", 'kyc AND "x" NOT text:y'), ("blank", " \t"), ("deva", "KYC नियम"))
+    q = queries(spark, ("long", many), ("ops", 'ledger AND "x" NOT text:y'), ("blank", " \t"), ("deva", "LEDGER नियम"))
     terms = lexical.query_terms(q).groupBy("query_id").agg(F.sum("qtf").alias("n"), F.collect_set("term").alias("t")).collect()
     by = {r.query_id: r for r in terms}
     assert by["long"].n == 32 and "blank" not in by
-    assert {"kyc", "and", "not", "text", "x", "y"} == set(by["ops"].t)
-    assert "kyc" in by["deva"].t and len(by["deva"].t) > 1
+    assert {"ledger", "and", "not", "text", "x", "y"} == set(by["ops"].t)
+    assert "ledger" in by["deva"].t and len(by["deva"].t) > 1
 
 
 def test_saved_index_gives_same_ranking(spark, chunks, tmp_path):
     slim = chunks.select("chunk_id", "text", "md_id", (F.coalesce("status", F.lit("current")) == "current").alias("is_current"))
     lexical.save_index(lexical.build_index(slim, carry=("md_id", "is_current")), str(tmp_path / "i"))
-    q = queries(spark, ("q", "kyc ratio"))
+    q = queries(spark, ("q", "ledger share"))
     stored = lexical.bm25_topk(q, chunks, 5, index=lexical.load_index(spark, str(tmp_path / "i")))
     assert sorted(stored.collect()) == sorted(lexical.bm25_topk(q, chunks, 5).collect())
 
 
 def test_refreshed_index_equals_a_new_one(spark, chunks):
     old = chunks.filter("chunk_id <> 'e'")
-    new = chunks.filter("chunk_id <> 'a'").withColumn("text", F.when(F.col("chunk_id") == "b", "kyc only").otherwise(F.col("text")))
+    new = chunks.filter("chunk_id <> 'a'").withColumn("text", F.when(F.col("chunk_id") == "b", "ledger only").otherwise(F.col("text")))
     fresh = lexical.build_index(new.filter("chunk_id IN ('b', 'e')"))
     gone = spark.createDataFrame([("a",), ("b",)], "chunk_id string")
     got, want = lexical.refresh_index(lexical.build_index(old), gone, fresh), lexical.build_index(new)
@@ -140,16 +140,16 @@ def test_knn_is_exact(vec_tables, held):
 
 
 def test_overfetch_can_fall_short(spark):
-    rows = [(f"w{i}", [1.0, 0.0001 * i], "1", "withdrawn") for i in range(30)] + [("keep", [0.8, 0.5], "2", "current")]
+    rows = [(f"w{i}", [0.9, 0.002 * i], "1", "withdrawn") for i in range(30)] + [("keep", [0.3, 0.7], "2", "current")]
     vectors = spark.createDataFrame(rows, "chunk_id string, embedding array<float>, md_id string, status string")
-    q = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, embedding array<float>")
+    q = spark.createDataFrame([("q", [0.9, 0.0])], "query_id string, embedding array<float>")
     assert [r.chunk_id for r in dense.knn_topk(vectors, q, 3, include_withdrawn=False).collect()] == ["keep"]
     assert dense.knn_overfetch(vectors, q, 3).count() == 0
     assert [r.chunk_id for r in dense.knn_overfetch(vectors, q, 3, factor=11).collect()] == ["keep"]
 
 
 def test_embedding(spark):
-    docs = spark.createDataFrame([("a", "kyc kyc rule"), ("b", "  "), ("c", "Rule, KYC kyc")], "chunk_id string, text string")
+    docs = spark.createDataFrame([("a", "tax tax rule"), ("b", "  "), ("c", "Rule, TAX tax")], "chunk_id string, text string")
     got = {r.chunk_id: r.embedding for r in dense.embed(docs, hashed_encoder(16), 16).collect()}
     assert got["a"] == got["c"] and sum(x * x for x in got["a"]) == pytest.approx(1.0) and not any(got["b"])
     with pytest.raises(Exception, match="expected 8"):
@@ -192,7 +192,7 @@ def test_compliance_and_search(spark, chunks):
     enc = hashed_encoder(32)
     vectors = dense.embed(chunks, enc, 32).join(chunks.select("chunk_id", "md_id", "status"), "chunk_id")
     asked = spark.createDataFrame(
-        [("hit", "customer due diligence", None), ("topic", "kyc ratio", "PA"), ("blank", "  ", None), ("punct", "?!", None), ("amb", "kyc ratio", "kyc"), ("sparse", "zebra", None)],
+        [("hit", "client account opening", None), ("topic", "ledger share", "PA"), ("blank", "  ", None), ("punct", "?!", None), ("amb", "ledger share", "kyc"), ("sparse", "zebra", None)],
         "query_id string, text string, topic_hint string",
     )
     q_vec = dense.embed_queries(asked.filter("query_id <> 'sparse'"), enc, 32, "")
@@ -211,7 +211,7 @@ def test_compliance_and_search(spark, chunks):
     assert by["sparse"][0].message == "no_provisions_matched" and by["sparse"][0].retrieval == "sparse_only"
     assert all(r.status == "current" for r in rows if r.chunk_id)
     finds = spark.createDataFrame(
-        [("w", "kyc", None, True, "bank", None), ("n", "kyc", "pa", False, None, "2024-01-01")],
+        [("w", "ledger", None, True, "bank", None), ("n", "ledger", "pa", False, None, "2024-01-01")],
         "query_id string, text string, topic string, include_withdrawn boolean, regulated_entity string, as_of_date string",
     )
     found = fusion.search(finds, chunks, registry, vectors, dense.embed_queries(finds, enc, 32, ""), aliases).collect()
