@@ -6,9 +6,11 @@ else. Keyed state needs the RocksDB state store provider (see :data:`citadex.ses
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,10 @@ from ..operators.lexical import TextIndex, bm25_topk
 from ..operators.quality import RATE_LIMIT, RATE_WINDOW_SECONDS
 
 
+# The driver-side worker of keyed state does not see files shipped to the executors, so processors travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def file_stream(spark: SparkSession, path: str, schema: T.StructType | str, files_per_batch: int | None = None, pattern: str | None = None) -> DataFrame:
     """Parquet files arriving in a folder."""
     reader = spark.readStream.schema(schema)
