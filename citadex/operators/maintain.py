@@ -153,8 +153,10 @@ def guarded_supersede(stored: DataFrame, previous: DataFrame, current: DataFrame
     )
 
 
-def upsert_listing(stored: DataFrame, listing: DataFrame) -> DataFrame:
-    """Merge a parsed listing into the registry."""
+def upsert_listing(stored: DataFrame, listing: DataFrame, order: str | None = None) -> DataFrame:
+    """Merge a parsed listing into the registry; with ``order`` a listing may repeat keys and its last row counts."""
+    if order is not None:
+        listing = last_per_key(listing, KEY, order).drop(order)
     return upsert(stored, listing, KEY, LISTING_POLICY)
 
 
