@@ -26,7 +26,8 @@ def test_flagship(spark, contract):
 
 def test_every_oracle_has_a_query_and_parses(contract):
     queries, oracles = contract.queries(), contract.oracle_sql()
-    assert set(oracles) <= set(queries) and set(queries) - set(oracles) == {"stem_terms"}
+    own = {q for q in queries if not re.match(r"op\d+_|pipeline$", q)}
+    assert set(oracles) <= set(queries) and own - set(oracles) == {"stem_terms"}
     con = duckdb.connect()
     for t in TABLES:
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
