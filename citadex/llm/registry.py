@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citadex.llm import ctph, langid, mixing, packing, quality, simhash, toxicity
+from citadex.llm import ctph, embed_dedup, extract, langid, mixing, packing, quality, simhash, toxicity
 from citadex.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,16 @@ def _predicted(found: DataFrame, folds: int, hold: int) -> DataFrame:
     return found.select("doc_id", held_out("doc_id", folds, hold).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
+@query
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.main_text(table(spark, sf_dir, "pages"))
+
+
 @query
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = mixing.mix(table(spark, sf_dir, "documents"), share=1.5, most=2.0, weights=(5, 2, 1))

@@ -31,7 +31,10 @@ INSULTS = "idiot moron imbecile scum loser pathetic worthless disgusting stupid"
 MAX_LEXICON, MAX_CANDIDATES = 20_000, 50_000
 #: Words that a negation reaches.
 REACH = 3
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
+#: A clause of at least this weight is a strong match.
+STRONG = 3.5
+FEATURES = 6
 #: Labelled documents for the weights of the clause scores; bounds what reaches the driver.
 SAMPLE = 20_000
 #: Partial counts that a task holds before it hands them on.
@@ -72,14 +75,15 @@ class Grammar:
                 return hit
         return None
 
-    def clauses(self, text: str | None) -> list[float]:
-        """The scores of the clauses in which an insult or a threat is matched."""
+    def clauses(self, text: str | None) -> tuple[list[float], int]:
+        """The scores of the clauses in which an insult or a threat is matched, and the number of all clauses."""
         if not text:
-            return []
+            return [], 1
         tokens, heads = words(text), self.heads
+        clauses = max(1, tokens.count(b"."))
         hits = [(i, r) for i, t in enumerate(tokens) if t[:4] in heads and (r := self.read(t))]
         if not any(kind >= THREAT for _, (kind, _) in hits):
-            return []
+            return [], clauses
         stops = np.flatnonzero(np.array([t == b"." for t in tokens]))
         clause = np.searchsorted(stops, [i for i, _ in hits]).tolist()
         found, state, now, at, negated = [], 0, 0.0, -1, -99
@@ -94,13 +98,14 @@ class Grammar:
                 negated = i
             state, factor = self.product[state, kind]
             now += factor * weight
-        return found + [now] if now else found
+        return (found + [now] if now else found), clauses
 
     def features(self, text: str | None) -> tuple[float, ...]:
-        found = self.clauses(text)
-        if not found:
-            return (0.0, 0.0, 0.0)
-        return (max(found), math.log1p(sum(found)), math.log1p(len(found)))
+        """What the probability depends on: the best clause, sum and number of matches, clauses, density, strong matches."""
+        found, clauses = self.clauses(text)
+        total = sum(found)
+        strong = sum(x for x in found if x >= STRONG)
+        return (max(found, default=0.0), math.log1p(total), math.log1p(len(found)), math.log1p(clauses), total / clauses, math.log1p(strong))
 
     def score(self, text: str | None) -> float:
         z = self.weights[0] + sum(w * x for w, x in zip(self.weights[1:], self.features(text)))
@@ -208,20 +213,21 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, hold: int = 2, sampl
     sizes = {r.y: r["count"] for r in one.groupBy("y").count().collect()}
     grammar = Grammar(learn_insults(train.where("y = 1"), train.where("y = 0"), sizes.get(1, 0), sizes.get(0, 0)))
     shared = docs.sparkSession.sparkContext.broadcast(grammar.insults)
+    names = [f"f{i}" for i in range(FEATURES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = Grammar(shared.value)
         for b in batches:
-            f = np.array([g.features(t) for t in b.column(1).to_pylist()], float).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, f.T)], ["y", "a", "b", "c"])
+            f = np.array([g.features(t) for t in b.column(1).to_pylist()], float).reshape(-1, FEATURES)
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, f.T)], ["y", *names])
 
     chosen = F.broadcast(labelled_sample(labels, "toxic", folds, hold, sample))
-    rows = arrow_map(docs.select("doc_id", "text").join(chosen, "doc_id").select("y", "text"), run, "y int, a double, b double, c double").toPandas()
+    rows = arrow_map(docs.select("doc_id", "text").join(chosen, "doc_id").select("y", "text"), run, "y int, " + ", ".join(f"{n} double" for n in names)).toPandas()
     y = rows["y"].to_numpy(float)
     if len(y) and y.min() < y.max():
-        weights = logistic(rows[["a", "b", "c"]].to_numpy(float), y)
+        weights = logistic(rows[names].to_numpy(float), y)
     else:
-        weights = (-3.0, 1.0, 1.0, 0.0)
+        weights = (-3.0, 1.0, 1.0, 0.0, -0.5, 0.0, 0.0)
     return Grammar(grammar.insults, weights)
 
 
