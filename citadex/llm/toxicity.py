@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citadex.llm.common import arrow_map, held_out
+from citadex.llm.common import arrow_map, settle
 from citadex.llm.quality import labelled_sample
 
 # Seed words of the closed classes, in English, German, French and Spanish.
@@ -35,8 +35,8 @@ STEMS = (4, 5, 6, 7, 8)
 #: A clause of at least this weight is a strong match.
 STRONG = 3.5
 FEATURES = 6
-#: Labelled documents for the weights of the clause scores; bounds what reaches the driver.
-SAMPLE = 20_000
+#: Labelled documents for the lexicon, and for the weights of the clause scores; bounds broadcast and driver.
+LEXICON_SAMPLE, SAMPLE = 100_000, 20_000
 #: Partial counts that a task holds before it hands them on.
 HELD = 400_000
 SEED_WEIGHT = 2.5
@@ -165,7 +165,7 @@ def _document_counts(docs: DataFrame, known: set[bytes] | None) -> DataFrame:
 def learn_insults(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int) -> dict[bytes, float]:
     """Words and stems that set labelled toxic texts apart, with their log odds as weights.
 
-    Counts cover all labelled texts; the candidates are the entries that most toxic texts hold, and the lexicon the
+    The candidates are the entries that most toxic texts hold, and the lexicon the
     clearest of them, both bounded.
     """
     seeds = {w.encode(): SEED_WEIGHT for w in INSULTS}
@@ -201,16 +201,15 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
     return tuple(map(float, w))
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, hold: int = 2, sample: int = SAMPLE) -> Grammar:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, hold: int = 2, sample: int = SAMPLE, lexicon_sample: int = LEXICON_SAMPLE) -> Grammar:
     """The grammar from labelled documents outside the held-out fold.
 
-    The lexicon is counted over all of them, the weights of the clause scores come from at most ``sample``. Without labels
-    of both kinds only the seed words count.
+    The lexicon comes from at most ``lexicon_sample`` of them, the weights of the clause scores from at most ``sample``, each
+    those of least id hash; so many ids at most are broadcast. Without labels of both kinds only the seed words count.
     """
-    usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", folds, hold))
-    one = usable.groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("y"))
-    train = docs.where("text IS NOT NULL").select("doc_id", "text").join(one, "doc_id")
-    sizes = {r.y: r["count"] for r in one.groupBy("y").count().collect()}
+    chosen = settle(labelled_sample(labels, "toxic", folds, hold, lexicon_sample))
+    train = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    sizes = {r.y: r["count"] for r in chosen.groupBy("y").count().collect()}
     grammar = Grammar(learn_insults(train.where("y = 1"), train.where("y = 0"), sizes.get(1, 0), sizes.get(0, 0)))
     shared = docs.sparkSession.sparkContext.broadcast(grammar.insults)
     names = [f"f{i}" for i in range(FEATURES)]
@@ -221,8 +220,9 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, hold: int = 2, sampl
             f = np.array([g.features(t) for t in b.column(1).to_pylist()], float).reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, f.T)], ["y", *names])
 
-    chosen = F.broadcast(labelled_sample(labels, "toxic", folds, hold, sample))
-    rows = arrow_map(docs.select("doc_id", "text").join(chosen, "doc_id").select("y", "text"), run, "y int, " + ", ".join(f"{n} double" for n in names)).toPandas()
+    few = F.broadcast(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
+    weighed = docs.select("doc_id", "text").join(few, "doc_id").select("y", "text")
+    rows = arrow_map(weighed, run, "y int, " + ", ".join(f"{n} double" for n in names)).toPandas()
     y = rows["y"].to_numpy(float)
     if len(y) and y.min() < y.max():
         weights = logistic(rows[names].to_numpy(float), y)
