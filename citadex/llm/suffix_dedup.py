@@ -433,17 +433,18 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keyed(docs: DataFrame, id_column: str) -> DataFrame:
-    """rid, id, t (bytes): a unique number in the order of the ids, and the text.
+    """rid, row, t (bytes): a unique number in the order of the ids, the other columns, and the text.
 
     The ids themselves serve if they are unique and not null; else the rows are numbered in a written table, in the order of
     id, null last, and text.
     """
-    rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("t"))
+    row = F.struct(*[c for c in docs.columns if c != "text"]).alias("row")
+    rows = docs.select(F.col(id_column).alias("id"), row, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("t"))
     unusable = rows.groupBy("id").count().where("count > 1 OR id IS NULL").limit(1).count()
     if not unusable:
-        return rows.select(F.col("id").alias("rid"), "id", "t")
+        return rows.select(F.col("id").alias("rid"), "row", "t")
     order = [F.col("id").asc_nulls_last(), F.col("t")]
-    return settle(rows.repartitionByRange(*order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("rid"), "id", "t"))
+    return settle(rows.repartitionByRange(*order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("rid"), "row", "t"))
 
 
 def _sampled(docs: DataFrame, total: int) -> tuple[frozenset[int], list[bytes]]:
@@ -509,27 +510,48 @@ def kept_mask(n: int, starts: list[int] | None, ends: list[int] | None) -> np.nd
     return np.cumsum(step[:n]) == 0
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    for b in batches:
+        out = []
+        for text, starts, ends in zip(*(b.column(i).to_pylist() for i in range(1, 4))):
+            keep = kept_mask(len(text), starts, ends)
+            runs = int(np.count_nonzero(np.diff(np.r_[True, keep].astype(np.int8)) == -1))
+            kept = text if not runs else np.frombuffer(text, np.uint8)[keep].tobytes()
+            out.append((len(text), len(text) - len(kept), runs, kept))
+        columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds]
+        yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["row", "n_bytes", "n_removed", "n_spans", "kept"])
+
+
 def dedup(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (bytes), of every row of ``docs``.
+    """row, n_bytes, n_removed, n_spans, kept (bytes) of every row of ``docs``; row holds its columns but the text.
 
     Removed is each byte under a string of ``LENGTH`` bytes that also starts earlier: in a document of smaller id or further
     ahead in the same one. Strings are judged on the input. Null texts are empty. Rows that share an id are documents of
     their own in the order of their texts; rows without an id come last. Texts under ``LENGTH`` bytes stay whole; columns
     beyond the id and text do not matter; an empty table gives an empty one.
     """
+    keyed = _keyed(docs, doc_id)
+    found = settle(repeats(keyed.select("rid", "t")))
+    joined = keyed.join(broadcast_if(fits(found, BROADCAST_ROWS), found), "rid", "left").select("row", "t", "starts", "ends")
+    row = joined.schema["row"].dataType.simpleString()
+    return arrow_map(joined, _cut, f"row {row}, n_bytes long, n_removed long, n_spans long, kept binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def cleaned(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` with what ``dedup`` leaves of the texts; n_chars, if there, counts it.
+
+    Bytes of a character that a removed stretch cuts in two go with it. A null text comes out empty; a document of which
+    nothing is left stays with an empty text.
+    """
+    found = dedup(docs, doc_id).select("row", "kept")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for doc, text, starts, ends in zip(*(b.column(i).to_pylist() for i in range(4))):
-                keep = kept_mask(len(text), starts, ends)
-                runs = int(np.count_nonzero(np.diff(np.r_[True, keep].astype(np.int8)) == -1))
-                kept = text if not runs else np.frombuffer(text, np.uint8)[keep].tobytes()
-                out.append((doc, len(text), len(text) - len(kept), runs, kept))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            texts = [x.decode("utf-8", "ignore") for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["row", "text", "chars"])
 
-    keyed = _keyed(docs, doc_id)
-    found = settle(repeats(keyed.select("rid", "t")))
-    joined = keyed.join(broadcast_if(fits(found, BROADCAST_ROWS), found), "rid", "left").select("id", "t", "starts", "ends")
-    return arrow_map(joined, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    row = found.schema["row"].dataType.simpleString()
+    texts = arrow_map(found, whole, f"row {row}, text string, chars long")
+    columns = [F.col("text") if c == "text" else F.col("chars").alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in docs.columns]
+    return texts.select(*columns)
