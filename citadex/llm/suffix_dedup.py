@@ -308,10 +308,8 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[tuple[in
 
 
 def _run_rows(splits: list[bytes], held: list[tuple[bytes, bytes, int, int]], strings: bool) -> list[tuple[int, bytes]]:
-    """One sorted run, cut at the splits: (part, front-coded block). Of equal strings a run keeps the first."""
+    """One sorted run, cut at the splits: (part, front-coded block)."""
     held.sort()
-    if strings:
-        held = [h for i, h in enumerate(held) if not i or held[i - 1][0] != h[0]]
     cuts = [bisect_right(splits, h[0][:GRAM] if not strings else h[0]) for h in held]
     rows, a = [], 0
     while a < len(held):
@@ -327,6 +325,18 @@ def _run_rows(splits: list[bytes], held: list[tuple[bytes, bytes, int, int]], st
     return rows
 
 
+def _first_strings(held: list[tuple[bytes, bytes, int, int]]) -> tuple[list[tuple[bytes, bytes, int, int]], list[tuple[int, int]]]:
+    """Of equal strings the first, so that a run never repeats one; and where the others start."""
+    held.sort()
+    first, again = [], []
+    for i, h in enumerate(held):
+        if not i or held[i - 1][0] != h[0]:
+            first.append(h)
+        elif held[i - 1][2:] != h[2:]:  # two anchors may share a string of one place
+            again.append(h[2:])
+    return first, again
+
+
 def _runs(splits: list[bytes], frequent_splits: list[bytes]):
     """Sorted, front-coded runs of the suffixes at open anchors, and of the strings at frequent ones."""
 
@@ -337,8 +347,13 @@ def _runs(splits: list[bytes], frequent_splits: list[bytes]):
         def flush() -> Iterator[pa.RecordBatch]:
             for kind, held, cuts in ((OPEN, suffixes, splits), (FREQUENT, strings, frequent_splits)):
                 if held:
-                    rows = _run_rows(cuts, held, kind == FREQUENT)
                     offset = 0 if kind == OPEN else len(splits) + 1
+                    run, again = _first_strings(held) if kind == FREQUENT else (held, [])
+                    if again:
+                        blob = _pack(*(np.array(c, np.int64) for c in zip(*again)))
+                        part = offset + zlib.crc32(blob) % (len(cuts) + 1)
+                        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([SETTLED], pa.int32()), pa.array([blob])], ["part", "kind", "blob"])
+                    rows = _run_rows(cuts, run, kind == FREQUENT)
                     held.clear()
                     for i in range(0, len(rows), 64):
                         parts = pa.array([r[0] + offset for r in rows[i : i + 64]], pa.int32())
@@ -404,12 +419,20 @@ def repeated(keys: list[bytes], shared: np.ndarray, lefts: list[bytes], rid: np.
     return hit
 
 
+def _stretches(rid: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["rid", "start", "end"])
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merge all blocks of a range and tell the repeated strings: rid, start, end."""
     blocks: dict[int, list] = {OPEN: [], FREQUENT: []}
     for b in batches:
         for kind, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-            blocks[kind].append(_read_block(blob))
+            if kind == SETTLED:
+                doc, start = _unpack(blob, np.int64, np.int64)
+                yield _stretches(doc, start, start + LENGTH)
+            else:
+                blocks[kind].append(_read_block(blob))
     for kind, found in blocks.items():
         if not found:
             continue
@@ -429,7 +452,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rank = np.lexsort((at, rid, group))
             again = rank[~_first_of_equal(rank, group)]
             start, end, doc = at[again], at[again] + LENGTH, rid[again]
-        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["rid", "start", "end"])
+        yield _stretches(doc, start, end)
 
 
 def _keyed(docs: DataFrame, id_column: str) -> DataFrame:
