@@ -18,6 +18,8 @@ from citadex.sizes import BROADCAST_ROWS, broadcast_if, fits
 
 #: Blocks a source is cut into; the plan has at most so many rows a source, however many documents there are.
 BLOCKS = 1024
+#: Random orders that a source's blocks are tried in; the one that comes nearest to the quota is drawn.
+ORDERS = 24
 #: Words of the mix that one shard should hold.
 SHARD_WORDS = 4_000_000
 MAX_SHARDS = 4096
@@ -70,11 +72,21 @@ def _draw(blocks: Column, need: Column) -> Column:
     return walked
 
 
+def _order(blocks: Column, seed: Column) -> Column:
+    """Blocks in the random order of a seed."""
+    return F.sort_array(F.transform(blocks, lambda b: F.struct(F.xxhash64(b["block"], seed).alias("key"), b["block"].alias("block"), b["words"].alias("words"))))
+
+
+def _left(blocks: Column, need: Column) -> Column:
+    """Words that are missing after drawing in this order."""
+    return F.aggregate(blocks, need.cast("double"), lambda left, b: F.when(b["words"] <= left, left - b["words"]).otherwise(left))
+
+
 def plan(blocks: DataFrame, targets: DataFrame, seed: int, most: float) -> DataFrame:
     """source, block, times: how often each block goes into the mix."""
     per_source = (
         blocks.groupBy("source")
-        .agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("block", F.lit(seed + 1)).alias("key"), "block", "words"))).alias("blocks"))
+        .agg(F.sort_array(F.collect_list(F.struct("block", "words"))).alias("blocks"))
         .alias("b")
         .join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source")))
         .select("b.source", "blocks", "source_size", "target")
@@ -83,7 +95,10 @@ def plan(blocks: DataFrame, targets: DataFrame, seed: int, most: float) -> DataF
     need = F.when(F.col("passes") >= int(most), 0.0).otherwise(F.greatest(F.col("target") - F.col("passes") * F.col("source_size"), F.lit(0.0)))
     drawn = (
         per_source.withColumn("passes", whole)
-        .withColumn("walk", _draw(F.col("blocks"), need))
+        .withColumn("need", need)
+        .withColumn("tries", F.transform(F.sequence(F.lit(seed + 1), F.lit(seed + ORDERS)), lambda k: F.struct(_left(_order(F.col("blocks"), k), F.col("need")).alias("left"), k.alias("seed"))))
+        .withColumn("blocks", _order(F.col("blocks"), F.array_min("tries")["seed"]))
+        .withColumn("walk", _draw(F.col("blocks"), F.col("need")))
         .withColumn("pairs", F.arrays_zip(F.col("blocks"), F.col("walk.drawn").alias("drawn")))
         .withColumn("least", F.array_min(F.transform(F.filter("pairs", lambda p: (p["drawn"] == 0) & (p["blocks"]["words"] > 0)), lambda p: p["blocks"]["words"])))
         .withColumn("more", F.coalesce((F.col("passes") < int(most)) & (F.col("least") < 2 * F.col("walk.left")), F.lit(False)))
