@@ -23,18 +23,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citadex.llm.common import arrow_map, settle
-from citadex.sizes import BROADCAST_ROWS, broadcast_if, fits
+from citadex.sizes import BROADCAST_ROWS, broadcast_if
 
 LENGTH = 100
 GRAM = 50
 #: How far a string may reach to the left of the gram it is anchored at, and to the right of it.
 SIDE = LENGTH - GRAM
 #: Bytes of text whose anchors one task holds at a time, and a task of the first exchange receives.
-TASK_BYTES = 32 << 20
+TASK_BYTES = 16 << 20
 #: Different surroundings of one gram beyond which its strings are sorted each for itself.
 GROUP = 20_000
 #: Suffixes that one merge aims at.
 MERGE = 40_000
+#: Positions in lists beside which a broadcast is hinted, about 16 MB.
+BROADCAST_NUMBERS = 4_000_000
 #: Documents whose anchors show which grams are frequent and how suffixes spread; steers the work, not the result.
 SAMPLE = 4_096
 _BASE = 0x100000001B3
@@ -185,8 +187,8 @@ def _deal(parts: int, frequent: frozenset[int]):
     return run
 
 
-def _decide(frequent: frozenset[int]):
-    """Per document: anchors whose surroundings start earlier, and those that sorting has to decide."""
+def _decide(parts: int, frequent: frozenset[int]):
+    """Anchors whose surroundings start earlier, and those that sorting has to decide, packed by hash of their document."""
     hot = np.array(sorted(frequent), np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,17 +220,49 @@ def _decide(frequent: frozenset[int]):
                 places.append(at[keep[which]])
                 kinds.append(np.full(int(which.sum()), kind, np.int32))
         doc, place, kind = np.concatenate(docs), np.concatenate(places), np.concatenate(kinds)
-        order = np.lexsort((place, kind, doc))
-        doc, place, kind = doc[order], place[order], kind[order]
-        bounds = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (kind[1:] != kind[:-1]), True]) if len(doc) else np.zeros(1, np.int64)
-        for a in range(0, len(bounds) - 1, 20_000):
-            cut = bounds[a : a + 20_001]
-            lists = pa.ListArray.from_arrays(pa.array((cut - cut[0]).astype(np.int32)), pa.array(place[cut[0] : cut[-1]]))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[cut[:-1]]), pa.array(kind[cut[:-1]]), lists], ["rid", "kind", "at"])
+        target = doc.view(np.uint64) * _MIX >> np.uint64(33)
+        target %= np.uint64(parts)
+        order = np.lexsort((place, doc, target))
+        bounds = np.searchsorted(target[order], np.arange(parts + 1, dtype=np.uint64))
+        rows = [(p, _pack(doc[k], place[k], kind[k])) for p in range(parts) if len(k := order[bounds[p] : bounds[p + 1]])]
+        for i in range(0, len(rows), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 64]), (pa.int32(), pa.binary()))], ["part", "blob"])
 
     return run
 
 
+def _lists(rid: np.ndarray, ids: np.ndarray, *values: np.ndarray) -> list[pa.ListArray]:
+    """One list of each column's values for each of ``ids``; both are sorted."""
+    offsets = pa.array(np.r_[np.searchsorted(rid, ids), len(rid)].astype(np.int32))
+    return [pa.ListArray.from_arrays(offsets, pa.array(v.astype(np.int32))) for v in values]
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document: open and frequent anchors, and the joined stretches of the settled ones."""
+    held = [_unpack(blob, np.int64, np.int32, np.int32) for b in batches for blob in b.column(1).to_pylist()]
+    if not held:
+        return
+    doc, at, kind = (np.concatenate(c) for c in zip(*held))
+    held.clear()
+    order = np.lexsort((at, doc))
+    doc, at, kind = doc[order], at[order], kind[order]
+    d, p = doc[kind == SETTLED], at[kind == SETTLED].astype(np.int64)
+    start, end = np.maximum(p - SIDE, 0), p + GRAM + SIDE
+    fresh = np.r_[True, (d[1:] != d[:-1]) | (start[1:] > end[:-1])] if len(d) else np.zeros(0, bool)
+    last = np.r_[fresh[1:], True] if len(d) else fresh
+    ids = np.unique(doc)
+    for a in range(0, len(ids), 4096):
+        some = ids[a : a + 4096]
+        within = lambda x: (x >= some[0]) & (x <= some[-1])  # noqa: E731, B023
+        columns = [pa.array(some)]
+        for k in (OPEN, FREQUENT):
+            mine = (kind == k) & within(doc)
+            columns += _lists(doc[mine], some, at[mine])
+        mine = fresh & within(d)
+        columns += _lists(d[mine], some, start[mine], end[last & within(d)])
+        yield pa.RecordBatch.from_arrays(columns, ["rid", "at", "often", "starts", "ends"])
+
+
 def common(a: bytes, b: bytes, known: int = 0) -> int:
     """Length of the common prefix, of which ``known`` bytes are not looked at again."""
     n = min(len(a), len(b))
@@ -503,27 +537,27 @@ def repeats(docs: DataFrame) -> DataFrame:
     parts = max(4, math.ceil((size or 0) / TASK_BYTES))
     frequent, spread = _sampled(docs, total)
     dealt = arrow_map(docs.select("rid", "t"), _deal(parts, frequent), "part int, kind int, blob binary").repartitionById(parts, F.col("part"))
-    found = settle(arrow_map(dealt, _decide(frequent), "rid long, kind int, at array<int>"))
-    left = {r.kind: r.n for r in found.where("kind <> 0").groupBy("kind").agg(F.sum(F.size("at")).alias("n")).collect()}
-    splits = _quantiles(spread, max(1, math.ceil(left.get(OPEN, 0) / MERGE)))
-    frequent_splits = _quantiles(spread, max(1, math.ceil(left.get(FREQUENT, 0) * SIDE / MERGE)))
-    todo = (
-        found.where("kind <> 0")
-        .groupBy("rid")
-        .agg(F.flatten(F.collect_list(F.when(F.col("kind") == OPEN, F.col("at")))).alias("at"), F.flatten(F.collect_list(F.when(F.col("kind") == FREQUENT, F.col("at")))).alias("often"))
-    )
-    joined = docs.join(broadcast_if(fits(todo, BROADCAST_ROWS), todo), "rid").select("rid", "t", "at", "often")
+    decided = arrow_map(dealt, _decide(parts, frequent), "part int, blob binary").repartitionById(parts, F.col("part"))
+    found = settle(arrow_map(decided, _by_document, "rid long, at array<int>, often array<int>, starts array<int>, ends array<int>"))
+    n_open, n_often = found.agg(F.sum(F.size("at")), F.sum(F.size("often"))).first()
+    splits = _quantiles(spread, max(1, math.ceil((n_open or 0) / MERGE)))
+    frequent_splits = _quantiles(spread, max(1, math.ceil((n_often or 0) * SIDE / MERGE)))
+    todo = found.where((F.size("at") > 0) | (F.size("often") > 0)).select("rid", "at", "often")
+    joined = docs.join(_if_light(todo, "at", "often"), "rid").select("rid", "t", "at", "often")
     ranges = len(splits) + len(frequent_splits) + 2
     runs = arrow_map(joined, _runs(splits, frequent_splits), "part int, kind int, blob binary").repartitionById(ranges, F.col("part"))
     sorted_out = arrow_map(runs, _merge, "rid long, start int, end int")
-    settled = found.where("kind = 0").select(
-        "rid", F.transform("at", lambda p: F.greatest(p - SIDE, F.lit(0))).alias("starts"), F.transform("at", lambda p: p + (GRAM + SIDE)).alias("ends")
-    )
     single = sorted_out.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("s")).select("rid", F.col("s.start").alias("starts"), F.col("s.end").alias("ends"))
-    every = settled.unionByName(single)
+    every = found.where(F.size("starts") > 0).select("rid", "starts", "ends").unionByName(single)
     return every.groupBy("rid").agg(F.collect_list(F.struct("starts", "ends")).alias("s")).select("rid", F.flatten("s.starts").alias("starts"), F.flatten("s.ends").alias("ends"))
 
 
+def _if_light(lists: DataFrame, *columns: str) -> DataFrame:
+    """Hint a broadcast if rows and all numbers in the lists are few enough."""
+    rows, numbers = lists.agg(F.count("*"), F.sum(sum((F.size(c) for c in columns), F.lit(0)))).first()
+    return broadcast_if(rows <= BROADCAST_ROWS and (numbers or 0) <= BROADCAST_NUMBERS, lists)
+
+
 def kept_mask(n: int, starts: list[int] | None, ends: list[int] | None) -> np.ndarray:
     """Which bytes of a text stay."""
     step = np.zeros(n + 1, np.int64)
@@ -556,7 +590,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """
     keyed = _keyed(docs, doc_id)
     found = settle(repeats(keyed.select("rid", "t")))
-    joined = keyed.join(broadcast_if(fits(found, BROADCAST_ROWS), found), "rid", "left").select("row", "t", "starts", "ends")
+    joined = keyed.join(_if_light(found, "starts", "ends"), "rid", "left").select("row", "t", "starts", "ends")
     row = joined.schema["row"].dataType.simpleString()
     return arrow_map(joined, _cut, f"row {row}, n_bytes long, n_removed long, n_spans long, kept binary")
 
