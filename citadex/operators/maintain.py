@@ -8,7 +8,6 @@ any other.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -195,11 +194,6 @@ def choose_title(new: Column, stored: Column, family: Column, ref_no: Column, md
     )
 
 
-def direction_title(stored: Column, page_title: Column) -> Column:
-    """Directions keep the listing's title and take the page's only when there is none."""
-    return F.when(F.coalesce(stored, F.lit("")) != "", stored).otherwise(page_title)
-
-
 # --- withdrawals ----------------------------------------------------------------------------------------------
 
 
@@ -385,7 +379,3 @@ def meta_upsert(stored: DataFrame, updates: DataFrame, only_missing: Sequence[st
     both = stored.withColumn("_new", F.lit(0)).unionByName(updates.withColumn("_new", F.lit(1)))
     newest = F.max_by(F.struct("value", "updated_at"), F.struct("_new", "updated_at")).alias("_row")
     return both.groupBy("key").agg(newest).select("key", "_row.*")
-
-
-def union_all(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

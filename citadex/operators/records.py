@@ -22,7 +22,6 @@ REF_CAPITALS = r"[A-Z]{2,}"
 REF_SEPARATOR = r"[/.]"
 REF_START = r"^[A-Z][A-Z0-9.()/_\-]*[/.]"
 REF_WITH_NUMBER = r"[A-Z]{2,}.*[/.].*\d"
-REF_AGENCY = "RBI"
 SERIAL = r"(?U)^\d+\.?$"
 YEAR = r"(?U)\b(19|20)\d{2}\b"
 SIZE_SUFFIX = r"(?iU)\s+\d{1,5}\s*kb\s*$"
@@ -105,7 +104,7 @@ def _once(df: DataFrame, *columns: Column | str) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*columns))))
 
 
-def is_ref_like(text: Column) -> Column:
+def is_ref_like(text: Column, agency: str = REGULATOR.agency) -> Column:
     """Does a cell look like an agency reference: capitals, separators, no long phrase, no plain date?"""
     words = F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))
     return F.coalesce(
@@ -114,7 +113,7 @@ def is_ref_like(text: Column) -> Column:
         & ~(text.contains(" ") & (words > 6))
         & text.rlike(REF_CAPITALS)
         & text.rlike(REF_SEPARATOR)
-        & (F.trim(text).rlike(REF_START) | F.upper(text).startswith(REF_AGENCY))
+        & (F.trim(text).rlike(REF_START) | F.upper(text).startswith(agency))
         & (text.rlike(REF_WITH_NUMBER) | D.parse_date(text).isNull()),
         F.lit(False),
     )
@@ -124,7 +123,7 @@ def is_serial(text: Column) -> Column:
     return text.rlike(SERIAL)
 
 
-def pick_title(cells: Column, linked: Column, ref: Column) -> Column:
+def pick_title(cells: Column, linked: Column, ref: Column, agency: str = REGULATOR.agency) -> Column:
     """The first non-empty cell that holds the record's link, else the longest cell that is no date, reference or serial.
 
     ``linked`` is the parallel array of booleans; the earliest of equally long cells wins.
@@ -133,7 +132,7 @@ def pick_title(cells: Column, linked: Column, ref: Column) -> Column:
     by_link = F.try_element_at(F.filter(pairs, lambda p: p["hit"] & (p["t"] != "")), F.lit(1))["t"]
     plain = F.filter(
         cells,
-        lambda t: (t != "") & ~is_serial(t) & ~t.eqNullSafe(ref) & ~is_ref_like(t) & ~D.is_date_cell(t),
+        lambda t: (t != "") & ~is_serial(t) & ~t.eqNullSafe(ref) & ~is_ref_like(t, agency) & ~D.is_date_cell(t),
     )
     longest = F.array_max(F.transform(plain, lambda t, i: F.struct(F.length(t).alias("n"), (-i).alias("i"), t.alias("t"))))["t"]
     return F.coalesce(by_link, longest)
@@ -176,13 +175,13 @@ def withdrawn_rows(pages: DataFrame, profile: SiteProfile = REGULATOR) -> DataFr
     marked = _once(
         rows.filter(joined.rlike(YEAR)),
         "page_id", "url", "row_no", "cells", href.alias("href"), "linked", dates.alias("dates"),
-        F.try_element_at(F.filter("cells", is_ref_like), F.lit(1)).alias("original_ref"),
+        F.try_element_at(F.filter("cells", lambda t: is_ref_like(t, profile.agency)), F.lit(1)).alias("original_ref"),
     )
     found = _once(
         marked,
         "page_id", "row_no", "original_ref",
         extract(F.col("href"), profile.notification_url).alias("original_id"),
-        pick_title(F.col("cells"), F.col("linked"), F.col("original_ref")).alias("title"),
+        pick_title(F.col("cells"), F.col("linked"), F.col("original_ref"), profile.agency).alias("title"),
         F.col("dates.issued_date").alias("issued_date"), F.col("dates.withdrawn_date").alias("withdrawn_date"),
         F.lit(None).cast("string").alias("replacement_ref"),
         canonicalize_url(resolve_url(F.col("url"), F.col("href")), profile).alias("detail_url"),

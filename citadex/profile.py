@@ -25,6 +25,18 @@ class SiteProfile:
     reference: str  # whole-string textual reference
     header_reference: str
     inline_reference: str
+    agency: str  # how its textual references begin
+
+
+def reference_patterns(agency: str) -> dict[str, str]:
+    """The reference patterns of a profile, for references that begin with ``agency``."""
+    # Shapes of textual references.
+    return {
+        "agency": agency,
+        "reference": rf"(?iU)^\s*{agency}[/][A-Za-z0-9./\s\-]{{1,200}}\d{{4}}[/\s\-]{{1,5}}\d{{1,10}}\s*$",
+        "header_reference": rf"(?U)\b{agency}\s*/\s*[A-Za-z]*\s*/?\s*\d{{4}}\s*[-–]\s*\d{{2,4}}\s*/\s*\d+\b",
+        "inline_reference": rf"(?iU){agency}[/\s][A-Za-z0-9./\s\-]+\d{{4}}[/\s\-]+\d+",
+    }
 
 
 # The regulator's public site.
@@ -42,41 +54,9 @@ REGULATOR = SiteProfile(
     faq_item=r"(?i)FAQView\.aspx\?Id=(\d+)",
     press_release_url=r"(?i)BS_PressReleaseDisplay\.aspx\?prid=(\d+)",
     category_url=r"(?i)BS_ViewMasterCirculardetails\.aspx\?did=(\d+)",
-    reference=r"(?iU)^\s*RBI[/][A-Za-z0-9./\s\-]{1,200}\d{4}[/\s\-]{1,5}\d{1,10}\s*$",
-    header_reference=r"(?U)\bRBI\s*/\s*[A-Za-z]*\s*/?\s*\d{4}\s*[-–]\s*\d{2,4}\s*/\s*\d+\b",
-    inline_reference=r"(?iU)RBI[/\s][A-Za-z0-9./\s\-]+\d{4}[/\s\-]+\d+",
+    **reference_patterns("RBI"),
 )
 
-# Topic aliases and the direction each one narrows a search to (None: no narrowing).
-TOPIC_ALIASES: dict[str, str | None] = {
-    "payment_aggregator": "12896",
-    "pa": "12896",
-    "pa_pg": "12896",
-    "kyc_bank": "13141",
-    "kyc_commercial_bank": "13141",
-    "bank_kyc": "13141",
-    "kyc_nbfc": "12943",
-    "nbfc_kyc": "12943",
-    "ppi": "12156",
-    "prepaid": "12156",
-    "prepaid_payment_instrument": "12156",
-    "wallet": "12156",
-    "cards": "13155",
-    "credit_card": "13155",
-    "debit_card": "13155",
-    "tokenisation": "13155",
-    "tokenization": "13155",
-    "e_mandate": "13374",
-    "emandate": "13374",
-    "recurring": "13374",
-    "recurring_payment": "13374",
-    "digital_payment_security": "12032",
-    "payment_security": "12032",
-    "afa": "12032",
-    "additional_factor_authentication": "12032",
-    "kyc": None,
-}
-
 # Boilerplate attachments and labels, and table header labels.
 NOISE_LABELS = ("rbi's vision and values", "accessibility statement")
 NOISE_URL_PARTS = ("Utkarsh", "Accessibility20012026")

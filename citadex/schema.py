@@ -4,52 +4,116 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-
-def _struct(spec: str) -> T.StructType:
-    return T.StructType([_field(part) for part in spec.split(",")])
-
-
 _TYPES = {
-    "s": T.StringType(),
-    "i": T.IntegerType(),
-    "d": T.DoubleType(),
-    "b": T.BooleanType(),
-    "date": T.DateType(),
-    "ts": T.TimestampType(),
-    "strs": T.ArrayType(T.StringType()),
-    "vec": T.ArrayType(T.FloatType()),
+    "STRING": T.StringType(),
+    "INT": T.IntegerType(),
+    "DOUBLE": T.DoubleType(),
+    "BOOLEAN": T.BooleanType(),
+    "DATE": T.DateType(),
+    "TIMESTAMP": T.TimestampType(),
+    "ARRAY<STRING>": T.ArrayType(T.StringType()),
+    "ARRAY<FLOAT>": T.ArrayType(T.FloatType()),
 }
 
 
-def _field(part: str) -> T.StructField:
-    name, kind = part.strip().split(":")
-    required = name.endswith("!")
-    return T.StructField(name.rstrip("!"), _TYPES[kind], not required)
+def _struct(ddl: str) -> T.StructType:
+    """A schema in DDL, read without a session."""
+    columns = [column.split(maxsplit=2) for column in ddl.strip().split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind], not rest) for name, kind, *rest in columns])
 
 
 DOCUMENTS = _struct(
-    "document_id!:s, md_id!:s, title!:s, detail_url!:s, last_updated_at:date, issued_date:date, ref_no:s, "
-    "department:s, document_family!:s, pdf_urls!:strs, status!:s, first_seen_at!:ts, last_seen_at!:ts, "
-    "raw_list_sha256:s"
+    """
+    document_id STRING NOT NULL,
+    md_id STRING NOT NULL,
+    title STRING NOT NULL,
+    detail_url STRING NOT NULL,
+    last_updated_at DATE,
+    issued_date DATE,
+    ref_no STRING,
+    department STRING,
+    document_family STRING NOT NULL,
+    pdf_urls ARRAY<STRING> NOT NULL,
+    status STRING NOT NULL,
+    first_seen_at TIMESTAMP NOT NULL,
+    last_seen_at TIMESTAMP NOT NULL,
+    raw_list_sha256 STRING
+    """
 )
 WITHDRAWN = _struct(
-    "original_ref:s, original_id:s, title!:s, issued_date:date, withdrawn_date:date, replacement_ref:s, "
-    "detail_url:s, first_seen_at!:ts, last_seen_at!:ts"
+    """
+    original_ref STRING,
+    original_id STRING,
+    title STRING NOT NULL,
+    issued_date DATE,
+    withdrawn_date DATE,
+    replacement_ref STRING,
+    detail_url STRING,
+    first_seen_at TIMESTAMP NOT NULL,
+    last_seen_at TIMESTAMP NOT NULL
+    """
 )
 CRAWL_RUNS = _struct(
-    "started_at!:ts, finished_at:ts, source!:s, source_url:s, status_code:i, raw_html_sha256:s, items_seen:i, "
-    "items_added:i, items_changed:i, items_removed:i, error:s"
+    """
+    started_at TIMESTAMP NOT NULL,
+    finished_at TIMESTAMP,
+    source STRING NOT NULL,
+    source_url STRING,
+    status_code INT,
+    raw_html_sha256 STRING,
+    items_seen INT,
+    items_added INT,
+    items_changed INT,
+    items_removed INT,
+    error STRING
+    """
 )
 CHUNKS = _struct(
-    "chunk_id!:s, document_id!:s, md_id!:s, ref_no:s, section:s, paragraph_anchor:s, page:i, text!:s, "
-    "text_sha256!:s, char_start!:i, char_end!:i, pdf_url:s, indexed_at:ts"
+    """
+    chunk_id STRING NOT NULL,
+    document_id STRING NOT NULL,
+    md_id STRING NOT NULL,
+    ref_no STRING,
+    section STRING,
+    paragraph_anchor STRING,
+    page INT,
+    text STRING NOT NULL,
+    text_sha256 STRING NOT NULL,
+    char_start INT NOT NULL,
+    char_end INT NOT NULL,
+    pdf_url STRING,
+    indexed_at TIMESTAMP
+    """
+)
+VECTORS = _struct(
+    """
+    chunk_id STRING NOT NULL,
+    embedding ARRAY<FLOAT> NOT NULL
+    """
 )
-VECTORS = _struct("chunk_id!:s, embedding!:vec")
 ARTIFACTS = _struct(
-    "pdf_url!:s, document_id!:s, md_id!:s, pdf_sha256:s, text_sha256:s, bytes:i, page_count:i, "
-    "extraction_quality:d, is_indexed!:b, fetched_at:ts, extracted_at:ts, error:s"
+    """
+    pdf_url STRING NOT NULL,
+    document_id STRING NOT NULL,
+    md_id STRING NOT NULL,
+    pdf_sha256 STRING,
+    text_sha256 STRING,
+    bytes INT,
+    page_count INT,
+    extraction_quality DOUBLE,
+    is_indexed BOOLEAN NOT NULL,
+    fetched_at TIMESTAMP,
+    extracted_at TIMESTAMP,
+    error STRING
+    """
+)
+META = _struct(
+    """
+    key STRING NOT NULL,
+    value STRING,
+    updated_at TIMESTAMP
+    """
 )
-META = _struct("key!:s, value:s, updated_at:ts")
 
 TABLES = {
     "documents": DOCUMENTS,
