@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,19 +17,18 @@ _ENTITY = r"&(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);"
 
 
 def _named_entities() -> Column:
-    table = {f"&{name};": chr(code) for name, code in name2codepoint.items()}
+    """The published table of character names, with those that may go without a semicolon."""
+    table = {f"&{name}": text for name, text in html5.items()}
     return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
 
 
 def _code_point(entity: Column) -> Column:
-    """Character of a numeric reference in the basic plane, else NULL."""
+    """Character of a numeric reference; NULL for zero, surrogates and what lies beyond Unicode."""
     digits = F.regexp_extract(entity, r"^&#[xX]?([0-9A-Fa-f]+);$", 1)
     hexed = F.when(entity.rlike("^&#[xX]"), F.upper(digits)).otherwise(F.conv(digits, 10, 16))
-    small = F.ltrim(hexed, F.lit("0"))
-    return F.when(
-        entity.startswith("&#") & (F.length(small) <= 4) & (small != ""),
-        F.decode(F.unhex(F.lpad(small, 4, "0")), "UTF-16BE"),
-    )
+    small = F.lpad(F.ltrim(hexed, F.lit("0")), 8, "0")
+    valid = (F.length(F.ltrim(hexed, F.lit("0"))).between(1, 6)) & (small <= "0010FFFF") & ~small.between("0000D800", "0000DFFF")
+    return F.when(entity.startswith("&#") & valid, F.decode(F.unhex(small), "UTF-32"))
 
 
 def unescape(c: Column) -> Column:

@@ -1,9 +1,11 @@
-"""English suffix stripping (Porter 1980), applied to the distinct vocabulary only."""
+"""English suffix stripping (Porter 1980), over token lists or a vocabulary, in Arrow batches."""
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,9 +93,24 @@ def porter(word: str) -> str:
     return word
 
 
+@lru_cache(maxsize=200_000)
+def _remembered(word: str) -> str:
+    return porter(word)
+
+
 @F.pandas_udf(T.StringType())
 def _porter_series(words: pd.Series) -> pd.Series:
-    return words.map(porter)
+    return words.map(_remembered, na_action="ignore")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _porter_lists(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda words: [_remembered(w) for w in words], na_action="ignore")
+
+
+def stem_tokens(tokens: Column) -> Column:
+    """A list of tokens folded to base letters and stripped of suffixes, inside its row; NULL stays NULL."""
+    return _porter_lists(F.transform(tokens, fold_diacritics))
 
 
 def stem_vocabulary(terms: DataFrame, col: str = "term") -> DataFrame:

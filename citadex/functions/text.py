@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -52,10 +53,20 @@ def index_tokens(c: Column) -> Column:
     return extract_all(F.lower(c), r"[\p{L}\p{N}]+")
 
 
-# Accented Latin letters and their base letters.
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
-_BASE = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
+def _folding() -> tuple[str, str]:
+    """Letters that decompose into a base letter and marks, and their base letters, from the Unicode tables."""
+    accented, base = [], []
+    for code in range(0xC0, 0x2000):
+        whole = unicodedata.normalize("NFD", chr(code))
+        if len(whole) > 1 and unicodedata.combining(whole[0]) == 0 and all(unicodedata.combining(c) for c in whole[1:]):
+            accented.append(chr(code))
+            base.append(whole[0])
+    return "".join(accented), "".join(base)
+
+
+_ACCENTED, _BASE = _folding()
 
 
 def fold_diacritics(c: Column) -> Column:
-    return F.translate(F.lower(c), _ACCENTED, _BASE)
+    """Lower case without diacritics: letters lose their marks, marks that stand alone go."""
+    return F.regexp_replace(F.translate(F.lower(c), _ACCENTED, _BASE), r"\p{Mn}+", "")

@@ -1,8 +1,9 @@
 """Keyword retrieval: query terms, term index, BM25 top-k.
 
-Layout for scale. Postings are partitioned by chunk, so all terms of one chunk meet in one task and the score of a
-(query, chunk) pair needs no shuffle of its own; a term that a third of the corpus uses is spread over all tasks.
-Only the best k rows per query and task travel to the final ranking.
+Layout for scale. A chunk's text never travels: its terms are read where the chunk is, filtered to the words asked for,
+and only the matched (chunk, term) rows are brought together by chunk. Status and document filters come from the chunk
+table of the moment by a join on the chunk, before any score is computed. Only the best k rows per query and task
+travel to the final ranking. A stored index lies in term order, so that a batch of queries reads the files of its terms.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.stem import stem_vocabulary
+from ..functions.stem import stem_tokens
 from ..functions.text import index_tokens, word_tokens
 from ..session import settle
 from ..sizes import BROADCAST_ROWS, fits
@@ -26,35 +27,32 @@ HOT_SHARE = 0.001
 SALTS = 64
 
 
-def query_terms(queries: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def analysed(tokens: Column, stem: bool) -> Column:
+    """Index terms as they are, or folded to base letters and stripped of suffixes: one function for texts and queries."""
+    return stem_tokens(tokens) if stem else tokens
+
+
+def query_terms(queries: DataFrame, carry: tuple[str, ...] = (), stem: bool = False) -> DataFrame:
     """(query_id, carry.., term, qtf): the first 32 word tokens; a query without tokens has no rows."""
     tokens = F.slice(word_tokens(F.col("text")), 1, MAX_QUERY_TERMS)
     parts = F.flatten(F.transform(tokens, index_tokens))
     return (
-        queries.select("query_id", *carry, F.explode(parts).alias("term"))
+        queries.select("query_id", *carry, parts.alias("parts"))
+        .select("query_id", *carry, F.explode(analysed(F.col("parts"), stem)).alias("term"))
         .groupBy("query_id", *carry, "term")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )
 
 
-def stemmed(terms: DataFrame, keys: tuple[str, ...], count_col: str) -> DataFrame:
-    """Replace terms by their stems and add the counts up; only the vocabulary goes through Python."""
-    stems = stem_vocabulary(terms)
-    return (
-        terms.join(stems, "term")
-        .groupBy(*keys, F.col("stem").alias("term"))
-        .agg(F.sum(count_col).alias(count_col))
-    )
-
-
 @dataclass
 class TextIndex:
-    """``key`` is a struct of chunk_id and the carried columns; equal chunks have equal keys."""
+    """Terms of chunks; what is known of a chunk beside its text is not part of it."""
 
-    postings: DataFrame  # key, dl, term, tf
+    postings: DataFrame  # chunk_id, dl, term, tf
     stats: DataFrame  # term, df; two pseudo terms hold the number of chunks and their total length
     hot_terms: DataFrame | None = None  # term; only kept for an index over the whole vocabulary
     stored: bool = False  # postings come from files and are not yet brought together by chunk
+    stem: bool = False  # terms are folded and stemmed, queries have to be, too
 
 
 #: Pseudo terms of the statistics, never tokens: number of chunks and total length. One column for all keeps the
@@ -62,41 +60,24 @@ class TextIndex:
 EVERY, LENGTH = "", "\u0001"
 
 
-def build_index(
-    chunks: DataFrame,
-    vocabulary: DataFrame | None = None,
-    carry: tuple[str, ...] = (),
-    stem: bool = False,
-) -> TextIndex:
-    """Inverted index of chunks (chunk_id, text, carry..).
-
-    The one shuffle brings each chunk's text to its task; postings, statistics and scores all read it. With
-    ``vocabulary`` (a checked-small set of terms) all other terms are dropped as they are read; the chunk count and
+def build_index(chunks: DataFrame, vocabulary: DataFrame | None = None, stem: bool = False) -> TextIndex:
+    """Inverted index of chunks (chunk_id, text).
+
+    With ``vocabulary`` (a checked-small set of terms) all other terms are dropped as they are read; the chunk count and
     the mean length always cover the whole table.
     """
-    tokens = index_tokens(F.col("text"))
-    spread = chunks.select(F.struct("chunk_id", *carry).alias("key"), "text").repartition("key")
+    rows = chunks.select("chunk_id", index_tokens(F.col("text")).alias("tokens"))
+    rows = rows.select("chunk_id", analysed(F.col("tokens"), stem).alias("tokens"))
     # The outer generator keeps Spark from testing the token list for emptiness first, which would tokenise twice.
-    exploded = (
-        spread.select("key", tokens.alias("tokens"))
-        .select("key", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term"))
-        .filter("term IS NOT NULL")
-    )
-    pseudo = F.array(F.lit(EVERY), F.lit(LENGTH))
-    seen = spread.select(tokens.alias("tokens")).select(
-        F.size("tokens").alias("dl"), F.explode_outer(F.concat(pseudo, F.array_distinct("tokens"))).alias("term")
-    )
+    exploded = rows.select("chunk_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term")).filter("term IS NOT NULL")
     if vocabulary is not None:
-        wanted = F.broadcast(vocabulary.select("term").distinct().withColumn("_wanted", F.lit(True)))
-        exploded = exploded.join(wanted, "term", "left_semi")
-        seen = seen.join(wanted, "term", "left").filter(F.col("term").isin(EVERY, LENGTH) | F.col("_wanted"))
-    postings = exploded.groupBy("key", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    if stem:
-        postings = stemmed(postings, ("key", "dl"), "tf")
-        every = seen.filter(F.col("term").isin(EVERY, LENGTH))
-        seen = postings.select("dl", "term").unionByName(every.select("dl", "term"))
-    stats = term_stats(seen)
-    return TextIndex(postings, stats, hot_terms(stats) if vocabulary is None else None)
+        exploded = exploded.join(F.broadcast(vocabulary.select("term").distinct()), "term", "left_semi").repartition("chunk_id")
+    postings = exploded.groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    sizes = rows.select(F.size("tokens").alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length"))
+    pair = lambda term, value: F.struct(F.lit(term).alias("term"), F.col(value).cast("bigint").alias("df"))
+    every = sizes.select(F.inline(F.array(pair(EVERY, "n"), pair(LENGTH, "length"))))
+    stats = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).unionByName(every)
+    return TextIndex(postings, stats, hot_terms(stats) if vocabulary is None else None, stem=stem)
 
 
 def term_stats(seen: DataFrame) -> DataFrame:
@@ -123,11 +104,11 @@ def idf(df: Column, n: Column) -> Column:
     return F.when(raw <= 0, F.lit(MIN_IDF)).otherwise(raw)
 
 
-def bm25_scores(index: TextIndex, terms: DataFrame, small_query_side: bool, keep: Column | None = None) -> DataFrame:
+def bm25_scores(index: TextIndex, terms: DataFrame, small_query_side: bool, state: DataFrame | None = None, keep: Column | None = None) -> DataFrame:
     """(query_id, chunk_id, bm25_score): lower is better, statistics from the whole index.
 
-    ``keep`` is a predicate over the columns of ``key`` and of the query. It acts on the summed score and not as a
-    filter on the postings, so that statistics and scores read one and the same shuffle.
+    ``state`` has a row for each chunk that may be found; ``keep`` is a predicate over its columns and those of the query
+    and acts before anything is scored.
     """
     corpus = corpus_row(index.stats).select(F.struct("chunks", "avgdl")).scalar()
     frequencies = index.stats.select(F.col("term").alias("_term"), "df")
@@ -143,18 +124,16 @@ def bm25_scores(index: TextIndex, terms: DataFrame, small_query_side: bool, keep
         matched = _salted_match(index, query_side)
     length = 1 - B + B * F.col("dl") / corpus["avgdl"]
     part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length)
-    if keep is not None:
-        part = F.when(keep, part)
-    scores = matched.withColumn("part", part).groupBy("query_id", "key").agg(F.sum("part").alias("score"))
-    return scores.filter("score IS NOT NULL").select(
-        "query_id", F.col("key.chunk_id").alias("chunk_id"), F.round(-F.col("score"), 6).alias("bm25_score")
-    )
+    if state is not None:
+        matched = matched.join(state, "chunk_id").filter(keep)
+    scores = matched.withColumn("part", part).groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
+    return scores.select("query_id", "chunk_id", F.round(-F.col("score"), 6).alias("bm25_score"))
 
 
 def _salted_match(index: TextIndex, query_side: DataFrame) -> DataFrame:
     """Shuffle join on (term, salt): hot terms are spread, their query rows repeated once per salt."""
     hot = F.broadcast(index.hot_terms.withColumn("is_hot", F.lit(True)))
-    spread = F.when(F.col("is_hot"), F.pmod(F.xxhash64("key"), F.lit(SALTS))).otherwise(F.lit(0))
+    spread = F.when(F.col("is_hot"), F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS))).otherwise(F.lit(0))
     left = index.postings.join(hot, "term", "left").withColumn("salt", spread.cast("int")).drop("is_hot")
     copies = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     right = query_side.join(hot, "term", "left").withColumn("salt", F.explode(copies)).drop("is_hot")
@@ -175,11 +154,15 @@ class Prepared:
     small: bool
 
 
-def prepare_queries(queries: DataFrame, carry: tuple[str, ...] = (), small: bool | None = None) -> Prepared:
+def prepare_queries(queries: DataFrame, carry: tuple[str, ...] = (), small: bool | None = None, stem: bool = False) -> Prepared:
+    """Query terms, counted before they may be broadcast; ``small=False`` forgoes it."""
+    terms = query_terms(queries, carry, stem)
     if small is None:
-        small = fits(queries, BROADCAST_ROWS // MAX_QUERY_TERMS)
-    terms = query_terms(queries, carry)
-    return Prepared(settle(terms) if small else terms, small)
+        small = fits(queries, BROADCAST_ROWS)
+    if small:
+        terms = settle(terms)
+        small = fits(terms, BROADCAST_ROWS)
+    return Prepared(terms, small)
 
 
 def bm25_topk(
@@ -189,49 +172,61 @@ def bm25_topk(
     include_withdrawn: bool = False,
     index: TextIndex | None = None,
     small: bool | None = None,
+    stem: bool | None = None,
 ) -> DataFrame:
     """(query_id, chunk_id, bm25_score, rank) for queries (query_id, text).
 
     Optional query columns filter_md_id and include_withdrawn narrow or widen single queries. ``chunks`` carries
-    chunk_id, text, md_id and status (NULL status counts as current). Filters act before the ranking and never on
-    the statistics.
+    chunk_id, text, md_id and status (NULL status counts as current) as they are now; only its rows are found, also
+    through an ``index`` built earlier. Filters act before the ranking and never on the statistics. ``stem`` folds and
+    stems texts and queries alike; an index tells by itself how it was built.
     """
+    if index is not None and stem is not None and stem != index.stem:
+        raise ValueError(f"the index is built with stem={index.stem}")
+    stem = index.stem if index is not None else bool(stem)
     carry = tuple(c for c in ("filter_md_id", "include_withdrawn") if c in queries.columns)
-    prepared = prepare_queries(queries, carry, small)
+    prepared = prepare_queries(queries, carry, small, stem)
     if index is None:
-        # Only a flag and the record id travel with the postings, never the text.
-        slim = chunks.select(
-            "chunk_id", "text", "md_id", (F.coalesce("status", F.lit("current")) == "current").alias("is_current")
-        )
-        index = build_index(slim, prepared.terms if prepared.small else None, ("md_id", "is_current"))
+        index = build_index(chunks.select("chunk_id", "text"), prepared.terms if prepared.small else None, stem)
     if index.stored:
         index = gather(index, prepared.terms if prepared.small else None)
-    any_status = F.col("include_withdrawn") if "include_withdrawn" in carry else F.lit(include_withdrawn)
-    keep = F.col("key.is_current") | F.coalesce(any_status, F.lit(False))
+    any_status = F.coalesce(F.col("include_withdrawn") if "include_withdrawn" in carry else F.lit(include_withdrawn), F.lit(False))
+    # Only a flag and the record id meet the postings, never the text.
+    state = chunks.select("chunk_id", "md_id", (F.coalesce("status", F.lit("current")) == "current").alias("is_current"))
+    if include_withdrawn is False and "include_withdrawn" not in carry:
+        state = state.filter("is_current")
+    keep = F.col("is_current") | any_status
     if "filter_md_id" in carry:
-        keep = keep & (F.col("filter_md_id").isNull() | (F.col("filter_md_id") == F.col("key.md_id")))
-    scores = bm25_scores(index, prepared.terms, prepared.small, keep)
+        keep = keep & (F.col("filter_md_id").isNull() | (F.col("filter_md_id") == F.col("md_id")))
+    scores = bm25_scores(index, prepared.terms, prepared.small, state, keep)
     return top_k(scores, k, F.col("bm25_score"), F.col("chunk_id"))
 
 
 def save_index(index: TextIndex, folder: str) -> None:
-    """Write an index as parquet, postings in chunk order."""
-    index.postings.write.mode("errorifexists").parquet(f"{folder}/postings")
-    index.stats.write.mode("errorifexists").parquet(f"{folder}/stats")
+    """Write an index as parquet, postings in term order; ranges over (term, chunk) also split the frequent terms."""
+    postings = index.postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
+    postings.write.mode("errorifexists").parquet(f"{folder}/postings")
+    index.stats.withColumn("stem", F.lit(index.stem)).write.mode("errorifexists").parquet(f"{folder}/stats")
 
 
 def load_index(spark: SparkSession, folder: str) -> TextIndex:
     """Read an index; hot terms are found again from the statistics."""
     stats = spark.read.parquet(f"{folder}/stats")
-    return TextIndex(spark.read.parquet(f"{folder}/postings"), stats, hot_terms(stats), stored=True)
+    stem = bool(stats.agg(F.max("stem")).first()[0])
+    stats = stats.drop("stem")
+    return TextIndex(spark.read.parquet(f"{folder}/postings"), stats, hot_terms(stats), stored=True, stem=stem)
 
 
 def gather(index: TextIndex, vocabulary: DataFrame | None) -> TextIndex:
-    """Bring the postings of a stored index together by chunk; with a vocabulary only its terms move."""
+    """Bring the postings of a stored index together by chunk; with a vocabulary only its terms are read and moved."""
     postings = index.postings
     if vocabulary is not None:
-        postings = postings.join(F.broadcast(vocabulary.select("term").distinct()), "term", "left_semi")
-    return replace(index, postings=postings.repartition("key"), stored=False)
+        words = vocabulary.select("term").distinct()
+        ends = words.agg(F.min("term").alias("a"), F.max("term").alias("b")).first()
+        if ends.a is not None:
+            postings = postings.filter(F.col("term").between(ends.a, ends.b))  # prunes row groups
+        postings = postings.join(F.broadcast(words), "term", "left_semi")
+    return replace(index, postings=postings.repartition("chunk_id"), stored=False)
 
 
 def refresh_index(index: TextIndex, gone: DataFrame, fresh: TextIndex) -> TextIndex:
@@ -239,12 +234,13 @@ def refresh_index(index: TextIndex, gone: DataFrame, fresh: TextIndex) -> TextIn
 
     Statistics are brought up to date from the difference alone; the kept postings are not counted again.
     """
+    if index.stem != fresh.stem:
+        raise ValueError("both indexes have to be built alike")
     leaving = gone.select("chunk_id").distinct()
-    by_chunk = index.postings.withColumn("chunk_id", F.col("key.chunk_id"))
-    kept = by_chunk.join(leaving, "chunk_id", "left_anti").drop("chunk_id")
-    dropped = by_chunk.join(leaving, "chunk_id", "left_semi")
+    kept = index.postings.join(leaving, "chunk_id", "left_anti")
+    dropped = index.postings.join(leaving, "chunk_id", "left_semi")
     pseudo = F.explode(F.array(F.lit(EVERY), F.lit(LENGTH))).alias("term")
-    lengths = dropped.groupBy("key").agg(F.first("dl").alias("dl")).select("dl", pseudo)
+    lengths = dropped.groupBy("chunk_id").agg(F.first("dl").alias("dl")).select("dl", pseudo)
     lost = term_stats(dropped.select("dl", "term").unionByName(lengths))
     minus = lost.select("term", (-F.col("df")).alias("df"))
     stats = (
@@ -252,9 +248,9 @@ def refresh_index(index: TextIndex, gone: DataFrame, fresh: TextIndex) -> TextIn
         .unionByName(minus)
         .groupBy("term")
         .agg(F.sum("df").alias("df"))
-        .filter(F.col("df") > 0)
+        .filter((F.col("df") > 0) | F.col("term").isin(EVERY, LENGTH))
     )
-    return TextIndex(kept.unionByName(fresh.postings), stats, hot_terms(stats), stored=True)
+    return TextIndex(kept.unionByName(fresh.postings), stats, hot_terms(stats), stored=True, stem=index.stem)
 
 
 def topic_filter(queries: DataFrame, aliases: DataFrame, hint_col: str = "topic_hint") -> DataFrame:

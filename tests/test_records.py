@@ -141,6 +141,7 @@ def test_page_body(spark):
 
 def test_entities_and_titles(spark):
     assert one(spark, H.unescape, "&amp;lt;&lt; &#233;&#xE9;&eacute;&nbsp;&unknown; &copy", None) == ["&lt;< ééé\xa0&unknown; &copy", None]
+    assert one(spark, H.unescape, "&#128512;&#x1F600;&lbrace;&nvlt;&#0;&#xD800;&#x110000;") == ["\U0001f600\U0001f600{<\u20d2&#0;&#xD800;&#x110000;"]
     title = lambda c: H.page_title(c)
     assert one(spark, title, "<h2>Second level</h2><title>Page title</title>", "<h1>x</h1><title> Page  title </title>", "<h1>tiny</h1>") == [
         "Second level", "Page title", None,
