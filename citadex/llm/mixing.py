@@ -93,13 +93,16 @@ def plan(blocks: DataFrame, targets: DataFrame, seed: int, most: float) -> DataF
     )
     whole = F.when(F.col("source_size") > 0, F.floor(F.least(F.col("target") / F.col("source_size"), F.lit(most)) + 1e-12)).otherwise(0).cast("int")
     need = F.when(F.col("passes") >= int(most), 0.0).otherwise(F.greatest(F.col("target") - F.col("passes") * F.col("source_size"), F.lit(0.0)))
+    # Few rows, one a source; each step is settled, so that no later expression repeats it.
+    base = settle(per_source.withColumn("passes", whole).withColumn("need", need))
+    tried = base.select("source", "blocks", "need", F.explode(F.sequence(F.lit(seed + 1), F.lit(seed + ORDERS))).alias("seed"))
+    left = tried.select("source", F.struct(_left(_order(F.col("blocks"), F.col("seed")), F.col("need")).alias("left"), "seed").alias("try"))
+    best = left.groupBy("source").agg(F.min("try").alias("best"))
+    joined = base.alias("b").join(best.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source")))
+    ordered = settle(joined.select("b.source", "passes", "need", _order(F.col("blocks"), F.col("best.seed")).alias("blocks")))
+    walked = settle(ordered.withColumn("walk", _draw(F.col("blocks"), F.col("need"))))
     drawn = (
-        per_source.withColumn("passes", whole)
-        .withColumn("need", need)
-        .withColumn("tries", F.transform(F.sequence(F.lit(seed + 1), F.lit(seed + ORDERS)), lambda k: F.struct(_left(_order(F.col("blocks"), k), F.col("need")).alias("left"), k.alias("seed"))))
-        .withColumn("blocks", _order(F.col("blocks"), F.array_min("tries")["seed"]))
-        .withColumn("walk", _draw(F.col("blocks"), F.col("need")))
-        .withColumn("pairs", F.arrays_zip(F.col("blocks"), F.col("walk.drawn").alias("drawn")))
+        walked.withColumn("pairs", F.arrays_zip(F.col("blocks"), F.col("walk.drawn").alias("drawn")))
         .withColumn("least", F.array_min(F.transform(F.filter("pairs", lambda p: (p["drawn"] == 0) & (p["blocks"]["words"] > 0)), lambda p: p["blocks"]["words"])))
         .withColumn("more", F.coalesce((F.col("passes") < int(most)) & (F.col("least") < 2 * F.col("walk.left")), F.lit(False)))
         .withColumn("first", F.when(F.col("more"), F.array_min(F.transform(F.filter("pairs", lambda p: (p["drawn"] == 0) & (p["blocks"]["words"] == F.col("least"))), lambda p: p["blocks"]["key"]))))
