@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import base64
+import json
 import math
 import re
 import zlib
 from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +32,9 @@ class Encoder:
     """Ids of a text as little-endian bytes: by tokenizers, or faster and alike by tiktoken from the same vocabulary."""
 
     def __init__(self, json_path: str, ranks_path: str | None = None) -> None:
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(json_path)
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        with open(json_path, encoding="utf-8") as file:
+            self.special = [t["content"] for t in json.load(file)["added_tokens"]]
+        self.json_path = json_path
         self.fast = None
         if ranks_path:
             import tiktoken
@@ -42,6 +43,12 @@ class Encoder:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("plain", pat_str=_SIMPLE, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def whole(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.json_path)
+
     def __call__(self, text: str) -> bytes:
         if self.fast and not _BLANKS.search(text) and not any(s in text for s in self.special):
             ids = self.fast.encode_ordinary(text)

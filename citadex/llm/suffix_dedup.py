@@ -30,7 +30,7 @@ GRAM = 50
 #: How far a string may reach to the left of the gram it is anchored at, and to the right of it.
 SIDE = LENGTH - GRAM
 #: Bytes of text whose anchors one task holds at a time, and a task of the first exchange receives.
-TASK_BYTES = 16 << 20
+TASK_BYTES = 12 << 20
 #: Different surroundings of one gram beyond which its strings are sorted each for itself.
 GROUP = 20_000
 #: Suffixes that one merge aims at.
@@ -567,21 +567,26 @@ def kept_mask(n: int, starts: list[int] | None, ends: list[int] | None) -> np.nd
     return np.cumsum(step[:n]) == 0
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    for b in batches:
-        out = []
-        for text, starts, ends in zip(*(b.column(i).to_pylist() for i in range(1, 4))):
-            keep = kept_mask(len(text), starts, ends)
-            runs = int(np.count_nonzero(np.diff(np.r_[True, keep].astype(np.int8)) == -1))
-            kept = text if not runs else np.frombuffer(text, np.uint8)[keep].tobytes()
-            out.append((len(text), len(text) - len(kept), runs, kept))
-        columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds]
-        yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["row", "n_bytes", "n_removed", "n_spans", "kept"])
+def _cut(as_text: bool):
+    """Apply the stretches: counts and what stays, as bytes or as text."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary())
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for text, starts, ends in zip(*(b.column(i).to_pylist() for i in range(1, 4))):
+                keep = kept_mask(len(text), starts, ends)
+                runs = int(np.count_nonzero(np.diff(np.r_[True, keep].astype(np.int8)) == -1))
+                kept = text if not runs else np.frombuffer(text, np.uint8)[keep].tobytes()
+                out.append((len(text), len(text) - len(kept), runs, kept.decode("utf-8", "ignore") if as_text else kept))
+            columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["row", "n_bytes", "n_removed", "n_spans", "kept"])
+
+    return run
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """row, n_bytes, n_removed, n_spans, kept (bytes) of every row of ``docs``; row holds its columns but the text.
+
+def dedup(docs: DataFrame, doc_id: str = "doc_id", as_text: bool = False) -> DataFrame:
+    """row, n_bytes, n_removed, n_spans, kept (bytes, or text) of every row of ``docs``; row holds its columns but the text.
 
     Removed is each byte under a string of ``LENGTH`` bytes that also starts earlier: in a document of smaller id or further
     ahead in the same one. Strings are judged on the input. Null texts are empty. Rows that share an id are documents of
@@ -592,7 +597,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     found = settle(repeats(keyed.select("rid", "t")))
     joined = keyed.join(_if_light(found, "starts", "ends"), "rid", "left").select("row", "t", "starts", "ends")
     row = joined.schema["row"].dataType.simpleString()
-    return arrow_map(joined, _cut, f"row {row}, n_bytes long, n_removed long, n_spans long, kept binary")
+    kept = "string" if as_text else "binary"
+    return arrow_map(joined, _cut(as_text), f"row {row}, n_bytes long, n_removed long, n_spans long, kept {kept}")
 
 
 def cleaned(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -601,14 +607,6 @@ def cleaned(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     Bytes of a character that a removed stretch cuts in two go with it. A null text comes out empty; a document of which
     nothing is left stays with an empty text.
     """
-    found = dedup(docs, doc_id).select("row", "kept")
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [x.decode("utf-8", "ignore") for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["row", "text", "chars"])
-
-    row = found.schema["row"].dataType.simpleString()
-    texts = arrow_map(found, whole, f"row {row}, text string, chars long")
-    columns = [F.col("text") if c == "text" else F.col("chars").alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in docs.columns]
-    return texts.select(*columns)
+    found = dedup(docs, doc_id, as_text=True).select("row", "kept")
+    columns = [F.col("kept").alias(c) if c == "text" else F.char_length("kept").cast("long").alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in docs.columns]
+    return found.select(*columns)
