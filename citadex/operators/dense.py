@@ -206,8 +206,11 @@ class InputTooLong(ValueError):
     """Raised by an encoder for a batch it cannot take."""
 
 
-def _encode_split(encoder: Encoder, texts: list[str]) -> list[np.ndarray | None]:
-    """Halve a refused batch until it passes; a refused single text gets no vector. Order is kept."""
+def _encode_split(encoder: Encoder, texts: list[str], again: bool = True) -> list[np.ndarray | None]:
+    """Halve a refused batch until it passes; a refused single text gets no vector. Order is kept.
+
+    Any other failure is tried once more, then the batch goes without vectors.
+    """
     try:
         rows = encoder(texts)
     except InputTooLong:
@@ -215,6 +218,12 @@ def _encode_split(encoder: Encoder, texts: list[str]) -> list[np.ndarray | None]
             return [None]
         half = len(texts) // 2
         return _encode_split(encoder, texts[:half]) + _encode_split(encoder, texts[half:])
+    except DimensionMismatch:
+        raise
+    except Exception:  # a failing encoder must not stop a build
+        if again:
+            return _encode_split(encoder, texts, again=False)
+        return [None] * len(texts)
     if len(rows) != len(texts):
         raise RuntimeError(f"encoder returned {len(rows)} vectors for {len(texts)} texts")
     return list(rows)
@@ -230,7 +239,7 @@ def embed(
 ) -> DataFrame:
     """(id, embedding): unit vectors as float arrays.
 
-    A wrong dimension or count fails the job; texts the encoder refuses are left out, so that retrieval falls back
+    A wrong dimension or count fails the job; texts the encoder refuses or fails on are left out, so that retrieval falls back
     to keywords for them and a later :func:`embed_missing` picks them up. Blank texts get a zero vector.
     """
     id_type = df.schema[id_col].dataType.simpleString()
@@ -259,10 +268,11 @@ def embed(
 
 def embed_queries(queries: DataFrame, encoder: Encoder, dim: int, instruction: str = QUERY_INSTRUCTION) -> DataFrame:
     """(query_id, embedding) with every distinct text encoded once."""
-    distinct = queries.select("text").distinct().withColumn("text_id", F.sha2("text", 256))
+    text = F.coalesce("text", F.lit(""))  # an absent query gets the zero vector of a blank one
+    distinct = queries.select(text.alias("text")).distinct().withColumn("text_id", F.sha2("text", 256))
     vectors = embed(distinct, encoder, dim, "text_id", instruction)
     return (
-        queries.select("query_id", F.sha2("text", 256).alias("text_id")).join(vectors, "text_id").drop("text_id")
+        queries.select("query_id", F.sha2(text, 256).alias("text_id")).join(vectors, "text_id").drop("text_id")
     )
 
 

@@ -12,6 +12,8 @@ def document_toc(requests: DataFrame, registry: DataFrame, chunks: DataFrame, pr
     The long form keeps any number of chunks per document apart, so no row and no task has to hold them all.
     """
     asked = requests.select("document_id").distinct()
+    chunks = chunks.join(asked, "document_id", "left_semi")
+    registry = registry.join(asked, "document_id", "left_semi")
     counts = chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunk_count"))
     documents = registry.select(
         "document_id", "title", F.col("detail_url").alias("official_url"), "last_updated_at",

@@ -94,7 +94,10 @@ def provision_keys(report: DataFrame, top_n: int = TOP_N) -> DataFrame:
 
 
 def dump_cases(results: DataFrame, report: DataFrame, cases: DataFrame, top_n: int = TOP_N) -> DataFrame:
-    """(case_name, line): one JSON line per case, provision texts cut at 200 characters."""
+    """(case_name, line): one JSON line per case, provision texts cut at 200 characters.
+
+    ``results`` may carry latency_ms, the milliseconds a case took; it is written where it is known.
+    """
     provision = F.struct(
         "rank", "document_id", "paragraph_anchor", F.substring(F.coalesce("quoted_text", F.lit("")), 1, DUMP_CHARS).alias("quoted_text"),
         "fusion_score", "sparse_rank", "dense_rank",
@@ -109,6 +112,7 @@ def dump_cases(results: DataFrame, report: DataFrame, cases: DataFrame, top_n: i
     line = F.to_json(
         F.struct(
             "case_name", "clause", "expected_md_id", "passed", "low_confidence", "retrieval_mode", "detail",
+            *(["latency_ms"] if "latency_ms" in results.columns else []),
             F.transform(
                 F.coalesce("top_provisions", empty),
                 lambda p: F.struct(

@@ -248,6 +248,10 @@ def content_hash_skip(
     Skipped: same text hash as the latest artifact, chunks present, and every chunk embedded. Documents without an
     artifact are never skipped. Without a vector table the last condition holds.
     """
+    # Prune before counting: only what belongs to the incoming bodies.
+    incoming = bodies.select("document_id").distinct()
+    artifacts = artifacts.join(incoming, "document_id", "left_semi")
+    chunks = chunks.select("chunk_id", "document_id").join(incoming, "document_id", "left_semi")
     latest = artifacts.groupBy("document_id").agg(F.max_by("text_sha256", "fetched_at").alias("prior_sha256"))
     counts = chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunk_count"))
     out = (

@@ -77,6 +77,10 @@ def check_current(
     asked = inputs.select("input_id", raw.alias("source_url"), classify_reference(F.col("reference"), profile).alias("c")).select(
         "input_id", "source_url", "c.kind", "c.record_id", "c.reason"
     )
+    # Only ids that are asked for, in each of the sources, before anything is joined.
+    wanted = asked.select("record_id").filter("record_id IS NOT NULL").distinct()
+    registry = registry.join(wanted.withColumnRenamed("record_id", "md_id"), "md_id", "left_semi")
+    withdrawn = withdrawn.join(wanted.withColumnRenamed("record_id", "original_id"), "original_id", "left_semi")
     # One lookup table: per id the direction, the withdrawal and the active circular, each already unique.
     circular = Window.partitionBy("md_id").orderBy("document_id")
     directions = registry.filter(F.col("document_family") == direction_family).select(
@@ -96,9 +100,8 @@ def check_current(
         F.col("original_id").alias("record_id"),
         F.struct("title", "detail_url", "original_ref", "issued_date", "withdrawn_date", "replacement_ref").alias("w"),
     )
-    facts = directions.join(gone, "record_id", "full_outer").join(active, "record_id", "full_outer")
-    # Only ids that are asked for; inputs without an id get scattered keys, so they do not pile up in one task.
-    facts = facts.join(asked.select("record_id").distinct(), "record_id", "left_semi")
+    facts = wanted.join(directions, "record_id", "left").join(gone, "record_id", "left").join(active, "record_id", "left")
+    # Inputs without an id get scattered keys, so they do not pile up in one task.
     scattered = F.concat(F.lit("-"), F.pmod(F.xxhash64("input_id"), F.lit(4096)))
     asked = asked.withColumn("lookup", F.coalesce("record_id", scattered))
     joined = asked.join(facts.withColumnRenamed("record_id", "lookup"), "lookup", "left")

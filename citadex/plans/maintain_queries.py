@@ -214,7 +214,7 @@ def content_hash_skip(spark, sf):
     )
 
 
-FAMILIES = ("src0", "src1", "src2", "src3", "src4", "src5", "src6", "src7", "src8", "src9")
+FAMILIES = tuple(f"src{i}" for i in range(20))
 IN_FAMILIES = "document_family IN (" + ", ".join(f"'{f}'" for f in FAMILIES) + ")"
 
 

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.stem import stem_vocabulary
 from ..functions.text import index_tokens
 from ..functions.vectors import hashed_encoder
 from ..operators import dense, documents, fusion, lexical, status
+from ..session import shared_dir
 from .bindings import (
     SAMPLE, TERM, aliases, chunks, clause_vectors, clauses, cte, hinted_clauses, query, registry, sql, table, vectors,
     withdrawn_view,
 )
+from .porter_sql import stems_sql
 
 DIM = 64
 LONG = lambda *names: [F.col(n).cast("bigint").alias(n) for n in names]
@@ -44,7 +48,16 @@ def query_terms(spark, sf):
     return lexical.query_terms(clauses(spark, sf)).select("query_id", "term", "qtf")
 
 
-@query("stem_terms")
+cte("stems", stems_sql("(SELECT term FROM toks UNION SELECT term FROM qterms)"), "toks", "qterms")
+cte("stem_tfs", "SELECT chunk_id, stem AS term, sum(tf)::BIGINT AS tf FROM tfs JOIN stems USING (term) GROUP BY ALL", "tfs", "stems")
+cte("stem_dfs", "SELECT term, count(*) AS df FROM stem_tfs GROUP BY ALL", "stem_tfs")
+cte("stem_qterms", "SELECT query_id, stem AS term, sum(qtf)::BIGINT AS qtf FROM qterms JOIN stems USING (term) GROUP BY ALL", "qterms", "stems")
+
+
+@query(
+    "stem_terms",
+    stems_sql(f"(SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM documents)"),
+)
 def stem_terms(spark, sf):
     terms = table(spark, sf, "documents").select(F.explode(index_tokens(F.col("text"))).alias("term"))
     return stem_vocabulary(terms)
@@ -81,6 +94,64 @@ def refresh_index(spark, sf):
     return index.stats.join(found, "term").select("term", "df", "occurrences")
 
 
+cte(
+    "later",
+    """SELECT chunk_id, md_id, CASE WHEN section = 'es' THEN 'withdrawn' ELSE status END AS status,
+  CASE WHEN section = 'fr' THEN text || ' refreshed' ELSE text END AS text FROM chunks WHERE section <> 'de'""",
+    "chunks",
+)
+cte("later_dls", f"SELECT chunk_id, len(regexp_extract_all(lower(text), '{TERM}')) AS dl FROM later", "later")
+cte("later_corpus", "SELECT count(*) AS n, avg(dl) AS avgdl FROM later_dls", "later_dls")
+cte(
+    "later_tfs",
+    f"SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM later) GROUP BY ALL",
+    "later",
+)
+cte("later_dfs", "SELECT term, count(*) AS df FROM later_tfs GROUP BY ALL", "later_tfs")
+
+
+@query(
+    "bm25_stored_index",
+    sql(
+        """SELECT s.query_id, s.chunk_id, s.bm25_score, row_number() OVER (PARTITION BY s.query_id ORDER BY s.bm25_score, s.chunk_id) AS rank FROM (
+  SELECT q.query_id, t.chunk_id, round(-sum(q.qtf * (CASE WHEN ln((c.n - d.df + 0.5) / (d.df + 0.5)) <= 0 THEN 1e-6
+    ELSE ln((c.n - d.df + 0.5) / (d.df + 0.5)) END) * t.tf * 2.2 / (t.tf + 1.2 * (0.25 + 0.75 * l.dl / c.avgdl))), 6) AS bm25_score
+  FROM qterms q JOIN later_dfs d USING (term) JOIN later_tfs t USING (term) JOIN later_dls l USING (chunk_id) CROSS JOIN later_corpus c GROUP BY ALL) s
+JOIN later k USING (chunk_id) WHERE k.status = 'current' QUALIFY rank <= 5""",
+        "qterms", "later", "later_dfs", "later_tfs", "later_dls", "later_corpus",
+    ),
+)
+def bm25_stored_index(spark, sf):
+    """An index is stored; then German documents leave, French ones change, Spanish ones are withdrawn."""
+    every = chunks(spark, sf)
+    folder = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    lexical.save_index(lexical.build_index(every), f"{folder}/first")
+    text = F.when(F.col("section") == "fr", F.concat("text", F.lit(" refreshed"))).otherwise(F.col("text"))
+    status = F.when(F.col("section") == "es", "withdrawn").otherwise(F.col("status"))
+    now = every.filter("section <> 'de'").withColumn("text", text).withColumn("status", status)
+    gone = every.filter(F.col("section").isin("de", "fr")).select("chunk_id")
+    fresh = lexical.build_index(now.filter("section = 'fr'"))
+    lexical.save_index(lexical.refresh_index(lexical.load_index(spark, f"{folder}/first"), gone, fresh), f"{folder}/second")
+    found = lexical.bm25_topk(clauses(spark, sf), now, 5, index=lexical.load_index(spark, f"{folder}/second"))
+    return found.select("query_id", "chunk_id", "bm25_score", *LONG("rank"))
+
+
+@query(
+    "bm25_stemmed",
+    sql(
+        """SELECT s.query_id, s.chunk_id, s.bm25_score, row_number() OVER (PARTITION BY s.query_id ORDER BY s.bm25_score, s.chunk_id) AS rank FROM (
+  SELECT q.query_id, t.chunk_id, round(-sum(q.qtf * (CASE WHEN ln((c.n - d.df + 0.5) / (d.df + 0.5)) <= 0 THEN 1e-6
+    ELSE ln((c.n - d.df + 0.5) / (d.df + 0.5)) END) * t.tf * 2.2 / (t.tf + 1.2 * (0.25 + 0.75 * l.dl / c.avgdl))), 6) AS bm25_score
+  FROM stem_qterms q JOIN stem_dfs d USING (term) JOIN stem_tfs t USING (term) JOIN dls l USING (chunk_id) CROSS JOIN corpus c GROUP BY ALL) s
+JOIN chunks k USING (chunk_id) WHERE k.status = 'current' QUALIFY rank <= 5""",
+        "stem_qterms", "stem_dfs", "stem_tfs", "dls", "corpus", "chunks",
+    ),
+)
+def bm25_stemmed(spark, sf):
+    found = lexical.bm25_topk(clauses(spark, sf), chunks(spark, sf), 5, stem=True)
+    return found.select("query_id", "chunk_id", "bm25_score", *LONG("rank"))
+
+
 @query(
     "bm25_topk",
     sql("SELECT query_id, chunk_id, bm25_score, sparse_rank AS rank FROM sparse30 WHERE sparse_rank <= 5", "sparse30"),

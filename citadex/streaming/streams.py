@@ -55,10 +55,14 @@ def batch_folders(spark: SparkSession, root: str, schema: T.StructType | str) ->
 # --- ingest ---------------------------------------------------------------------------------------------------
 
 HASHES = "document_id string, text_sha256 string, batch_id bigint"
+FAILED = f"{HASHES}, error string"
 
 
 def stream_ingest(bodies: DataFrame, root: str, checkpoint: str, min_chars: int = 80) -> None:
-    """Arriving bodies (document_id, md_id, ref_no, text) to chunk folders; unchanged bodies are skipped by hash."""
+    """Arriving bodies (document_id, md_id, ref_no, text) to chunk folders; unchanged bodies are skipped by hash.
+
+    A body without any chunk is noted in the ``failed`` folder and does not replace what was there.
+    """
 
     def ingest(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -72,8 +76,14 @@ def stream_ingest(bodies: DataFrame, root: str, checkpoint: str, min_chars: int
             .filter(~F.col("text_sha256").eqNullSafe(F.col("known_sha256")))
         )
         stamp = F.lit(batch_id).cast("bigint").alias("batch_id")
-        outline_chunks(fresh, min_chars=min_chars).select("*", stamp).write.mode("overwrite").parquet(f"{root}/chunks/batch-{batch_id}")
-        fresh.select("document_id", "text_sha256", stamp).write.mode("overwrite").parquet(f"{root}/hashes/batch-{batch_id}")
+        chunk_folder = f"{root}/chunks/batch-{batch_id}"
+        outline_chunks(fresh, min_chars=min_chars).select("*", stamp).write.mode("overwrite").parquet(chunk_folder)
+        # Only what has chunks becomes the known version; a body that yields none leaves the former chunks visible.
+        done = spark.read.parquet(chunk_folder).select("document_id").distinct()
+        seen = fresh.select("document_id", "text_sha256", stamp)
+        failed = seen.join(done, "document_id", "left_anti").withColumn("error", F.lit("no_chunks"))
+        failed.write.mode("overwrite").parquet(f"{root}/failed/batch-{batch_id}")
+        seen.join(done, "document_id", "left_semi").write.mode("overwrite").parquet(f"{root}/hashes/batch-{batch_id}")
 
     run_available(bodies.writeStream.foreachBatch(ingest), checkpoint)
 
@@ -144,8 +154,11 @@ def stream_dedupe(rows: DataFrame, keys: list[str], event_time: str = "ts", hori
     return rows.withWatermark(event_time, horizon).dropDuplicatesWithinWatermark(keys)
 
 
-def stream_search(clauses: DataFrame, chunks: DataFrame, root: str, checkpoint: str, k: int = 5, index: TextIndex | None = None) -> None:
-    """Arriving clauses (query_id, text) against the static corpus; ranked hits per micro-batch folder."""
+def stream_search(clauses: DataFrame, chunks: DataFrame, root: str, checkpoint: str, index: TextIndex, k: int = 5) -> None:
+    """Arriving clauses (query_id, text) against a stored index; ranked hits per micro-batch folder.
+
+    The index is built and loaded once, outside the stream, so that a micro-batch never reads the corpus' texts.
+    """
 
     def answer(batch: DataFrame, batch_id: int) -> None:
         bm25_topk(batch, chunks, k, index=index).write.mode("overwrite").parquet(f"{root}/batch-{batch_id}")

@@ -175,6 +175,23 @@ def test_overfetch_can_fall_short(spark):
     assert [r.chunk_id for r in dense.knn_overfetch(vectors, q, 3, factor=11).collect()] == ["keep"]
 
 
+def test_failing_encoder_leaves_texts_for_later(spark):
+    """A failure that passes is tried again, a lasting one costs the vectors of its batch only; NULL queries are blank."""
+    docs = spark.createDataFrame([("a", "good words"), ("b", "poison"), ("c", "more words")], "chunk_id string, text string").coalesce(1)
+    plain, calls = hashed_encoder(16), []
+
+    def flaky(texts):
+        calls.append(1)
+        if "poison" in texts or len(calls) == 1:
+            raise ConnectionError("gone")
+        return plain(texts)
+
+    assert {r.chunk_id for r in dense.embed(docs, flaky, 16, batch_size=1).collect()} == {"a", "c"}
+    asked = spark.createDataFrame([("q", None), ("r", "words")], "query_id string, text string")
+    vec = {r.query_id: r.embedding for r in dense.embed_queries(asked, plain, 16).collect()}
+    assert set(vec) == {"q", "r"} and not any(vec["q"])
+
+
 def test_embedding(spark):
     docs = spark.createDataFrame([("a", "tax tax rule"), ("b", "  "), ("c", "Rule, TAX tax")], "chunk_id string, text string")
     got = {r.chunk_id: r.embedding for r in dense.embed(docs, hashed_encoder(16), 16).collect()}

@@ -46,6 +46,22 @@ def test_ingest_equals_batch(spark, tmp_path, files):
     assert sorted((r.document_id, r.batch_id) for r in hashes.collect()) == [("a", 0), ("b", 0), ("b", 1), ("c", 1)]
 
 
+def test_body_without_chunks_keeps_the_former_ones(spark, tmp_path, files):
+    one = spark.createDataFrame([("a", "1", None, f"1. A{FILL}")], BODY)
+    two = spark.createDataFrame([("a", "1", None, "too short")], BODY)
+    three = spark.createDataFrame([("a", "1", None, f"1. A again{FILL}")], BODY)
+    root = str(tmp_path / "corpus")
+    S.stream_ingest(files(one, two), root, str(tmp_path / "cp"))
+    got = S.ingested_chunks(spark, root, outline_chunks(one).schema)
+    assert sorted(r.text for r in got.collect()) == sorted(r.text for r in outline_chunks(one).collect())
+    failed = S.batch_folders(spark, root + "/failed", S.FAILED).collect()
+    assert [(r.document_id, r.batch_id, r.error) for r in failed] == [("a", 1, "no_chunks")]
+    again = str(tmp_path / "again")
+    S.stream_ingest(files(one, two, three), again, str(tmp_path / "cp2"))
+    got = S.ingested_chunks(spark, again, outline_chunks(one).schema)
+    assert sorted(r.text for r in got.collect()) == sorted(r.text for r in outline_chunks(three).collect())
+
+
 def test_changed_only(spark, tmp_path, files):
     schema = "document_id string, seq int, text string"
     one = spark.createDataFrame([("a", 1, "x"), ("a", 2, "x"), ("b", 1, "x")], schema)
@@ -67,7 +83,7 @@ def test_search_equals_batch(spark, tmp_path, files):
     one = spark.createDataFrame([("q1", "kyc")], "query_id string, text string")
     two = spark.createDataFrame([("q2", "loan rules")], one.schema)
     out = str(tmp_path / "hits")
-    S.stream_search(files(one, two), chunks, out, str(tmp_path / "cp"))
+    S.stream_search(files(one, two), chunks, out, str(tmp_path / "cp"), lexical.build_index(chunks))
     want = lexical.bm25_topk(one.union(two), chunks, 5)
     assert sorted(S.batch_folders(spark, out, want.schema).collect()) == sorted(want.collect())
 
