@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import QUERY_INSTRUCTION, Encoder, best_k, l2, list_column, matrix, normalise
+from ..sizes import BROADCAST_ROWS, broadcast_if, fits
 from .lexical import top_k
 
 #: Query rows that may be held by the driver and each worker (about 3 MB per thousand at 768 dimensions).
@@ -92,11 +93,20 @@ def knn_topk(
     queries = queries.select(
         "query_id", "embedding", wanted.cast("string").alias("wanted"), F.coalesce(any_status, F.lit(False)).alias("any")
     )
-    held = queries.limit(query_rows + 1).toArrow()
-    if held.num_rows <= query_rows:
-        partial = _knn_broadcast(vectors, queries, held, k)
+
+    def nearest(candidates: DataFrame, asked: DataFrame) -> DataFrame:
+        held = asked.limit(query_rows + 1).toArrow()
+        return _knn_broadcast(candidates, asked, held, k) if held.num_rows <= query_rows else _knn_blocks(candidates, asked, k)
+
+    if "filter_md_id" not in queries.columns:
+        partial = nearest(vectors, queries)
     else:
-        partial = _knn_blocks(vectors, queries, k)
+        # Queries with a filter only meet the vectors of the records asked for.
+        filtered = queries.filter("wanted IS NOT NULL")
+        records = filtered.select(F.col("wanted").alias("md_id")).distinct()
+        named = vectors.join(broadcast_if(fits(records, BROADCAST_ROWS), records), "md_id", "left_semi")
+        named = named.select(*vectors.columns)
+        partial = nearest(named, filtered).unionByName(nearest(vectors, queries.filter("wanted IS NULL")))
     return top_k(partial, k, F.col("vec_distance"), F.col("chunk_id"))
 
 

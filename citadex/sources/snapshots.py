@@ -1,7 +1,7 @@
 """Whole-or-nothing publication of corpus builds.
 
 A build is written to its own ``snapshot=<id>`` folder and becomes visible only when a manifest row names it.
-Readers take the newest manifest row, so they see the old build or the new one and never a half-written one.
+Every entry is a folder of its own, named by its number. Readers take the newest manifest row, so they see the old build or the new one and never a half-written one.
 """
 
 from __future__ import annotations
@@ -50,11 +50,21 @@ def publish_snapshot(
             raise PublishRefused(f"{column} is false for build {snapshot}")
     for name, df in tables.items():
         write_table(df, f"{root}/snapshot={snapshot}/{name}")
-    following = _manifest(spark, root).agg(F.coalesce(F.max("seq"), F.lit(0)) + 1).first()[0]
-    row = spark.range(1).select(
-        F.lit(snapshot).alias("snapshot"), F.lit(following).cast("bigint").alias("seq"), F.current_timestamp().alias("published_at")
-    )
-    row.coalesce(1).write.mode("append").parquet(f"{root}/manifest")
+    _commit(spark, root, snapshot)
+
+
+def _commit(spark: SparkSession, root: str, snapshot: str, attempts: int = 20) -> None:
+    """Add the manifest entry under the next free number; whoever finds the number taken draws another."""
+    row = spark.range(1).select(F.lit(snapshot).alias("snapshot"), F.current_timestamp().alias("published_at")).coalesce(1)
+    for _ in range(attempts):
+        following = _manifest(spark, root).agg(F.coalesce(F.max("seq"), F.lit(0)) + 1).first()[0]
+        try:
+            row.write.mode("errorifexists").parquet(f"{root}/manifest/seq={following}")
+            return
+        except Exception as error:
+            if "PATH_ALREADY_EXISTS" not in str(error):
+                raise
+    raise PublishRefused(f"no free manifest number for build {snapshot}")
 
 
 def read_snapshot(spark: SparkSession, root: str, table: str, snapshot: str | None = None) -> DataFrame:
