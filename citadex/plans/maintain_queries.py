@@ -8,7 +8,7 @@ from ..operators import maintain as M
 from .bindings import cte, current_listing, previous_listing, query, registry, sql, table, withdrawn_view
 from .retrieval_queries import LONG
 
-NOW = F.lit("2025-06-01 00:00:00").cast("timestamp")
+NOW = lambda: F.lit("2025-06-01 00:00:00").cast("timestamp")
 DAY = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
 TEXT = lambda c: F.col(c).cast("string").alias(c)
 
@@ -56,7 +56,7 @@ FROM prev p LEFT JOIN {listing} c USING (md_id),
 
 def _supersede(spark, sf, partial):
     prev = previous_listing(spark, sf)
-    out = M.guarded_supersede(_stored(spark, sf), prev, current_listing(spark, sf, partial), NOW)
+    out = M.guarded_supersede(_stored(spark, sf), prev, current_listing(spark, sf, partial), NOW())
     return out.select("md_id", "status", DAY("last_seen_at"))
 
 
@@ -86,7 +86,7 @@ FROM prev p FULL OUTER JOIN (SELECT * REPLACE (CASE WHEN lang = 'es' THEN NULL E
 )
 def upsert_documents(spark, sf):
     listing = (
-        current_listing(spark, sf).select("lang", *STORED).withColumn("last_seen_at", NOW).withColumn("raw_list_sha256", F.lit("1"))
+        current_listing(spark, sf).select("lang", *STORED).withColumn("last_seen_at", NOW()).withColumn("raw_list_sha256", F.lit("1"))
         .withColumn("department", F.when(F.col("lang") != "es", F.col("department"))).drop("lang")
     )
     return _shape(M.upsert_listing(_stored(spark, sf), listing))
@@ -162,7 +162,7 @@ def upsert_withdrawn(spark, sf):
         F.when(F.col("lang") != "de", F.col("ref_no")).alias("original_ref"),
         F.concat("title", F.when(F.col("lang") == "en", " (2)").otherwise("")).alias("title"),
         F.when(F.col("n_chars") % 2 == 0, F.col("issued_date")).alias("issued_date"), F.date_add("issued_date", 60).alias("withdrawn_date"),
-        NOW.alias("first_seen_at"), NOW.alias("last_seen_at"),
+        NOW().alias("first_seen_at"), NOW().alias("last_seen_at"),
     )
     out = M.upsert_withdrawn(withdrawn_view(spark, sf), batch)
     return out.select("original_ref", "original_id", "title", TEXT("issued_date"), TEXT("withdrawn_date"), DAY("first_seen_at"), DAY("last_seen_at"))
@@ -287,7 +287,7 @@ FROM artifacts a FULL OUTER JOIN (SELECT pdf_url, 'other:' || md_id AS document_
 def upsert_artifacts(spark, sf):
     fetched = registry(spark, sf).filter(F.col("lang") != "en").select(
         F.col("pdf_urls")[0].alias("pdf_url"), F.concat(F.lit("other:"), "md_id").alias("document_id"), F.sha1(F.concat("text", F.lit("x"))).alias("pdf_sha256"),
-        (F.col("n_chars") + 1).cast("int").alias("bytes"), NOW.alias("fetched_at"),
+        (F.col("n_chars") + 1).cast("int").alias("bytes"), NOW().alias("fetched_at"),
     )
     out = M.upsert_artifacts(artifacts(spark, sf), fetched)
     return out.select("pdf_url", "document_id", "pdf_sha256", *LONG("bytes"), "is_indexed", "error", DAY("fetched_at"))
@@ -299,7 +299,7 @@ def upsert_artifacts(spark, sf):
 def _audit(spark, sf, partial, source):
     prev, cur = previous_listing(spark, sf), current_listing(spark, sf, partial)
     counts = M.refresh_counts(prev, cur, M.snapshot_diff(prev, cur))
-    return M.audit_run(counts, source, "https://docs.example.org/list", NOW, NOW)
+    return M.audit_run(counts, source, "https://docs.example.org/list", NOW(), NOW())
 
 
 @query(
@@ -354,4 +354,4 @@ def meta_upsert(spark, sf):
     sizes = docs.groupBy(F.col("source").alias("key")).agg(text(F.max("n_chars"))).withColumn(
         "value", F.when(F.col("key") == "src3", "not taken").otherwise(F.col("value"))
     )
-    return M.meta_upsert(stored, langs.unionByName(sizes).withColumn("updated_at", NOW), only_missing=("src3",)).select("key", "value")
+    return M.meta_upsert(stored, langs.unionByName(sizes).withColumn("updated_at", NOW()), only_missing=("src3",)).select("key", "value")
