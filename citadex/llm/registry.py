@@ -34,6 +34,20 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.98)
 
 
+ORACLES["op1_embedding_near_dedup"] = """WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) AS norm
+  FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL)) = 0),
+usable AS (SELECT * FROM v WHERE norm > 0 AND isfinite(norm)),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+reach AS (SELECT vec_id, vec_id AS reached FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.reached),
+least AS (SELECT vec_id, min(reached) AS component_id FROM reach GROUP BY 1),
+counts AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY 1)
+SELECT e.vec_id, coalesce(c.n_links, 0) AS n_links, m.component_id, m.component_id = e.vec_id AS kept
+FROM embeddings e JOIN least m USING (vec_id) LEFT JOIN counts c USING (vec_id)"""
+
+
 @query
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.main_text(table(spark, sf_dir, "pages"))
