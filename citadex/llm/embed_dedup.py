@@ -1,9 +1,8 @@
-"""Near duplicates among embeddings by sorted projection passes.
+"""Near duplicates among embeddings, all pairs of a label, block against block.
 
-Each pass hashes a vector by the signs of its projections on random directions, orders the vectors of a label by those
-bits, and compares every vector with a bounded window of its successors. Pairs that the exact cosine verifies are joined
-across passes. Which vectors belong together is then known, and links are counted exactly within each component, block by
-block, without writing pairs.
+The vectors of a label are dealt by hash into blocks, and every two blocks meet in one task, which multiplies them in
+tiles. A task hands on two numbers a vector: how many others it links, and the vector that stands for its links there. So
+links are counted over all pairs, components are whole whatever the label's size and density, and no pair is written.
 """
 
 from __future__ import annotations
@@ -15,14 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citadex.llm.common import arrow_map, settle, ship
+from citadex.llm.common import arrow_map, settle
 from citadex.llm.components import components
+from citadex.sizes import BROADCAST_ROWS, broadcast_if, fits
 
-#: Passes, hash bits of each, and successors that a vector is compared with. A pair at cosine 0.98 keeps 58 % of its
-#: chance in a pass with about eight leading bits, so that sixteen passes miss one in a million.
-PASSES, BITS, SPAN = 16, 48, 16
-#: Vectors of a component that meet in one block when links are counted.
-BLOCK = 1024
+#: Vectors of a block: a label has up to 64 blocks of at least ``BLOCK``, beyond that blocks grow to ``MOST``.
+BLOCK, MOST = 2048, 32_768
+#: Vectors a side that are multiplied at a time.
+TILE = 1024
+#: Partitions in which blocks meet.
+TASKS = 20_000
 
 
 def prepared(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
@@ -48,173 +49,100 @@ def prepared(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embed
     return arrow_map(rows, run, "vec_id long, label string, unit binary, dim int")
 
 
-def _directions(dim: int, seed: int) -> np.ndarray:
-    return np.random.default_rng([seed, dim]).standard_normal((PASSES * BITS, dim)).astype(np.float64)
-
-
-def _hashed(seed: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
-        powers = (np.uint64(1) << np.arange(BITS - 1, -1, -1, dtype=np.uint64)).astype(np.uint64)
-        for b in batches:
-            dims = b.column("dim").to_numpy()
-            units = b.column("unit").to_pylist()
-            keys = np.zeros((len(units), PASSES), np.int64)
-            for d in np.unique(dims).tolist():
-                at = np.flatnonzero(dims == d)
-                x = np.frombuffer(b"".join([units[i] for i in at]), np.float64).reshape(-1, d)
-                signs = (x @ known.setdefault(d, _directions(d, seed)).T > 0).reshape(-1, PASSES, BITS)
-                keys[at] = (signs * powers).sum(axis=2, dtype=np.uint64).view(np.int64)
-            keys_column = pa.array(list(keys), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("rep", "label", "unit", "dim")), keys_column], ["rep", "label", "unit", "dim", "keys"])
-
-    return run
-
-
-def _window_pairs(group: np.ndarray, ids: np.ndarray, x: np.ndarray, least: float, span: int) -> tuple[list, list]:
-    src, dst = [], []
-    for shift in range(1, min(span, len(ids) - 1) + 1):
-        same = np.flatnonzero(group[:-shift] == group[shift:])
-        if not len(same):
-            break
-        hit = same[np.einsum("ij,ij->i", x[same], x[same + shift]) >= least]
-        src.append(ids[hit])
-        dst.append(ids[hit + shift])
-    return src, dst
-
-
-def _arrays(b: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Group codes (pass, label and dimension in order of appearance), ids and unit vectors padded to one width."""
-    passes, labels, dims = (b.column(n).to_pylist() for n in ("pass", "label", "dim"))
-    codes: dict[tuple, int] = {}
-    group = np.array([codes.setdefault(k, len(codes)) for k in zip(passes, labels, dims)], np.int64)
-    width = max(dims, default=0)
-    if all(d == width for d in dims):
-        x = np.frombuffer(b"".join(b.column("unit").to_pylist()), np.float64).reshape(-1, width)
-    else:
-        x = np.zeros((len(dims), width))
-        for i, u in enumerate(b.column("unit").to_pylist()):
-            x[i, : dims[i]] = np.frombuffer(u, np.float64)
-    return group, b.column("rep").to_numpy(), x
-
-
-_SORTED = ["rep", "pass", "label", "dim", "unit"]
-_SEAM = "seam int, side int, src long, dst long, rep long, pass int, label string, dim int, unit binary"
-
-
-def _windows(least: float, span: int):
-    """Verified pairs of an ordered partition, and its first and last rows for the seams to its neighbours."""
+def _near(x: np.ndarray, y: np.ndarray, x32: np.ndarray, y32: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs at a cosine of at least ``least``: in single precision, and in double where that leaves it open."""
+    g = x32 @ y32.T
+    slack = 1e-6 + x.shape[1] * 2.0**-22
+    i, j = np.nonzero(g >= least - slack)
+    open_ = np.flatnonzero(g[i, j] < least + slack)
+    keep = np.ones(len(i), bool)
+    for at in range(0, len(open_), 1 << 15):
+        part = open_[at : at + (1 << 15)]
+        keep[part] = np.einsum("ij,ij->i", x[i[part]], y[j[part]]) >= least
+    return i[keep], j[keep]
+
+
+def _join(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Make the roots of i and j one; every node points at its root."""
+    while True:
+        a, b = root[i], root[j]
+        apart = a != b
+        if not apart.any():
+            return
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
+def _met(least: float, diagonal: bool, side: np.ndarray, rep: np.ndarray, copies: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    """rep, links, peer of the vectors that link in one meeting; all pairs of one block, or those between two."""
+    x32 = x.astype(np.float32)
+    rows, cols = (np.arange(len(rep)),) * 2 if diagonal else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    links, root = np.zeros(len(rep), np.int64), np.arange(len(rep))
+    for r in range(0, len(rows), TILE):
+        p = rows[r : r + TILE]
+        for c in range(r if diagonal else 0, len(cols), TILE):
+            q = cols[c : c + TILE]
+            i, j = _near(x[p], x[q], x32[p], x32[q], least)
+            i, j = p[i], q[j]
+            if diagonal and r == c:
+                i, j = i[i < j], j[i < j]
+            if len(i):
+                np.add.at(links, i, copies[j])
+                np.add.at(links, j, copies[i])
+                _join(root, i, j)
+    at = np.flatnonzero(links)
+    return pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(links[at]), pa.array(rep[root[at]])], ["rep", "links", "peer"])
+
+
+def _meetings(least: float):
+    """The meetings of a partition that is ordered by them, one held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        names = ["seam", "side", "src", "dst", "rep", "pass", "label", "dim", "unit"]
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.binary()]
+        now, held = None, []
 
-        def ends(t: pa.Table, seam: int, side: int) -> pa.RecordBatch:
-            n = t.num_rows
-            cols = [pa.array([seam] * n, kinds[0]), pa.array([side] * n, kinds[1]), pa.nulls(n, kinds[2]), pa.nulls(n, kinds[3])]
-            return pa.RecordBatch.from_arrays(cols + [t.column(c).combine_chunks() for c in ("rep", "pass", "label", "dim", "unit")], names)
+        def done() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            side, rep, copies = (t.column(n).to_numpy() for n in ("side", "rep", "copies"))
+            x = np.frombuffer(b"".join(t.column("unit").to_pylist()), np.float64).reshape(len(rep), -1)
+            return _met(least, now[2] == now[3], side, rep, copies, x)
 
-        head = tail = None
         for b in batches:
-            if not b.num_rows:
-                continue
-            t = pa.Table.from_batches([b]).select(_SORTED)
-            head = t if head is None else pa.concat_tables([head, t.slice(0, span)]) if head.num_rows < span else head
-            head = head.slice(0, span)
-            t = pa.concat_tables([tail, t]).combine_chunks() if tail is not None else t
-            src, dst = _window_pairs(*_arrays(t), least, span)
-            tail = t.slice(max(0, t.num_rows - span))
-            if src and sum(map(len, src)):
-                pairs = np.unique(np.stack([np.concatenate(src), np.concatenate(dst)]), axis=1)
-                n = pairs.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, kinds[0]), pa.nulls(n, kinds[1]), pa.array(pairs[0]), pa.array(pairs[1])] + [pa.nulls(n, k) for k in kinds[4:]], names)
-        if head is not None:
-            yield ends(head.combine_chunks(), part - 1, 1)
-            yield ends(tail.combine_chunks(), part, 0)
-
-    return run
-
-
-def _seam(least: float, span: int):
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("side", "ascending")])
-        src, dst = _window_pairs(*_arrays(rows), least, span)
-        return pa.table({"src": pa.array(np.concatenate([*src, np.zeros(0, np.int64)]), pa.int64()), "dst": pa.array(np.concatenate([*dst, np.zeros(0, np.int64)]), pa.int64())})
-
-    return run
-
-
-def candidate_links(reps: DataFrame, least: float = 0.98, span: int = SPAN, seed: int = 5) -> DataFrame:
-    """Verified links (src, dst) that the passes find among ``reps`` (rep, label, unit, dim)."""
-    keyed = arrow_map(reps, _hashed(seed), "rep long, label string, unit binary, dim int, keys array<long>")
-    rows = keyed.select("rep", "label", "unit", "dim", F.posexplode("keys").alias("pass", "key"))
-    ordered = rows.repartitionByRange("pass", "label", "dim", "key", "rep").sortWithinPartitions("pass", "label", "dim", "key", "rep").select(*_SORTED)
-    found = settle(arrow_map(ordered, _windows(least, span), _SEAM))
-    inner = found.where("src IS NOT NULL").select("src", "dst")
-    seams = found.where("src IS NULL").select("seam", "side", "rep", "pass", "label", "dim", "unit").groupBy("seam").applyInArrow(_seam(least, span), "src long, dst long")
-    return inner.unionByName(seams).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src < dst").distinct()
-
-
-def _count_block(least: float):
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        side = rows.column("side").to_numpy()
-        rep, copies = rows.column("rep").to_numpy(), rows.column("copies").to_numpy()
-        x = np.frombuffer(b"".join(rows.column("unit").to_pylist()), np.float64).reshape(len(rep), -1)
-        if key[1].as_py() == key[2].as_py():  # a block with itself
-            near = x @ x.T >= least
-            np.fill_diagonal(near, False)
-            return pa.table({"rep": rep, "links": near @ copies})
-        a, b = side == 0, side == 1
-        near = x[a] @ x[b].T >= least
-        return pa.table({"rep": np.r_[rep[a], rep[b]], "links": np.r_[near @ copies[b], copies[a] @ near]})
-
-    return run
-
-
-def _count_whole(least: float):
-    """Links within components of at most one block, all those of a partition."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts).sort_by("component")
-        component, rep, copies = (t.column(n).to_numpy() for n in ("component", "rep", "copies"))
-        units = t.column("unit").to_pylist()
-        bounds = np.flatnonzero(np.r_[True, component[1:] != component[:-1], True]).tolist()
-        links = np.zeros(len(rep), np.int64)
-        for a, b in zip(bounds, bounds[1:]):
-            x = np.frombuffer(b"".join(units[a:b]), np.float64).reshape(b - a, -1)
-            near = x @ x.T >= least
-            np.fill_diagonal(near, False)
-            links[a:b] = near @ copies[a:b]
-        yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(links)], ["rep", "links"])
+            keys = list(zip(*(b.column(n).to_pylist() for n in ("label", "dim", "a", "b"))))
+            bounds = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for first, last in zip(bounds, bounds[1:]):
+                if first == last:
+                    continue
+                if held and keys[first] != now:
+                    yield done()
+                    held = []
+                now = keys[first]
+                held.append(b.slice(first, last - first))
+        if held:
+            yield done()
 
     return run
 
 
-def link_counts(members: DataFrame, least: float = 0.98) -> DataFrame:
-    """rep, links: how many other vectors each one links, counted over all pairs of its component.
+def links(reps: DataFrame, least: float = 0.98) -> DataFrame:
+    """rep, links, peer: what the vectors of ``reps`` (rep, copies, label, unit, dim) link, a row a meeting of two blocks.
 
-    ``members`` has component, rep, copies, unit. A component of more than ``BLOCK`` vectors is dealt by hash into blocks;
-    every two blocks meet in a task that hands on one number a vector.
+    All pairs of a label and dimension are compared. The links of a vector add up over its rows; rep and peer, both ways,
+    span the components. A vector without a link has no row.
     """
-    ship(members.sparkSession)
-    sizes = settle(members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
-    sized = members.join(sizes, "component")
-    whole = sized.where("blocks = 1").select("component", "rep", "copies", "unit").repartition("component")
-    met = (
-        sized.where("blocks > 1")
+    size = F.greatest(F.lit(BLOCK), F.least(F.lit(MOST), F.ceil(F.col("n") / 64)))
+    sizes = settle(reps.groupBy("label", "dim").agg(F.count("*").alias("n")).where("n > 1").select("label", "dim", F.ceil(F.col("n") / size).cast("int").alias("blocks")))
+    meetings = sizes.agg(F.sum(F.expr("bigint(blocks) * (blocks + 1) div 2"))).first()[0] or 1
+    dealt = (
+        reps.join(broadcast_if(fits(sizes, BROADCAST_ROWS), sizes), ["label", "dim"])
         .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .withColumn("m", F.explode(F.expr("transform(sequence(0, blocks - 1), o -> struct(least(o, block) AS a, greatest(o, block) AS b, int(o < block) AS side))")))
-        .select("component", "rep", "copies", "unit", "m.a", "m.b", "m.side")
+        .select("label", "dim", "m.a", "m.b", "m.side", "rep", "copies", "unit")
     )
-    schema = "rep long, links long"
-    counts = met.groupBy("component", "a", "b").applyInArrow(_count_block(least), schema)
-    return arrow_map(whole, _count_whole(least), schema).unionByName(counts).groupBy("rep").agg(F.sum("links").alias("links"))
+    keys = ["label", "dim", "a", "b"]
+    ordered = dealt.repartition(min(TASKS, meetings), *keys).sortWithinPartitions(*keys)
+    return arrow_map(ordered, _meetings(least), "rep long, links long, peer long")
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
@@ -223,14 +151,14 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     Vectors of one label link at a cosine of at least ``least`` in double precision. Vectors that are null, empty, zero, hold
     null or non-finite components, or whose label is null, link with nothing; vectors of different dimensions do not
     either. component_id is the least vec_id reachable by links, itself included; kept says whether it is the row's own.
-    Equal vectors are collapsed before the passes and counted as links. Repeated rows count each for itself as vectors;
+    Equal vectors are collapsed before and counted as links. Repeated rows count each for itself as vectors;
     rows without an id come out with component null and kept null. An empty table gives an empty one.
     """
     usable = settle(prepared(vectors))
     reps = settle(usable.groupBy("label", "dim", "unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
-    groups = components(candidate_links(reps.select("rep", "label", "unit", "dim"), least)).select(F.col("node").alias("rep"), "component")
-    joined = settle(groups)
-    counts = link_counts(reps.join(joined, "rep").select("component", "rep", "copies", "unit"), least)
+    found = settle(links(reps, least))
+    joined = components(found.select("rep", "peer")).select(F.col("node").alias("rep"), "component")
+    counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = (
         reps.join(joined, "rep", "left")
         .join(counts, "rep", "left")

@@ -61,3 +61,22 @@ def test_awkward_rows(spark):
     assert embed_dedup.near_duplicates(docs.where("false")).count() == 0
     extra = spark.createDataFrame([(None, [1.0, 0.0], 1, 1, 1, "x")], SCHEMA)
     assert [r for r in embed_dedup.near_duplicates(docs.union(extra)).collect() if r.vec_id is None][0].kept is None
+
+
+def test_dense_label_keeps_every_link(spark):
+    """Vectors at a mutual cosine of about 0.95: hash bits agree everywhere, and only all pairs find the planted ones."""
+    rng = np.random.default_rng(4)
+    centre = rng.standard_normal(64)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    x = unit(centre / np.linalg.norm(centre) + unit(rng.standard_normal((5000, 64))) * 0.229)
+    x[4900:] = unit(x[:100] + unit(rng.standard_normal((100, 64))) * 0.19)
+    x = x.astype(np.float32)
+    rows = [(i, v.tolist(), 1, 1, 2, "x") for i, v in enumerate(x)]
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    near = y @ y.T >= 0.98
+    np.fill_diagonal(near, False)
+    assert near.sum() >= 200
+    got = {r.vec_id: r for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[i].n_links for i in range(5000)] == near.sum(axis=1).tolist()
+    assert all(got[i].component_id == got[j].component_id for i, j in zip(*np.nonzero(near)))
