@@ -3,7 +3,7 @@
 Small transducers read a clause's words: insults (learned words and stems, each with its weight), threats, targets,
 negation and reported speech. Their composition is one automaton whose state says whether a negation is near, whether
 speech is being reported and whether someone is addressed; an insult or a threat that it reads leaves a weight that depends
-on that state. Matched clauses are scored, and a logistic regression turns a document's clause scores into a probability.
+on that state. A threat without anyone addressed is owed until a target follows in its clause. Matched clauses are scored, and a logistic regression turns a document's clause scores into a probability.
 """
 
 from __future__ import annotations
@@ -61,6 +61,8 @@ class Grammar:
     def __post_init__(self) -> None:
         self.words = {w: (INSULT, x) for w, x in self.insults.items() if not w.endswith(b"*")}
         self.stems = {w[:-1]: (INSULT, x) for w, x in self.insults.items() if w.endswith(b"*")}
+        #: What threat words have learned, as insults; it adds to the threat.
+        self.own = {w: hit[1] for w in map(str.encode, THREATS) if (hit := self.read(w))}
         for kind, seeds in ((NEGATION, NEGATIONS), (TARGET, TARGETS), (REPORT, REPORTS), (THREAT, THREATS)):
             self.words |= {s.encode(): (kind, SEED_WEIGHT) for s in seeds}
         self.heads = {w[:4] for w in (*self.words, *self.stems)}
@@ -86,18 +88,23 @@ class Grammar:
             return [], clauses
         stops = np.flatnonzero(np.array([t == b"." for t in tokens]))
         clause = np.searchsorted(stops, [i for i, _ in hits]).tolist()
-        found, state, now, at, negated = [], 0, 0.0, -1, -99
+        found, state, now, owed, at, negated = [], 0, 0.0, 0.0, -1, -99
         for (i, (kind, weight)), c in zip(hits, clause):
             if c != at:
                 if now:
                     found.append(now)
-                state, now, at, negated = 0, 0.0, c, -99
+                state, now, owed, at, negated = 0, 0.0, 0.0, c, -99
             if state & 1 and i - negated > REACH:
                 state &= ~1
             if kind == NEGATION:
                 negated = i
-            state, factor = self.product[state, kind]
+            if kind == THREAT and (own := self.own.get(tokens[i])):
+                now += self.product[state, INSULT][1] * own
+            state, factor, later = self.product[state, kind]
             now += factor * weight
+            owed += later * weight
+            if kind == TARGET:
+                now, owed = now + owed, 0.0
         return (found + [now] if now else found), clauses
 
     def features(self, text: str | None) -> tuple[float, ...]:
@@ -112,8 +119,8 @@ class Grammar:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def compose() -> dict[tuple[int, int], tuple[int, float]]:
-    """The composed automaton: (state, class read) -> (state, factor of the word's weight).
+def compose() -> dict[tuple[int, int], tuple[int, float, float]]:
+    """The composed automaton: (state, class read) -> (state, factor of the word's weight, factor that a target pays later).
 
     State bits: 1 a negation is near, 2 speech is reported, 4 someone is addressed.
     """
@@ -121,11 +128,11 @@ def compose() -> dict[tuple[int, int], tuple[int, float]]:
     for state in range(8):
         damp = (0.25 if state & 1 else 1.0) * (0.5 if state & 2 else 1.0)
         aimed = bool(state & 4)
-        out[state, NEGATION] = (state | 1, 0.0)
-        out[state, REPORT] = (state | 2, 0.0)
-        out[state, TARGET] = (state | 4, 0.0)
-        out[state, INSULT] = (state, damp * (1.25 if aimed else 1.0))
-        out[state, THREAT] = (state, damp * (1.0 if aimed else 0.0))
+        out[state, NEGATION] = (state | 1, 0.0, 0.0)
+        out[state, REPORT] = (state | 2, 0.0, 0.0)
+        out[state, TARGET] = (state | 4, 0.0, 0.0)
+        out[state, INSULT] = (state, damp * (1.25 if aimed else 1.0), 0.0)
+        out[state, THREAT] = (state, damp, 0.0) if aimed else (state, 0.0, damp)
     return out
 
 

@@ -105,6 +105,16 @@ def test_grammar_reads_clauses_not_words():
     assert g.clauses(None) == ([], 1) and 0 < g.score("") < 1
 
 
+def test_threats_meet_targets_on_either_side():
+    g = toxicity.Grammar({b"idiot": 4.0})
+    best = lambda grammar, text: max(grammar.clauses(text)[0], default=0.0)
+    assert best(g, "i will kill you") == best(g, "you i will kill") > best(g, "i will not kill you") > 0
+    assert best(g, "i will kill") == best(g, "i kill. you") == best(g, "you: i kill") == 0
+    assert best(g, "ich werde dich töten") == best(g, "ich töten dich") > 0
+    learned = toxicity.Grammar({b"murder": 3.0, b"hurt": 2.0})
+    assert best(learned, "a murder") == 3.0 and best(learned, "murder you") == 3.0 + best(g, "murder you")
+
+
 def test_toxicity_awkward_rows(spark):
     docs = awkward(spark)
     labels = spark.createDataFrame([(1, 1, None), (3, 0, 1), (None, 1, 1), (5, None, 0), (8, 1, 0), (9, 0, 0)], "doc_id long, quality int, toxic int")
