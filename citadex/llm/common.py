@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from citadex.session import settle
 
-__all__ = ["arrow_map", "fold", "held_out", "settle", "ship", "table", "text_bytes"]
+__all__ = ["arrow_map", "fold", "grouped", "held_out", "settle", "ship", "table", "text_bytes"]
 
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows of an Arrow batch; a session that asks for fewer keeps its own number.
@@ -76,3 +76,21 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     if int(df.sparkSession.conf.get(BATCH_ROWS, "10000")) > ROWS:
         df.sparkSession.conf.set(BATCH_ROWS, str(ROWS))
     return df.mapInArrow(run, schema)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """The groups of a partition that is ordered by ``keys``, one held at a time."""
+    now, held = None, []
+    for b in batches:
+        spots = list(zip(*(b.column(n).to_pylist() for n in keys)))
+        bounds = [0, *(i for i in range(1, len(spots)) if spots[i] != spots[i - 1]), len(spots)]
+        for first, last in zip(bounds, bounds[1:]):
+            if first == last:
+                continue
+            if held and spots[first] != now:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = spots[first]
+            held.append(b.slice(first, last - first))
+    if held:
+        yield now, pa.Table.from_batches(held)
