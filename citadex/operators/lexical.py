@@ -1,16 +1,23 @@
 """Keyword retrieval: query terms, term index, BM25 top-k.
 
-Layout for scale. A chunk's text never travels: its terms are read where the chunk is, filtered to the words asked for,
-and only the matched (chunk, term) rows are brought together by chunk. Status and document filters come from the chunk
-table of the moment by a join on the chunk, before any score is computed. Only the best k rows per query and task
-travel to the final ranking. A stored index lies in term order, so that a batch of queries reads the files of its terms.
+Layout for scale. A chunk's text never travels: its terms are read where the chunk is and held against the words asked for
+inside the row, so that a chunk stays one row with the few terms that matter. Queries of a checked-small number are held by
+the tasks: a batch of chunks is scored query by query in sparse arrays, informative terms first; terms of more than half
+of all chunks, whose weight is next to nothing, are only added where they can still change the k best. Status and document
+filters act before the ranking, and only the best k rows per query and task travel. More queries than that meet the
+postings in a salted join. A stored index lies in term order, so that a batch of queries reads the files of its terms.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from collections import defaultdict
+from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stem import stem_tokens
@@ -50,8 +57,8 @@ class TextIndex:
 
     postings: DataFrame  # chunk_id, dl, term, tf
     stats: DataFrame  # term, df; two pseudo terms hold the number of chunks and their total length
-    hot_terms: DataFrame | None = None  # term; only kept for an index over the whole vocabulary
-    stored: bool = False  # postings come from files and are not yet brought together by chunk
+    hot_terms: DataFrame  # term
+    stored: bool = False  # postings come from files, in term order
     stem: bool = False  # terms are folded and stemmed, queries have to be, too
 
 
@@ -60,24 +67,23 @@ class TextIndex:
 EVERY, LENGTH = "", "\u0001"
 
 
-def build_index(chunks: DataFrame, vocabulary: DataFrame | None = None, stem: bool = False) -> TextIndex:
-    """Inverted index of chunks (chunk_id, text).
-
-    With ``vocabulary`` (a checked-small set of terms) all other terms are dropped as they are read; the chunk count and
-    the mean length always cover the whole table.
-    """
-    rows = chunks.select("chunk_id", index_tokens(F.col("text")).alias("tokens"))
-    rows = rows.select("chunk_id", analysed(F.col("tokens"), stem).alias("tokens"))
+def build_index(chunks: DataFrame, stem: bool = False) -> TextIndex:
+    """Inverted index of chunks (chunk_id, text) over all of their terms."""
+    rows = tokens_of(chunks, stem, "chunk_id")
     # The outer generator keeps Spark from testing the token list for emptiness first, which would tokenise twice.
     exploded = rows.select("chunk_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term")).filter("term IS NOT NULL")
-    if vocabulary is not None:
-        exploded = exploded.join(F.broadcast(vocabulary.select("term").distinct()), "term", "left_semi").repartition("chunk_id")
     postings = exploded.groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     sizes = rows.select(F.size("tokens").alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length"))
     pair = lambda term, value: F.struct(F.lit(term).alias("term"), F.col(value).cast("bigint").alias("df"))
     every = sizes.select(F.inline(F.array(pair(EVERY, "n"), pair(LENGTH, "length"))))
     stats = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).unionByName(every)
-    return TextIndex(postings, stats, hot_terms(stats) if vocabulary is None else None, stem=stem)
+    return TextIndex(postings, stats, hot_terms(stats), stem=stem)
+
+
+def tokens_of(chunks: DataFrame, stem: bool, *keep: str) -> DataFrame:
+    """``keep`` and tokens, the index terms of each text in order."""
+    rows = chunks.select(*keep, index_tokens(F.col("text")).alias("tokens"))
+    return rows.select(*keep, analysed(F.col("tokens"), stem).alias("tokens"))
 
 
 def term_stats(seen: DataFrame) -> DataFrame:
@@ -104,8 +110,8 @@ def idf(df: Column, n: Column) -> Column:
     return F.when(raw <= 0, F.lit(MIN_IDF)).otherwise(raw)
 
 
-def bm25_scores(index: TextIndex, terms: DataFrame, small_query_side: bool, state: DataFrame | None = None, keep: Column | None = None) -> DataFrame:
-    """(query_id, chunk_id, bm25_score): lower is better, statistics from the whole index.
+def bm25_scores(index: TextIndex, terms: DataFrame, state: DataFrame, keep: Column) -> DataFrame:
+    """(query_id, chunk_id, bm25_score): lower is better, statistics from the whole index, by a shuffle join.
 
     ``state`` has a row for each chunk that may be found; ``keep`` is a predicate over its columns and those of the query
     and acts before anything is scored.
@@ -118,14 +124,9 @@ def bm25_scores(index: TextIndex, terms: DataFrame, small_query_side: bool, stat
         .withColumn("weight", F.col("qtf") * idf(F.col("df"), corpus["chunks"]))
         .drop("qtf", "df", "_term")
     )
-    if small_query_side:
-        matched = index.postings.join(F.broadcast(query_side), "term")
-    else:
-        matched = _salted_match(index, query_side)
     length = 1 - B + B * F.col("dl") / corpus["avgdl"]
     part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length)
-    if state is not None:
-        matched = matched.join(state, "chunk_id").filter(keep)
+    matched = _salted_match(index, query_side).join(state, "chunk_id").filter(keep)
     scores = matched.withColumn("part", part).groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
     return scores.select("query_id", "chunk_id", F.round(-F.col("score"), 6).alias("bm25_score"))
 
@@ -165,6 +166,138 @@ def prepare_queries(queries: DataFrame, carry: tuple[str, ...] = (), small: bool
     return Prepared(terms, small)
 
 
+def _matched(chunks: DataFrame, vocabulary: list[str], stem: bool) -> DataFrame:
+    """chunk_id, md_id, is_current, dl, terms, tfs: one row a chunk, with its terms of ``vocabulary`` as places in it."""
+    words = pa.array(vocabulary, pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tokens = b.column("tokens")
+            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(tokens), 0).to_numpy())])
+            place = pc.index_in(tokens.flatten().cast(pa.string()), words)
+            hit = np.flatnonzero(np.asarray(place.is_valid()))
+            row = np.searchsorted(ends, hit, "right") - 1
+            seen, tf = np.unique(row * len(vocabulary) + place.take(pa.array(hit)).to_numpy().astype(np.int64), return_counts=True)
+            offsets = pa.array(np.searchsorted(seen // max(1, len(vocabulary)), np.arange(b.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(v.astype(np.int32))) for v in (seen % max(1, len(vocabulary)), tf)]
+            yield pa.RecordBatch.from_arrays([b.column("chunk_id"), b.column("md_id"), b.column("is_current"), pa.array(np.diff(ends).astype(np.int32)), *lists], MATCHED_NAMES)
+
+    rows = tokens_of(chunks, stem, "chunk_id", "md_id", "is_current")
+    return rows.mapInArrow(run, MATCHED)
+
+
+MATCHED = "chunk_id string, md_id string, is_current boolean, dl int, terms array<int>, tfs array<int>"
+MATCHED_NAMES = ["chunk_id", "md_id", "is_current", "dl", "terms", "tfs"]
+
+
+def _matched_postings(index: TextIndex, vocabulary: DataFrame, state: DataFrame) -> DataFrame:
+    """As ``_matched``, from the postings of an index; ``vocabulary``: term, place. Chunks without a match have no row."""
+    postings = index.postings
+    if index.stored:
+        ends = vocabulary.agg(F.min("term").alias("a"), F.max("term").alias("b")).first()
+        if ends.a is not None:
+            postings = postings.filter(F.col("term").between(ends.a, ends.b))  # prunes row groups
+    hits = postings.join(F.broadcast(vocabulary), "term")
+    hits = hits.groupBy("chunk_id").agg(F.max("dl").cast("int").alias("dl"), F.collect_list(F.struct(F.col("place").alias("t"), F.col("tf").cast("int").alias("f"))).alias("h"))
+    return hits.join(state, "chunk_id").select("chunk_id", "md_id", "is_current", "dl", F.col("h.t").alias("terms"), F.col("h.f").alias("tfs"))
+
+
+@dataclass
+class _Asked:
+    """One query for the scorer: places and weights of its informative and of its floored terms, and its filters."""
+
+    query_id: object
+    sure: list[tuple[int, float]]
+    slight: list[tuple[int, float]]
+    md_id: str | None
+    withdrawn: bool
+
+
+class _Scorer:
+    """Best k of every query over the batches of a task."""
+
+    def __init__(self, asked: list[_Asked], k: int, avgdl: float) -> None:
+        self.asked, self.k, self.avgdl = asked, k, avgdl
+        self.best: list[list[tuple[float, str]]] = [[] for _ in asked]
+        #: Floored terms add less than this to any chunk.
+        self.bound = [sum(w for _, w in a.slight) * (K1 + 1) for a in asked]
+
+    def add(self, b: pa.RecordBatch) -> None:
+        terms, tfs, dl = b.column("terms"), b.column("tfs"), b.column("dl").to_numpy()
+        row = np.repeat(np.arange(b.num_rows), pc.list_value_length(terms).to_numpy())
+        place, tf = terms.flatten().to_numpy(), tfs.flatten().to_numpy().astype(np.float64)
+        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[row] / self.avgdl))
+        order = np.argsort(place, kind="stable")
+        place, row, part = place[order], row[order], part[order]
+        known, begins = np.unique(place, return_index=True)
+        at = {int(t): (row[x:y], part[x:y]) for t, x, y in zip(known, begins, [*begins[1:], len(place)])}
+        ids, current = b.column("chunk_id").to_pylist(), np.asarray(b.column("is_current").fill_null(False), bool)
+        md = np.array(b.column("md_id").to_pylist(), object)
+        for n, a in enumerate(self.asked):
+            self._one(n, a, at, b.num_rows, ids, current, md)
+
+    def _one(self, n: int, a: _Asked, at: dict, rows: int, ids: list[str], current: np.ndarray, md: np.ndarray) -> None:
+        found = [(*at[t], w) for t, w in a.sure if t in at]
+        least = self.best[n][-1][0] if len(self.best[n]) == self.k else -np.inf
+        slight = [(*at[t], w) for t, w in a.slight if t in at]
+        if least <= self.bound[n] + 1e-6:  # chunks of floored words alone may count
+            found, slight = found + slight, []
+        if not found:
+            return
+        score = np.bincount(np.concatenate([r for r, _, _ in found]), np.concatenate([p * w for _, p, w in found]), rows)
+        near = score > 0
+        if len(self.best[n]) == self.k:
+            near &= score + self.bound[n] + 1e-6 >= least
+        if not a.withdrawn:
+            near &= current
+        some = np.flatnonzero(near)
+        if a.md_id is not None and len(some):
+            some = some[md[some] == a.md_id]
+        if not len(some):
+            return
+        if len(some) > 4 * self.k:  # only those that may be among the best by the sure part
+            cut = np.partition(score[some], -self.k)[-self.k]
+            some = some[score[some] + self.bound[n] + 1e-6 >= cut]
+        total = score[some]
+        for r, p, w in slight:
+            i = np.searchsorted(r, some)
+            i[i == len(r)] = 0
+            total = total + np.where(r[i] == some, p[i] * w, 0.0)
+        merged = self.best[n] + [(round(float(s), 6), ids[i]) for s, i in zip(total, some)]
+        merged.sort(key=lambda x: (-x[0], x[1]))
+        self.best[n] = merged[: self.k]
+
+
+def _held_topk(matched: DataFrame, stats: dict[int, int], chunks: int, avgdl: float, queries: list, places: dict[str, int], k: int) -> DataFrame:
+    """(query_id, chunk_id, bm25_score): the best k rows of each query in each task. ``queries``: rows of query terms."""
+    weights = {t: _idf(df, chunks) for t, df in stats.items()}
+    per_query: dict = defaultdict(list)
+    for q in queries:
+        per_query[q.query_id].append(q)
+    asked = []
+    for query_id, rows in per_query.items():
+        pairs = [(places[r.term], r.qtf * weights[places[r.term]], weights[places[r.term]] > MIN_IDF) for r in rows if places[r.term] in weights]
+        if pairs:
+            first = rows[0].asDict()
+            asked.append(_Asked(query_id, [(t, w) for t, w, sure in pairs if sure], [(t, w) for t, w, sure in pairs if not sure], first.get("filter_md_id"), bool(first.get("include_withdrawn"))))
+    kind = pa.int64() if asked and isinstance(asked[0].query_id, int) else pa.string()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(asked, k, avgdl)
+        for b in batches:
+            scorer.add(b)
+        rows = [(a.query_id, i, -s) for a, best in zip(asked, scorer.best) for s, i in best]
+        cols = list(zip(*rows)) if rows else [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (kind, pa.string(), pa.float64()))], ["query_id", "chunk_id", "bm25_score"])
+
+    return matched.mapInArrow(run, f"query_id {'long' if kind == pa.int64() else 'string'}, chunk_id string, bm25_score double")
+
+
+def _idf(df: int, n: int) -> float:
+    raw = np.log((n - df + 0.5) / (df + 0.5)) if n - df + 0.5 > 0 else 0.0
+    return float(raw) if raw > 0 else MIN_IDF
+
+
 def bm25_topk(
     queries: DataFrame,
     chunks: DataFrame,
@@ -184,73 +317,44 @@ def bm25_topk(
     if index is not None and stem is not None and stem != index.stem:
         raise ValueError(f"the index is built with stem={index.stem}")
     stem = index.stem if index is not None else bool(stem)
+    if "include_withdrawn" not in queries.columns and include_withdrawn:
+        queries = queries.withColumn("include_withdrawn", F.lit(True))
     carry = tuple(c for c in ("filter_md_id", "include_withdrawn") if c in queries.columns)
     prepared = prepare_queries(queries, carry, small, stem)
-    if index is None:
-        index = build_index(chunks.select("chunk_id", "text"), prepared.terms if prepared.small else None, stem)
-    if index.stored:
-        index = gather(index, prepared.terms if prepared.small else None)
-    any_status = F.coalesce(F.col("include_withdrawn") if "include_withdrawn" in carry else F.lit(include_withdrawn), F.lit(False))
-    # Only a flag and the record id meet the postings, never the text.
-    state = chunks.select("chunk_id", "md_id", (F.coalesce("status", F.lit("current")) == "current").alias("is_current"))
-    if include_withdrawn is False and "include_withdrawn" not in carry:
-        state = state.filter("is_current")
-    keep = F.col("is_current") | any_status
-    if "filter_md_id" in carry:
-        keep = keep & (F.col("filter_md_id").isNull() | (F.col("filter_md_id") == F.col("md_id")))
-    scores = bm25_scores(index, prepared.terms, prepared.small, state, keep)
+    rows = chunks.withColumn("is_current", F.coalesce("status", F.lit("current")) == "current")
+    state = rows.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("md_id").cast("string").alias("md_id"), "is_current")
+    if prepared.small:
+        asked = prepared.terms.collect()  # at most BROADCAST_ROWS rows
+        words = sorted({q.term for q in asked})
+        places = {w: i for i, w in enumerate(words)}
+        scores = _held(index, rows, state, asked, words, places, stem, k)
+    else:
+        index = index or build_index(chunks.select("chunk_id", "text"), stem)
+        any_status = F.coalesce(F.col("include_withdrawn"), F.lit(False)) if "include_withdrawn" in carry else F.lit(False)
+        keep = F.col("is_current") | any_status
+        if "filter_md_id" in carry:
+            keep = keep & (F.col("filter_md_id").isNull() | (F.col("filter_md_id") == F.col("md_id")))
+        scores = bm25_scores(index, prepared.terms, state, keep)
     return top_k(scores, k, F.col("bm25_score"), F.col("chunk_id"))
 
 
-def save_index(index: TextIndex, folder: str) -> None:
-    """Write an index as parquet, postings in term order; ranges over (term, chunk) also split the frequent terms."""
-    postings = index.postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
-    postings.write.mode("errorifexists").parquet(f"{folder}/postings")
-    index.stats.withColumn("stem", F.lit(index.stem)).write.mode("errorifexists").parquet(f"{folder}/stats")
-
-
-def load_index(spark: SparkSession, folder: str) -> TextIndex:
-    """Read an index; hot terms are found again from the statistics."""
-    stats = spark.read.parquet(f"{folder}/stats")
-    stem = bool(stats.agg(F.max("stem")).first()[0])
-    stats = stats.drop("stem")
-    return TextIndex(spark.read.parquet(f"{folder}/postings"), stats, hot_terms(stats), stored=True, stem=stem)
-
-
-def gather(index: TextIndex, vocabulary: DataFrame | None) -> TextIndex:
-    """Bring the postings of a stored index together by chunk; with a vocabulary only its terms are read and moved."""
-    postings = index.postings
-    if vocabulary is not None:
-        words = vocabulary.select("term").distinct()
-        ends = words.agg(F.min("term").alias("a"), F.max("term").alias("b")).first()
-        if ends.a is not None:
-            postings = postings.filter(F.col("term").between(ends.a, ends.b))  # prunes row groups
-        postings = postings.join(F.broadcast(words), "term", "left_semi")
-    return replace(index, postings=postings.repartition("chunk_id"), stored=False)
-
-
-def refresh_index(index: TextIndex, gone: DataFrame, fresh: TextIndex) -> TextIndex:
-    """Index after replacing chunks: those in ``gone`` (chunk_id) leave, those of ``fresh`` join.
-
-    Statistics are brought up to date from the difference alone; the kept postings are not counted again.
-    """
-    if index.stem != fresh.stem:
-        raise ValueError("both indexes have to be built alike")
-    leaving = gone.select("chunk_id").distinct()
-    kept = index.postings.join(leaving, "chunk_id", "left_anti")
-    dropped = index.postings.join(leaving, "chunk_id", "left_semi")
-    pseudo = F.explode(F.array(F.lit(EVERY), F.lit(LENGTH))).alias("term")
-    lengths = dropped.groupBy("chunk_id").agg(F.first("dl").alias("dl")).select("dl", pseudo)
-    lost = term_stats(dropped.select("dl", "term").unionByName(lengths))
-    minus = lost.select("term", (-F.col("df")).alias("df"))
-    stats = (
-        index.stats.unionByName(fresh.stats)
-        .unionByName(minus)
-        .groupBy("term")
-        .agg(F.sum("df").alias("df"))
-        .filter((F.col("df") > 0) | F.col("term").isin(EVERY, LENGTH))
-    )
-    return TextIndex(kept.unionByName(fresh.postings), stats, hot_terms(stats), stored=True, stem=index.stem)
+def _held(index: TextIndex | None, rows: DataFrame, state: DataFrame, asked: list, words: list[str], places: dict[str, int], stem: bool, k: int) -> DataFrame:
+    """The best k rows of each query and task, with the queries held by the tasks."""
+    if index is None:
+        typed = rows.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("md_id").cast("string").alias("md_id"), "is_current", "text")
+        matched = settle(_matched(typed, words, stem))
+        total = matched.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length")).first()
+        seen = matched.select(F.explode("terms").alias("place")).groupBy("place").count().collect()  # a row a word asked for
+        frequencies = {r.place: r["count"] for r in seen}
+    else:
+        spark = rows.sparkSession
+        vocabulary = spark.createDataFrame([(w, i) for w, i in places.items()], "term string, place int")
+        known = index.stats.join(F.broadcast(vocabulary), "term", "left").filter(F.col("place").isNotNull() | F.col("term").isin(EVERY, LENGTH)).collect()
+        frequencies = {r.place: r.df for r in known if r.place is not None}
+        value = {r.term: r.df for r in known if r.place is None}
+        total = type("Total", (), {"n": value.get(EVERY, 0), "length": value.get(LENGTH, 0)})
+        matched = _matched_postings(index, vocabulary, state)
+    return _held_topk(matched, frequencies, total.n, total.length / total.n if total.n and total.length else 1.0, asked, places, k)
 
 
 def topic_filter(queries: DataFrame, aliases: DataFrame, hint_col: str = "topic_hint") -> DataFrame:

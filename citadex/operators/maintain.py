@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..profile import HEADER_LABELS
+from ..session import settle
 
 SANE_FRACTION = 0.8
 KEY = ("md_id", "document_family")
@@ -324,6 +325,37 @@ def replace_by_document(stored: DataFrame, fresh: DataFrame, key: str = "documen
     return stored.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
+def _bucketed(rows: DataFrame, buckets: int, key: str) -> DataFrame:
+    """``rows`` with ``bucket``, the hashed share of documents a row belongs to; rows without a key form bucket -1."""
+    return rows.withColumn("bucket", F.when(F.col(key).isNotNull(), F.pmod(F.xxhash64(key), F.lit(buckets))).otherwise(-1).cast("int"))
+
+
+def write_by_document(rows: DataFrame, folder: str, buckets: int = 256, key: str = "document_id") -> None:
+    """Store ``rows`` in folders by hashed document, so that a later change of a few documents rewrites their folders alone.
+
+    A range over (bucket, key, hash of the row) deals rows out evenly, however many a document has.
+    """
+    spread = F.xxhash64(*rows.columns)
+    dealt = _bucketed(rows, buckets, key).repartitionByRange(F.col("bucket"), F.col(key), spread)
+    dealt.write.mode("errorifexists").partitionBy("bucket").parquet(folder)
+
+
+def replace_stored(spark: SparkSession, folder: str, fresh: DataFrame, buckets: int = 256, key: str = "document_id") -> list[int]:
+    """Replace the stored rows of the documents that ``fresh`` holds; returns the buckets written, all others stay as they are.
+
+    ``buckets`` is the number the table was written with. Only the buckets of the fresh documents are read and written;
+    Spark exchanges a bucket's files as a whole when the write commits, so a reader sees the old rows or the new ones.
+    """
+    incoming = settle(_bucketed(fresh, buckets, key))
+    dirty = sorted(r.bucket for r in incoming.select("bucket").distinct().collect())  # at most ``buckets`` numbers
+    if not dirty:
+        return []
+    stored = spark.read.parquet(folder).where(F.col("bucket").isin(dirty))
+    merged = settle(replace_by_document(stored, incoming.drop("bucket"), key).transform(lambda d: _bucketed(d, buckets, key)))
+    merged.repartitionByRange(F.col("bucket"), F.col(key)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(folder)
+    return dirty
+
+
 def upsert_artifacts(stored: DataFrame, fetched: DataFrame) -> DataFrame:
     """Merge attachments by URL; a fresh extraction clears the error and marks the row indexed."""
     incoming = fetched.withColumn("is_indexed", F.lit(True)).withColumn("error", F.lit(None).cast("string"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import maintain as M
+from ..session import shared_dir
 from .bindings import cte, current_listing, previous_listing, query, registry, sql, table, withdrawn_view
 from .retrieval_queries import LONG
 
@@ -271,7 +274,10 @@ def replace_chunks(spark, sf):
     fresh = registry(spark, sf).filter(F.col("lang") == "fr").select(
         "document_id", F.concat("md_id", F.lit("-new")).alias("chunk_id"), F.lit("new").alias("paragraph_anchor"), F.sha2("text", 256).alias("text_sha256")
     )
-    return M.replace_by_document(stored, fresh)
+    folder = f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    M.write_by_document(stored, folder, buckets=16)
+    M.replace_stored(spark, folder, fresh, buckets=16)
+    return spark.read.parquet(folder).select(*stored.columns)
 
 
 @query(

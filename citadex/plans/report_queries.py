@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..operators import evaluate as E
 from ..operators import quality as Q
-from ..operators import fusion, lexical
+from ..operators import fusion, lexical, segments
 from ..schema import DOCUMENTS
 from ..session import STATE_STORE, settle, shared_dir
 from ..sources.dumps import load_dump, write_dump
@@ -488,8 +488,8 @@ def stream_dedupe(spark, sf):
 def stream_search(spark, sf):
     asked = _stream(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), "text")
     out = _folder(spark, "search")
-    lexical.save_index(lexical.build_index(chunks(spark, sf)), f"{out}/index")
-    S.stream_search(asked, chunks(spark, sf), f"{out}/rows", f"{out}/checkpoint", lexical.load_index(spark, f"{out}/index"))
+    segments.create(lexical.build_index(chunks(spark, sf)), f"{out}/index", buckets=8)
+    S.stream_search(asked, chunks(spark, sf), f"{out}/rows", f"{out}/checkpoint", segments.load(spark, f"{out}/index"))
     rows = S.batch_folders(spark, f"{out}/rows", "query_id string, chunk_id string, bm25_score double, rank int")
     return rows.select("query_id", "chunk_id", "bm25_score", *LONG("rank"))
 

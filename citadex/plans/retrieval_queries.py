@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.stem import stem_vocabulary
 from ..functions.text import index_tokens
 from ..functions.vectors import hashed_encoder
-from ..operators import dense, documents, fusion, lexical, status
+from ..operators import dense, documents, fusion, lexical, status, segments
 from ..session import shared_dir
 from .bindings import (
     SAMPLE, TERM, aliases, chunks, clause_vectors, clauses, cte, hinted_clauses, query, registry, sql, table, vectors,
@@ -89,7 +89,10 @@ def refresh_index(spark, sf):
     every = chunks(spark, sf)
     fresh = every.filter(F.col("section") == "fr").withColumn("text", F.concat("text", F.lit(" refreshed")))
     gone = every.filter(F.col("section").isin("de", "fr")).select("chunk_id")
-    index = lexical.refresh_index(lexical.build_index(every), gone, lexical.build_index(fresh))
+    folder = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    segments.create(lexical.build_index(every), folder, buckets=8)
+    segments.refresh(spark, folder, gone, lexical.build_index(fresh))
+    index = segments.load(spark, folder)
     found = index.postings.groupBy("term").agg(F.sum("tf").alias("occurrences"))
     return index.stats.join(found, "term").select("term", "df", "occurrences")
 
@@ -122,17 +125,19 @@ JOIN later k USING (chunk_id) WHERE k.status = 'current' QUALIFY rank <= 5""",
     ),
 )
 def bm25_stored_index(spark, sf):
-    """An index is stored; then German documents leave, French ones change, Spanish ones are withdrawn."""
+    """An index is stored; then German documents leave, French ones change, Spanish ones are withdrawn: three refreshes and a merge."""
     every = chunks(spark, sf)
     folder = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
-    lexical.save_index(lexical.build_index(every), f"{folder}/first")
+    segments.create(lexical.build_index(every), folder, buckets=8)
     text = F.when(F.col("section") == "fr", F.concat("text", F.lit(" refreshed"))).otherwise(F.col("text"))
     status = F.when(F.col("section") == "es", "withdrawn").otherwise(F.col("status"))
     now = every.filter("section <> 'de'").withColumn("text", text).withColumn("status", status)
-    gone = every.filter(F.col("section").isin("de", "fr")).select("chunk_id")
-    fresh = lexical.build_index(now.filter("section = 'fr'"))
-    lexical.save_index(lexical.refresh_index(lexical.load_index(spark, f"{folder}/first"), gone, fresh), f"{folder}/second")
-    found = lexical.bm25_topk(clauses(spark, sf), now, 5, index=lexical.load_index(spark, f"{folder}/second"))
+    french, german = every.filter("section = 'fr'"), every.filter("section = 'de'").select("chunk_id")
+    nothing = lexical.build_index(every.limit(0))
+    segments.refresh(spark, folder, french.select("chunk_id"), lexical.build_index(french.withColumn("text", F.lit("a draft"))))
+    segments.refresh(spark, folder, german, nothing)
+    segments.refresh(spark, folder, french.select("chunk_id"), lexical.build_index(now.filter("section = 'fr'")), most=2)
+    found = lexical.bm25_topk(clauses(spark, sf), now, 5, index=segments.load(spark, folder))
     return found.select("query_id", "chunk_id", "bm25_score", *LONG("rank"))
 
 

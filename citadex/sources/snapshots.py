@@ -1,7 +1,8 @@
 """Whole-or-nothing publication of corpus builds.
 
-A build is written to its own ``snapshot=<id>`` folder and becomes visible only when a manifest row names it.
-Every entry is a folder of its own, named by its number. Readers take the newest manifest row, so they see the old build or the new one and never a half-written one.
+A build is written to its own ``snapshot=<id>`` folder and becomes visible only when a manifest entry names it.
+Every entry is a file named by its number, which only one publisher can create. Readers take the newest entry, so they see
+the old build or the new one and never a half-written one.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .claims import claim, entries
 from .tables import write_table
 
 
@@ -22,12 +24,7 @@ MANIFEST = "snapshot string, seq bigint, published_at timestamp"
 
 
 def _manifest(spark: SparkSession, root: str) -> DataFrame:
-    try:
-        return spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
-    except Exception as error:  # no manifest yet
-        if "PATH_NOT_FOUND" in str(error):
-            return spark.createDataFrame([], MANIFEST)
-        raise
+    return entries(spark, f"{root}/manifest", MANIFEST)
 
 
 def current_snapshot(spark: SparkSession, root: str) -> str | None:
@@ -53,17 +50,13 @@ def publish_snapshot(
     _commit(spark, root, snapshot)
 
 
-def _commit(spark: SparkSession, root: str, snapshot: str, attempts: int = 20) -> None:
+def _commit(spark: SparkSession, root: str, snapshot: str, attempts: int = 100) -> int:
     """Add the manifest entry under the next free number; whoever finds the number taken draws another."""
-    row = spark.range(1).select(F.lit(snapshot).alias("snapshot"), F.current_timestamp().alias("published_at")).coalesce(1)
     for _ in range(attempts):
-        following = _manifest(spark, root).agg(F.coalesce(F.max("seq"), F.lit(0)) + 1).first()[0]
-        try:
-            row.write.mode("errorifexists").parquet(f"{root}/manifest/seq={following}")
-            return
-        except Exception as error:
-            if "PATH_ALREADY_EXISTS" not in str(error):
-                raise
+        last = _manifest(spark, root).agg(F.coalesce(F.max("seq"), F.lit(0)), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")).first()
+        number = last[0] + 1
+        if claim(spark, f"{root}/manifest/{number:09d}.json", {"snapshot": snapshot, "seq": number, "published_at": last[1]}):
+            return number
     raise PublishRefused(f"no free manifest number for build {snapshot}")
 
 

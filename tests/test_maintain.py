@@ -191,3 +191,40 @@ def test_quality(spark):
     n = spark.createDataFrame([(0,), (49,), (50,), (200,), (499,), (500,), (1999,), (2000,), (10000,)], "n int")
     assert [r[0] for r in n.select(Q.length_bucket(F.col("n"))).collect()] == ["0-500"] * 5 + ["500-2000"] * 2 + ["2000-10000", "10000+"]
     assert [r[0] for r in n.select(Q.length_bucket(F.col("n"), small=True)).collect()] == ["0-50", "0-50", "50-200", "200-500", "200-500"] + ["500+"] * 4
+
+
+def test_publishers_at_once_draw_different_numbers(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = str(tmp_path / "corpus")
+    with ThreadPoolExecutor(8) as pool:
+        numbers = list(pool.map(lambda i: snapshots._commit(spark, root, f"build{i}"), range(8)))
+    assert sorted(numbers) == list(range(1, 9))
+    listed = {r.seq: r.snapshot for r in snapshots._manifest(spark, root).collect()}
+    assert listed == {n: f"build{i}" for i, n in enumerate(numbers)} and snapshots.current_snapshot(spark, root) == listed[8]
+
+
+def test_a_taken_name_is_left_alone(spark, tmp_path):
+    from citadex.sources.claims import claim, entries
+
+    assert claim(spark, str(tmp_path / "log" / "1.json"), {"n": 1}) and not claim(spark, str(tmp_path / "log" / "1.json"), {"n": 2})
+    assert [r.n for r in entries(spark, str(tmp_path / "log"), "n int").collect()] == [1]
+    assert [p.name for p in (tmp_path / "log").iterdir() if not p.name.endswith(".crc")] == ["1.json"]
+
+
+def test_replacing_documents_leaves_other_buckets_alone(spark, tmp_path):
+    folder = tmp_path / "chunks"
+    rows = [(f"d{i % 60}", f"c{i}", i) for i in range(600)] + [(None, "c-none", 1)]
+    M.write_by_document(spark.createDataFrame(rows, "document_id string, chunk_id string, n int"), str(folder), buckets=16)
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in folder.rglob("*.parquet")}
+    before = files()
+    fresh = spark.createDataFrame([("d1", "new", 0), ("d2", "new", 0), ("d99", "new", 0)], "document_id string, chunk_id string, n int")
+    dirty = M.replace_stored(spark, str(folder), fresh, buckets=16)
+    after = files()
+    assert 0 < len(dirty) <= 3
+    kept = lambda f: {k: v for k, v in f.items() if not any(f"bucket={b}/" in k for b in dirty)}
+    assert kept(before) == kept(after) and len(kept(after)) > 8
+    got = sorted(map(str, spark.read.parquet(str(folder)).select("document_id", "chunk_id", "n").collect()))
+    want = M.replace_by_document(spark.createDataFrame(rows, "document_id string, chunk_id string, n int"), fresh)
+    assert got == sorted(map(str, want.collect()))
+    assert M.replace_stored(spark, str(folder), fresh.limit(0), buckets=16) == [] and files() == after

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from citadex.functions.stem import porter
 from citadex.functions.vectors import hashed_encoder
-from citadex.operators import dense, fusion, lexical
+from citadex.operators import dense, fusion, lexical, segments
 
 TEXTS = {
     "a": ("1", "current", "ledger audit of client account opening"),
@@ -74,12 +74,12 @@ def test_query_terms(spark):
 
 
 def test_saved_index_gives_same_ranking(spark, chunks, tmp_path):
-    lexical.save_index(lexical.build_index(chunks), str(tmp_path / "i"))
+    segments.create(lexical.build_index(chunks), str(tmp_path / "i"))
     q = queries(spark, ("q", "ledger share"))
-    stored = lexical.bm25_topk(q, chunks, 5, index=lexical.load_index(spark, str(tmp_path / "i")))
+    stored = lexical.bm25_topk(q, chunks, 5, index=segments.load(spark, str(tmp_path / "i")))
     assert sorted(stored.collect()) == sorted(lexical.bm25_topk(q, chunks, 5).collect())
     # The status of the moment counts, not that of the indexing.
-    index = lexical.load_index(spark, str(tmp_path / "i"))
+    index = segments.load(spark, str(tmp_path / "i"))
     now = chunks.withColumn("status", F.when(F.col("chunk_id") == "a", "superseded").when(F.col("chunk_id") != "d", F.col("status")))
     assert {r.chunk_id for r in lexical.bm25_topk(q, now, 5, index=index).collect()} == {"b", "c", "d", "e"}
     gone = lexical.bm25_topk(q, chunks.where("chunk_id <> 'b'"), 5, index=index)
@@ -95,8 +95,8 @@ def test_stemmed_search_meets_all_forms(spark, tmp_path):
     index = lexical.build_index(texts, stem=True)
     for found in (lexical.bm25_topk(q, texts, stem=True), lexical.bm25_topk(q, texts, index=index)):
         assert {r.chunk_id for r in found.collect()} == {"1", "2", "3"}
-    lexical.save_index(index, str(tmp_path / "s"))
-    assert lexical.load_index(spark, str(tmp_path / "s")).stem
+    segments.create(index, str(tmp_path / "s"))
+    assert segments.load(spark, str(tmp_path / "s")).stem
     with pytest.raises(ValueError):
         lexical.bm25_topk(q, texts, index=index, stem=False)
 
@@ -108,16 +108,50 @@ def test_folding_follows_the_unicode_tables(spark):
     assert df.select(fold_diacritics(F.col("v"))).first()[0] == "a α и e e n ß"
 
 
-def test_refreshed_index_equals_a_new_one(spark, chunks):
+def same_index(got, want):
+    assert sorted(got.stats.collect()) == sorted(want.stats.collect())
+    rows = lambda i: sorted(map(str, i.postings.select("chunk_id", "dl", "term", "tf").collect()))
+    assert rows(got) == rows(want)
+
+
+def written(folder):
+    return {str(p.relative_to(folder)): p.stat().st_mtime_ns for p in folder.rglob("*.parquet")}
+
+
+def test_refreshed_index_equals_a_new_one(spark, chunks, tmp_path):
     old = chunks.filter("chunk_id <> 'e'")
     new = chunks.filter("chunk_id <> 'a'").withColumn("text", F.when(F.col("chunk_id") == "b", "ledger only").otherwise(F.col("text")))
     fresh = lexical.build_index(new.filter("chunk_id IN ('b', 'e')"))
-    gone = spark.createDataFrame([("a",), ("b",)], "chunk_id string")
-    got, want = lexical.refresh_index(lexical.build_index(old), gone, fresh), lexical.build_index(new)
-    assert sorted(got.stats.collect()) == sorted(want.stats.collect())
-    assert sorted(map(str, got.postings.select("chunk_id", "dl", "term", "tf").collect())) == sorted(
-        map(str, want.postings.select("chunk_id", "dl", "term", "tf").collect())
-    )
+    gone = spark.createDataFrame([("a",), ("b",), ("never",), (None,)], "chunk_id string")
+    segments.create(lexical.build_index(old), str(tmp_path))
+    assert segments.refresh(spark, str(tmp_path), gone, fresh) == 2
+    same_index(segments.load(spark, str(tmp_path)), lexical.build_index(new))
+
+
+def test_refreshes_write_the_difference_only(spark, tmp_path):
+    text = lambda i, v: " ".join(f"w{(i * 7 + k * k + v) % 50}" for k in range(20))
+    table = lambda rows: spark.createDataFrame([(f"c{i}", text(i, v), "m", None) for i, v in rows.items()], "chunk_id string, text string, md_id string, status string")
+    now = {i: 0 for i in range(400)}
+    segments.create(lexical.build_index(table(now)), str(tmp_path), buckets=16)
+    before = written(tmp_path)
+    for v in range(1, 5):
+        some = {i: v for i in range(3)}
+        gone = spark.createDataFrame([(f"c{i}",) for i in [*some, 100 + v]], "chunk_id string")
+        segments.refresh(spark, str(tmp_path), gone, lexical.build_index(table(some)), most=4)
+        now = {i: some.get(i, x) for i, x in now.items() if i != 100 + v}
+        after = written(tmp_path)
+        assert before.items() <= after.items()  # nothing is rewritten in place
+        new = [f for f in after.keys() - before.keys() if f.startswith("postings")]
+        dirty = {f.split("bucket=")[1].split("/")[0] for f in new}
+        assert 0 < len(dirty) <= 3
+        rows = sum(spark.read.parquet(str(tmp_path / f)).count() for f in new)
+        assert rows <= 60 if v < 4 else rows > 60  # the last one merges the crowded buckets
+        same_index(segments.load(spark, str(tmp_path)), lexical.build_index(table(now)))
+        before = after
+    assert segments._state(spark, str(tmp_path)).lines[-1].kind == "merge"
+    stale = segments._state(spark, str(tmp_path))
+    with pytest.raises(segments.RefreshRefused):
+        segments._commit(spark, str(tmp_path), {"version": stale.version, "segment": "x", "kind": "refresh"})
 
 
 def test_stemming(spark):
