@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import FAMILIES, STATUSES
+from ..session import settle
 from .evaluate import latency_stats
 
 RATE_LIMIT = 60
@@ -134,6 +133,10 @@ def tool_telemetry(calls: DataFrame, every: str = "1 day") -> DataFrame:
 # --- rate limit -----------------------------------------------------------------------------------------------
 
 
+#: Parts of a window that its requests are numbered in, so that a burst is not numbered by one task.
+PARTS = 64
+
+
 def rate_limit_audit(
     requests: DataFrame,
     limit: int = RATE_LIMIT,
@@ -145,58 +148,74 @@ def rate_limit_audit(
     """Every request (request_id, client, ts) with its window's start, its number in it and the verdict.
 
     A window starts at a client's first request and again at the first request ``window_seconds`` or more after the
-    last start. A pause of that length always starts a window, so the work splits at such pauses: they are found on
-    per-cell minima and maxima, and only the stretch between two pauses is read in order, as a stream.
+    last start. Requests without a time are left out; those without a client form a client of their own.
+
+    Time is cut into cells as long as a window, so a cell holds one start at most, and what follows a request by a window
+    or more is found in the next cell or at the head of a later one. Each moment points at the start that would follow it;
+    from the moments after a pause, which are starts for certain, the pointers are followed by doubling, in joins. No
+    client's requests are ever brought together: rows meet by client and cell, and a burst is numbered in parts.
     """
     rows = requests if excluded is None else requests.filter(~excluded)
-    rows = rows.withColumn("bucket", F.lit("main") if bucket is None else bucket)
     width = int(window_seconds * 1_000_000)
-    keys = ["client", "bucket"]
-    rows = rows.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn(
-        "cell", F.floor(F.col("us") / F.lit(width))
-    )
-    cells = rows.groupBy(*keys, "cell").agg(F.min("us").alias("first"), F.max("us").alias("last"))
-    in_order = Window.partitionBy(*keys).orderBy("cell")
-    pause = F.coalesce(F.col("first") - F.lag("last").over(in_order) >= width, F.lit(True))
-    stretches = cells.withColumn("_pause", pause.cast("int")).withColumn("stretch", F.sum("_pause").over(in_order)).select(
-        *keys, "cell", "stretch"
-    )
-    ordered = (
-        rows.join(stretches, [*keys, "cell"])
-        .repartition("client", "bucket", "stretch")
-        .sortWithinPartitions("client", "bucket", "stretch", "us", "request_id")
-        .select("request_id", "client", "bucket", "stretch", "us")
-    )
-    limits = {"main": limit, **(bucket_limits or {})}
-    id_type = requests.schema["request_id"].dataType.simpleString()
-    client_type = requests.schema["client"].dataType.simpleString()
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, start, count = None, 0, 0
-        for batch in batches:
-            us = batch["us"].to_numpy()
-            names = list(zip(*(batch[c].to_pylist() for c in ("client", "bucket", "stretch"))))
-            starts, counts = np.empty(len(us), "int64"), np.empty(len(us), "int64")
-            for i, (name, at) in enumerate(zip(names, us)):
-                if name != group or at - start >= width:
-                    group, start, count = name, at, 0
-                count += 1
-                starts[i], counts[i] = start, count
-            yield pa.RecordBatch.from_arrays(
-                [batch["request_id"], batch["client"], batch["bucket"], batch["us"], pa.array(starts), pa.array(counts)],
-                names=["request_id", "client", "bucket", "us", "start_us", "n"],
-            )
-
-    scanned = ordered.mapInArrow(
-        scan, f"request_id {id_type}, client {client_type}, bucket string, us bigint, start_us bigint, n bigint"
-    )
+    rows = rows.withColumn("bucket", F.lit("main") if bucket is None else bucket).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    # A struct, as nulls in it are equal.
+    rows = rows.where("us IS NOT NULL").select("request_id", F.struct("client", "bucket").alias("who"), "us", F.floor(F.col("us") / F.lit(width)).alias("cell"))
+    starts = _window_starts(rows, width)
+    own = starts.withColumnRenamed("start", "own")
+    earlier = starts.select("who", (F.col("cell") + 1).alias("cell"), F.col("start").alias("earlier"))
+    placed = rows.join(own, ["who", "cell"], "left").join(earlier, ["who", "cell"], "left")
+    placed = placed.select("request_id", "who", "us", F.when(F.col("own") <= F.col("us"), F.col("own")).otherwise(F.col("earlier")).alias("start"))
+    numbered = _numbered(placed.withColumn("part", F.floor((F.col("us") - F.col("start")) * PARTS / F.lit(width))))
     cap = F.lit(limit)
-    for name, value in limits.items():
-        cap = F.when(F.col("bucket") == name, value).otherwise(cap)
-    elapsed = (F.col("us") - F.col("start_us")) / 1_000_000
+    for name, value in (bucket_limits or {}).items():
+        cap = F.when(F.col("who.bucket") == name, value).otherwise(cap)
+    elapsed = (F.col("us") - F.col("start")) / 1_000_000
     over = F.col("n") > cap
-    return scanned.select(
-        "request_id", "client", "bucket", F.timestamp_micros("start_us").alias("window_start"),
+    return numbered.select(
+        "request_id", "who.client", "who.bucket", F.timestamp_micros("start").alias("window_start"),
         F.col("n").alias("request_no"), over.alias("limited"),
         F.when(over, F.greatest(F.lit(1), (F.lit(float(window_seconds)) - elapsed).cast("int"))).alias("retry_after"),
     )
+
+
+def _numbered(placed: DataFrame) -> DataFrame:
+    """``placed`` (request_id, who, us, start, part) with n, the number of the request in its window."""
+    counts = placed.groupBy("who", "start", "part").agg(F.count(F.lit(1)).alias("size"))
+    before = Window.partitionBy("who", "start").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).drop("size")
+    within = Window.partitionBy("who", "start", "part").orderBy("us", "request_id")
+    return placed.join(counts, ["who", "start", "part"]).withColumn("n", F.row_number().over(within) + F.col("before"))
+
+
+def _window_starts(rows: DataFrame, width: int) -> DataFrame:
+    """who, cell, start of every window; ``rows``: who, us, cell."""
+    moments = settle(rows.select("who", "us", "cell").distinct())
+    in_order = Window.partitionBy("who").orderBy("cell")
+    cells = moments.groupBy("who", "cell").agg(F.min("us").alias("first"), F.max("us").alias("last"))
+    following = F.lead("first").over(in_order)
+    cells = settle(
+        cells.select(
+            "who", "cell", "first",
+            F.coalesce(F.col("first") - F.lag("last").over(in_order) >= width, F.lit(True)).alias("pause"),
+            F.when(F.lead("cell").over(in_order) == F.col("cell") + 1, F.lead("first", 2).over(in_order)).otherwise(following).alias("beyond"),
+        )
+    )
+    heads = cells.where("pause").select("who", F.col("first").alias("us"))
+    # Candidates of a cell and the moments of the cell before, a window later, in falling order of time.
+    asked = moments.select("who", (F.col("cell") + 1).alias("cell"), (F.col("us") + width).alias("at"), F.lit(0).alias("there"), F.col("us"))
+    there = moments.select("who", "cell", F.col("us").alias("at"), F.lit(1).alias("there"), F.col("us"))
+    falling = Window.partitionBy("who", "cell").orderBy(F.desc("at"), F.desc("there")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = there.unionByName(asked).withColumn("near", F.min(F.when(F.col("there") == 1, F.col("us"))).over(falling)).where("there = 0")
+    links = met.select("who", "us", (F.col("cell") - 1).alias("cell"), "near").join(cells.select("who", "cell", "beyond"), ["who", "cell"])
+    links = links.select("who", "us", F.coalesce("near", "beyond").alias("next")).where("next IS NOT NULL")
+    # What leads to a head says nothing new.
+    jump = settle(links.join(heads.withColumnRenamed("us", "next"), ["who", "next"], "left_anti").select("who", "us", "next"))
+    reached = heads
+    while True:
+        found = settle(reached.join(jump, ["who", "us"]).select("who", F.col("next").alias("us")))
+        if not found.limit(1).count():
+            break
+        reached = settle(reached.unionByName(found))
+        onward = jump.select("who", F.col("us").alias("next"), F.col("next").alias("then"))
+        jump = settle(jump.join(onward, ["who", "next"]).select("who", "us", F.col("then").alias("next")))
+    return reached.distinct().select("who", F.floor(F.col("us") / F.lit(width)).alias("cell"), F.col("us").alias("start"))

@@ -62,3 +62,31 @@ def test_hot_term_and_copies(spark, monkeypatch):
     assert sorted(small) == sorted(large) and len(small) == 1200
     best = [r for r in small if r.query_id == "a"]
     assert len({r.bm25_score for r in best if r["rank"] <= 300}) == 1 and {r.chunk_id for r in best if r["rank"] <= 300} == {str(i) for i in range(0, 900, 3)}
+
+
+def test_rate_limit_of_one_client_without_a_pause(spark):
+    """A client with over a third of all rows, never pausing, with bursts and ties; others pause. No Python in the plan."""
+    import random
+
+    from citadex.operators import quality as Q
+
+    rng = random.Random(2)
+    rows, at = [], 0
+    for i in range(3000):
+        at += rng.choice((0, 1, 400_000, 2_000_000, 9_000_000))
+        rows.append((i, 7, at))
+    rows += [(3000 + i, rng.choice((1, 2, None)), rng.randrange(0, 10**10)) for i in range(3000)]
+    rows += [(6000 + i, 9, 5_000_000 + i % 3) for i in range(500)] + [(9000, 9, None)]
+    df = spark.createDataFrame(rows, "request_id long, client long, us long").selectExpr("request_id", "client", "timestamp_micros(us) AS ts")
+    want, state = {}, {}
+    for i, who, us in sorted((r for r in rows if r[2] is not None), key=lambda r: (r[2], r[0])):
+        start, n = state.get(who, (None, 0))
+        if start is None or us - start >= 10_000_000:
+            start, n = us, 0
+        state[who] = (start, n + 1)
+        want[i] = (start, n + 1, n + 1 > 5)
+    audit = Q.rate_limit_audit(df, 5, 10.0)
+    got = {r.request_id: (r.us, r.request_no, r.limited) for r in audit.selectExpr("request_id", "unix_micros(window_start) us", "request_no", "limited").collect()}
+    assert got == want
+    plan = audit._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan and "Python" not in plan
