@@ -7,7 +7,6 @@ takes the codeword of least loss. Texts whose two nearest codewords lie close to
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,12 +20,9 @@ from citadex.llm.common import arrow_map, held_out
 #: Hash bits of byte trigrams, and of byte pairs.
 TRI, PAIR = 13, 11
 WIDTH = (1 << TRI) + (1 << PAIR)
-#: Most languages that are learned, those with most documents first; bounds the model at MAX_LANGUAGES * WIDTH counts.
-MAX_LANGUAGES = 512
 UNKNOWN = "und"
 #: Evidence of further n-grams beyond this many no longer adds to the confidence.
 EVIDENCE = 48
-_LETTER = re.compile(r"[^\W\d_]")
 _PLAIN = bytes(c if chr(c).isalpha() or c > 127 else 32 for c in range(128)) + bytes(range(128, 256))
 
 
@@ -65,7 +61,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, confidence from 0 to 1, and whether a second language is nearly as likely."""
-        if not text or not _LETTER.search(text) or not self.languages:
+        if not text or not self.languages or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, False
         grams = ngrams(text)
         if len(grams) < WIDTH:
@@ -84,34 +80,31 @@ class Model:
 def fit(docs: DataFrame, folds: int = 5, hold: int = 0) -> Model:
     """Count the n-grams of every labelled document outside the held-out fold, and derive the bit classifiers.
 
-    All labelled rows count; what reaches the driver is one number a language and n-gram, however many rows there are.
+    All labelled rows count, and every language that has one is learned. What reaches the driver is one number a language
+    and n-gram, 40 KB a language, however many rows there are; it grows with the distinct values of lang alone.
     Rows without text or label teach nothing; without any labelled row the model knows no language.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        docs_seen: dict[str, int] = {}
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 grams = ngrams(text)
                 if len(grams):
                     v = sums.setdefault(lang, np.zeros(WIDTH))
                     v += np.bincount(grams, minlength=WIDTH) / np.sqrt(len(grams))
-                    docs_seen[lang] = docs_seen.get(lang, 0) + 1
         for lang, v in sums.items():
             at = np.flatnonzero(v)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * (len(at) + 1)), pa.array(np.r_[at, -1].astype(np.int32)), pa.array(np.r_[v[at], docs_seen[lang]])], ["lang", "gram", "n"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(v[at])], ["lang", "gram", "n"])
 
     train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id", folds, hold)).select("lang", "text")
     counts = arrow_map(train, run, "lang string, gram int, n double").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = [r.lang for r in counts.where("gram = -1").orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
-    languages = sorted(top)
-    share = np.zeros((len(languages), WIDTH))
-    place = {lang: i for i, lang in enumerate(languages)}
-    for lang, gram, n in counts.where(F.col("lang").isin(languages) & (F.col("gram") >= 0)).toPandas().itertuples(index=False) if languages else ():
-        share[place[lang], gram] = n
+    found = counts.toPandas()
+    languages, place = np.unique(found["lang"].to_numpy(str), return_inverse=True)
+    gram, n = found["gram"].to_numpy(), found["n"].to_numpy()
+    share = np.zeros((len(languages), WIDTH), np.float32)
+    share[place, gram] = n
+    languages = languages.tolist()
     return build(languages, share)
 
 
@@ -120,7 +113,7 @@ def build(languages: list[str], counts: np.ndarray) -> Model:
     code = codewords(len(languages))
     if len(languages) < 2:
         return Model(languages, code, np.zeros((WIDTH, 1), np.float32), np.ones(1))
-    smooth = counts + 0.05 * counts.sum(axis=1, keepdims=True) / WIDTH + 1e-9
+    smooth = counts.astype(np.float64) + 0.05 * counts.sum(axis=1, keepdims=True) / WIDTH + 1e-9
     share = smooth / smooth.sum(axis=1, keepdims=True)
     weights = np.empty((WIDTH, code.shape[1]))
     for b in range(code.shape[1]):

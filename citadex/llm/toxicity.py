@@ -21,14 +21,12 @@ from citadex.llm.common import arrow_map, settle
 from citadex.llm.quality import labelled_sample
 
 # Seed words of the closed classes, in English, German, French and Spanish.
-TARGETS = "you your yours youre u ur du dich dir dein deine ihr euch toi vous votre tes usted ustedes vosotros eres".split()
+TARGETS = "you your yours youre yourself yourselves u ur them themselves him her everyone everybody du dich dir dein deine ihr euch ihn alle toi vous votre tes eux tous usted ustedes vosotros eres ellos ellas todos".split()
 NEGATIONS = "not never no dont doesnt isnt arent wasnt nicht kein keine nie niemals pas jamais aucun nunca jamás ningún".split()
 REPORTS = "said says say wrote writes called calls reported claimed quoted sagte sagt nannte schrieb dit disait appelé écrit dijo dice llamó escribió".split()
 THREATS = "kill hurt murder destroy strangle shoot stab töten umbringen verletzen tuer frapper détruire matar golpear destruir".split()
 INSULTS = "idiot moron imbecile scum loser pathetic worthless disgusting stupid".split()
 
-#: Entries of the learned lexicon, and candidates that are counted for it.
-MAX_LEXICON, MAX_CANDIDATES = 20_000, 50_000
 #: Words that a negation reaches.
 REACH = 3
 STEMS = (4, 5, 6, 7, 8)
@@ -136,62 +134,60 @@ def compose() -> dict[tuple[int, int], tuple[int, float, float]]:
     return out
 
 
-def entries(text: str, known: set[bytes] | None = None) -> set[bytes]:
+def entries(text: str) -> set[bytes]:
     """Distinct words and stems of a text that could enter the lexicon."""
     distinct = set(words(text))
     distinct.discard(b".")
     found = {w for w in distinct if len(w) > 2}
     for n in STEMS:
         found |= {w[:n] + b"*" for w in distinct if len(w) > n}
-    return found & known if known is not None else found
+    return found
 
 
-def _document_counts(docs: DataFrame, known: set[bytes] | None) -> DataFrame:
-    """entry, docs: in how many texts each entry occurs."""
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+def _document_counts(train: DataFrame) -> DataFrame:
+    """entry, pos, neg: in how many texts of ``train`` (y, text) of either label each entry occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, int] = {}
+        held: dict[bytes, int] = {}  # toxic texts in the upper half of a number, clean ones in the lower
 
         def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["entry", "docs"])
+            n = np.fromiter(held.values(), np.int64, len(held))
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(n >> 32), pa.array(n & 0xFFFFFFFF)], ["entry", "pos", "neg"])
 
         for b in batches:
-            for text in b.column(0).to_pylist():
-                for e in entries(text or "", shared.value):
-                    held[e] = held.get(e, 0) + 1
+            for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                one = 1 << 32 if y else 1
+                for e in entries(text or ""):
+                    held[e] = held.get(e, 0) + one
                 if len(held) > HELD:
                     yield rows()
                     held.clear()
         if held:
             yield rows()
 
-    return arrow_map(docs.select("text"), run, "entry binary, docs long").groupBy("entry").agg(F.sum("docs").alias("docs"))
+    return arrow_map(train.select("y", "text"), run, "entry binary, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
 
 
-def learn_insults(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int) -> dict[bytes, float]:
-    """Words and stems that set labelled toxic texts apart, with their log odds as weights.
+def learn_insults(train: DataFrame, n_toxic: int, n_clean: int) -> dict[bytes, float]:
+    """Words and stems that set the toxic texts of ``train`` (y, text) apart, with their log odds as weights.
 
-    The candidates are the entries that most toxic texts hold, and the lexicon the
-    clearest of them, both bounded.
+    Every entry is counted over all of ``train`` in one table and judged there; what passes comes to the driver, which the
+    number of texts bounds. Texts of one label alone teach nothing, then only the seed words count.
     """
     seeds = {w.encode(): SEED_WEIGHT for w in INSULTS}
     if not n_toxic or not n_clean:
         return seeds
-    least = 3 if n_toxic >= 30 else 2
-    top = _document_counts(toxic, None).where(F.col("docs") >= least).orderBy(F.desc("docs"), "entry").limit(MAX_CANDIDATES).collect()
-    pos = {bytes(r.entry): r.docs for r in top}
-    neg = {bytes(r.entry): r.docs for r in _document_counts(clean, {*pos, *seeds}).collect()}
-    scored = []
-    for e, p in pos.items():
-        q = neg.get(e, 0)
-        odds = math.log((p + 0.5) / (n_toxic - p + 0.5)) - math.log((q + 0.5) / (n_clean - q + 0.5))
-        error = math.sqrt(1 / (p + 0.5) + 1 / (n_toxic - p + 0.5) + 1 / (q + 0.5) + 1 / (n_clean - q + 0.5))
-        if odds > 2.3 and p / n_toxic > 6 * q / n_clean:
-            scored.append((odds / error, e, odds))
-    clear = [x for x in sorted(scored, reverse=True) if x[0] > (2.8 if x[1] in seeds or n_toxic >= 30 else 1.5)][:MAX_LEXICON]
-    learned = {e: min(6.0, odds - error) for z, e, odds in clear if (error := odds / z) < odds}
-    return {s: w for s, w in seeds.items() if not neg.get(s)} | learned
+    least, clear = (3, 2.8) if n_toxic >= 30 else (2, 1.5)
+    odds = F.expr(f"ln((p + 0.5) / ({n_toxic} - p + 0.5)) - ln((q + 0.5) / ({n_clean} - q + 0.5))")
+    error = F.expr(f"sqrt(1 / (p + 0.5) + 1 / ({n_toxic} - p + 0.5) + 1 / (q + 0.5) + 1 / ({n_clean} - q + 0.5))")
+    seed = F.col("entry").isin([bytearray(s) for s in seeds])
+    counts = _document_counts(train).withColumn("odds", odds).withColumn("error", error).withColumn("seed", seed)
+    sharp = (F.col("odds") > 2.3) & (F.col("p") / n_toxic > 6 * F.col("q") / n_clean) & (F.col("odds") > F.col("error"))
+    passed = (F.col("p") >= least) & sharp & (F.col("odds") / F.col("error") > F.when(F.col("seed"), 2.8).otherwise(clear))
+    found = counts.withColumn("passed", passed).where("passed OR seed").collect()
+    learned = {bytes(r.entry): min(6.0, r.odds - r.error) for r in found if r.passed}
+    met = {bytes(r.entry) for r in found if r.q}
+    return {s: w for s, w in seeds.items() if s not in met} | learned
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, ...]:
@@ -217,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, hold: int = 2, sampl
     chosen = settle(labelled_sample(labels, "toxic", folds, hold, lexicon_sample))
     train = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     sizes = {r.y: r["count"] for r in chosen.groupBy("y").count().collect()}
-    grammar = Grammar(learn_insults(train.where("y = 1"), train.where("y = 0"), sizes.get(1, 0), sizes.get(0, 0)))
+    grammar = Grammar(learn_insults(train, sizes.get(1, 0), sizes.get(0, 0)))
     shared = docs.sparkSession.sparkContext.broadcast(grammar.insults)
     names = [f"f{i}" for i in range(FEATURES)]
 

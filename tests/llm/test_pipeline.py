@@ -6,7 +6,7 @@ sys.path.insert(0, str(pathlib.Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline  # noqa: E402
 from common_rows import awkward, nothing  # noqa: E402
-from test_simhash import slow_fingerprint, slow_groups  # noqa: E402
+from test_near_copies import groups as near_groups  # noqa: E402
 from test_suffix_dedup import slow  # noqa: E402
 
 from citadex.llm import mixing  # noqa: E402
@@ -22,7 +22,7 @@ def test_stages_follow_each_other_and_match_brute_force(spark, sf, tmp_path):
         seen.append(name)
         old, new = ({r.doc_id: r for r in d.collect()} for d in (before, docs))
         if name == "near_dedup":
-            groups = slow_groups({d: slow_fingerprint(r.text) for d, r in old.items()})
+            groups, _ = near_groups({d: r.text for d, r in old.items()})  # all pairs, five words, Jaccard
             assert set(new) == {d for d, g in groups.items() if d == g} and all(new[d] == old[d] for d in new)
         if name == "language_id":
             assert len(new) > 0.97 * len(old) and all(any(c.isalpha() for c in r.text) for r in new.values())
