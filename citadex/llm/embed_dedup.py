@@ -1,8 +1,11 @@
-"""Near duplicates among embeddings, all pairs of a label, block against block.
+"""Near duplicates among embeddings by sorted projection passes.
 
-The vectors of a label are dealt by hash into blocks, and every two blocks meet in one task, which multiplies them in
-tiles. A task hands on two numbers a vector: how many others it links, and the vector that stands for its links there. So
-links are counted over all pairs, components are whole whatever the label's size and density, and no pair is written.
+The vectors of a label are centred on its mean, and every pass orders them by concatenated random hashes, the signs of 64 random
+projections, read as one number. Vectors close together agree in most signs and stand near each other in some pass, so
+each is compared with a bounded window of successors; runs of equal hashes longer than the window are compared block
+against block. How many passes a label takes follows from its size and density, so that a pair at the threshold is met in one of
+them with the chance asked for; a label that would need more comparisons than it has pairs is compared whole. Pairs verified
+in any pass are united into components. Links are then counted within components, all pairs, block against block.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citadex.llm.common import arrow_map, settle
+from citadex.llm.common import arrow_map, grouped, settle
 from citadex.llm.components import components
 from citadex.sizes import BROADCAST_ROWS, broadcast_if, fits
 
@@ -24,6 +27,12 @@ BLOCK, MOST = 2048, 32_768
 TILE = 1024
 #: Partitions in which blocks meet.
 TASKS = 20_000
+#: Successors that a vector is compared with in a pass, and signs of a hash.
+WINDOW, SIGNS = 128, 64
+#: Chance that a pair at the threshold stands within a window in some pass.
+RECALL = 0.9999
+#: Vectors of a label that a task orders whole; larger labels are cut by leading signs, pass by pass.
+HELD = 32_768
 
 
 def prepared(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
@@ -145,19 +154,134 @@ def links(reps: DataFrame, least: float = 0.98) -> DataFrame:
     return arrow_map(ordered, _meetings(least), "rep long, links long, peer long")
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
+def densities(reps: DataFrame) -> DataFrame:
+    """label, dim, n, mean (bytes of doubles) of the vectors of every label and dimension."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, int], list] = {}
+        for b in batches:
+            for lab, dim, unit in zip(*(b.column(i).to_pylist() for i in range(3))):
+                held = sums.setdefault((lab, dim), [0, np.zeros(dim)])
+                held[0] += 1
+                held[1] += np.frombuffer(unit, np.float64)
+        rows = [(lab, dim, n, v.tolist()) for (lab, dim), (n, v) in sums.items()]
+        cols = list(zip(*rows)) if rows else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.list_(pa.float64())))], ["label", "dim", "n", "sums"])
+
+    parts = arrow_map(reps.select("label", "dim", "unit"), run, "label string, dim int, n long, sums array<double>")
+    sizes = parts.groupBy("label", "dim").agg(F.sum("n").alias("n"))
+    each = parts.select("label", "dim", F.posexplode("sums").alias("i", "x")).groupBy("label", "dim", "i").agg(F.sum("x").alias("x"))
+    means = each.join(sizes, ["label", "dim"]).groupBy("label", "dim", "n").agg(F.array_sort(F.collect_list(F.struct("i", F.col("x") / F.col("n")))).alias("m"))
+    return means.select("label", "dim", "n", F.expr("transform(m, e -> e.col2)").alias("mean"))
+
+
+def planned(means: DataFrame, least: float, recall: float) -> DataFrame:
+    """``means`` with passes, cut: passes of the label (0: compare it whole) and leading signs that deal it to tasks.
+
+    Unit vectors at the threshold stand sqrt(2 - 2 least) apart; seen from the mean of a label of radius r that is an
+    angle, and a sign differs with that share of pi. Windows hold a pair when the signs that split the label into runs of half a
+    window agree.
+    """
+    apart = (2 - 2 * least) ** 0.5
+    out = means.withColumn("radius", F.sqrt(F.greatest(F.lit(1e-9), 1 - F.expr("aggregate(mean, 0D, (s, x) -> s + x * x)"))))
+    out = out.withColumn("differ", F.least(F.lit(0.5), 2 * F.asin(F.least(F.lit(1.0), apart / (2 * F.col("radius")))) / np.pi))
+    out = out.withColumn("signs", F.greatest(F.lit(0.0), F.log2(2 * F.col("n") / WINDOW)))
+    met = F.pow(1 - F.col("differ"), F.col("signs"))
+    passes = F.when(met >= recall, 1).otherwise(F.ceil(F.log(F.lit(1 - recall)) / F.log(1 - met)))
+    out = out.withColumn("passes", passes.cast("long"))
+    out = out.withColumn("passes", F.when(F.col("passes") * WINDOW * 2 >= F.col("n"), 0).otherwise(F.col("passes")).cast("int"))
+    cut = F.when(F.col("n") > HELD, F.ceil(F.log2(2 * F.col("n") / HELD))).otherwise(0)
+    return out.select("label", "dim", "n", "mean", "passes", cut.cast("int").alias("cut"))
+
+
+def hashes(x: np.ndarray, number: int) -> np.ndarray:
+    """The hashes of centred vectors in one pass, as numbers whose order is that of the signs."""
+    planes = np.random.default_rng((number, x.shape[1])).standard_normal((x.shape[1], SIGNS))
+    return np.ascontiguousarray(np.packbits(x @ planes > 0, axis=1)).view(">u8")[:, 0].astype(np.uint64)
+
+
+def _pass(x: np.ndarray, x32: np.ndarray, key: np.ndarray, root: np.ndarray, least: float) -> None:
+    """Unite what one pass finds: windows of successors, and runs of equal hashes that are longer than a window."""
+    order = np.argsort(key, kind="stable")
+    for at in range(0, len(order), TILE):
+        p, q = order[at : at + TILE], order[at : at + TILE + WINDOW]
+        i, j = _near(x[p], x[q], x32[p], x32[q], least)
+        good = (j > i) & (j - i <= WINDOW)
+        _join(root, p[i[good]], q[j[good]])
+    sorted_key = key[order]
+    bounds = np.r_[0, np.flatnonzero(sorted_key[1:] != sorted_key[:-1]) + 1, len(order)]
+    for first, last in zip(bounds[:-1], bounds[1:]):
+        if last - first > WINDOW:
+            run = order[first:last]
+            for r in range(0, len(run), TILE):
+                for c in range(r, len(run), TILE):
+                    p, q = run[r : r + TILE], run[c : c + TILE]
+                    i, j = _near(x[p], x[q], x32[p], x32[q], least)
+                    _join(root, p[i], q[j])
+
+
+def spans(reps: DataFrame, least: float = 0.98, recall: float = RECALL) -> DataFrame:
+    """rep, peer: links that span what the passes find among ``reps`` (rep, label, unit, dim); a vector without one has no row."""
+    plan = settle(planned(densities(reps), least, recall).where("n > 1"))
+    known = broadcast_if(fits(plan, BROADCAST_ROWS), plan)
+    rows = reps.select("label", "dim", "rep", "copies", "unit").join(known, ["label", "dim"])
+    whole = links(rows.where("passes = 0").select("label", "dim", "rep", "copies", "unit"), least).select("rep", "peer")
+    passed = rows.where("passes > 0")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each vector once for a label that one task orders, else once a pass with the leading signs of its hash."""
+        for b in batches:
+            c = {n: b.column(n).to_pylist() for n in ("label", "dim", "unit", "mean", "passes", "cut")}
+            by: dict[tuple[str, int], list[int]] = {}
+            for k, key in enumerate(zip(c["label"], c["dim"])):
+                by.setdefault(key, []).append(k)
+            for ks in by.values():
+                cut, passes = c["cut"][ks[0]], c["passes"][ks[0]]
+                some = b.take(pa.array(ks))
+                x = np.frombuffer(b"".join(c["unit"][k] for k in ks), np.float64).reshape(len(ks), -1) - np.asarray(c["mean"][ks[0]])
+                for number in range(passes) if cut else [-1]:
+                    slab = (hashes(x, number) >> np.uint64(SIGNS - cut)).astype(np.int64) if cut else np.zeros(len(ks), np.int64)
+                    fixed = [pa.array(np.full(len(ks), number, np.int32)), pa.array(slab)]
+                    yield pa.RecordBatch.from_arrays([some.column("label"), some.column("dim"), *fixed, some.column("rep"), some.column("unit"), some.column("mean"), some.column("passes")], ["label", "dim", "number", "slab", "rep", "unit", "mean", "passes"])
+
+    keys = ["label", "dim", "number", "slab"]
+    schema = "label string, dim int, number int, slab long, rep long, unit binary, mean array<double>, passes int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, _, number, _), t in grouped(batches, keys):
+            rep = t.column("rep").to_numpy()
+            x = np.frombuffer(b"".join(t.column("unit").to_pylist()), np.float64).reshape(len(rep), -1)
+            x32, root = x.astype(np.float32), np.arange(len(rep))
+            centred = x - np.asarray(t.column("mean")[0].as_py())
+            for k in range(t.column("passes")[0].as_py()) if number < 0 else [number]:
+                _pass(x, x32, hashes(centred, k), root, least)
+            moved = np.flatnonzero(root != np.arange(len(rep)))
+            yield pa.RecordBatch.from_arrays([pa.array(rep[moved]), pa.array(rep[root[moved]])], ["rep", "peer"])
+
+    tasks = plan.agg(F.sum(F.when(F.col("cut") > 0, F.col("passes") * F.pow(F.lit(2), F.col("cut"))).otherwise(1))).first()[0] or 1
+    dealt = arrow_map(passed, deal, schema).repartition(int(min(TASKS, tasks)), *keys).sortWithinPartitions(*keys)
+    return whole.unionByName(arrow_map(dealt, run, "rep long, peer long"))
+
+
+def near_duplicates(vectors: DataFrame, least: float = 0.98, recall: float = RECALL, exact: bool = False) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of ``vectors`` (vec_id, embedding, label).
 
     Vectors of one label link at a cosine of at least ``least`` in double precision. Vectors that are null, empty, zero, hold
     null or non-finite components, or whose label is null, link with nothing; vectors of different dimensions do not
     either. component_id is the least vec_id reachable by links, itself included; kept says whether it is the row's own.
-    Equal vectors are collapsed before and counted as links. Repeated rows count each for itself as vectors;
-    rows without an id come out with component null and kept null. An empty table gives an empty one.
+    Components are what sorted projection passes find, each pair at the threshold with a chance of ``recall``; ``exact`` compares
+    all pairs of a label instead. Links are counted over all pairs of a component. Equal vectors are collapsed before and
+    counted as links. Repeated rows count each for itself as vectors; rows without an id come out with component null and
+    kept null. An empty table gives an empty one.
     """
     usable = settle(prepared(vectors))
     reps = settle(usable.groupBy("label", "dim", "unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
-    found = settle(links(reps, least))
-    joined = components(found.select("rep", "peer")).select(F.col("node").alias("rep"), "component")
+    if exact:
+        found = settle(links(reps, least))
+        joined = components(found.select("rep", "peer")).select(F.col("node").alias("rep"), "component")
+    else:
+        joined = settle(components(settle(spans(reps, least, recall))).select(F.col("node").alias("rep"), "component"))
+        found = links(reps.join(joined, "rep").select(F.concat_ws(" ", "component", "label").alias("label"), "dim", "rep", "copies", "unit"), least)
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = (
         reps.join(joined, "rep", "left")

@@ -44,10 +44,12 @@ def clusters(seed=1):
     return [(i, v, int(rng.integers(0, 3))) for i, v in enumerate(rows)]
 
 
-@pytest.mark.parametrize("block", [1024, 8])
-def test_clusters_match_brute_force(spark, monkeypatch, block):
-    """Small blocks make one component meet in many tasks."""
+@pytest.mark.parametrize(("block", "window", "held"), [(1024, 128, 32_768), (8, 128, 32_768), (8, 4, 32_768), (1024, 4, 16)])
+def test_clusters_match_brute_force(spark, monkeypatch, block, window, held):
+    """Small blocks make one component meet in many tasks; small windows make passes out of small labels."""
     monkeypatch.setattr(embed_dedup, "BLOCK", block)
+    monkeypatch.setattr(embed_dedup, "WINDOW", window)
+    monkeypatch.setattr(embed_dedup, "HELD", held)
     rows = clusters()
     docs = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], SCHEMA).repartition(3)
     assert sorted(map(tuple, embed_dedup.near_duplicates(docs).collect())) == slow(rows)
@@ -63,20 +65,51 @@ def test_awkward_rows(spark):
     assert [r for r in embed_dedup.near_duplicates(docs.union(extra)).collect() if r.vec_id is None][0].kept is None
 
 
-def test_dense_label_keeps_every_link(spark):
-    """Vectors at a mutual cosine of about 0.95: hash bits agree everywhere, and only all pairs find the planted ones."""
-    rng = np.random.default_rng(4)
-    centre = rng.standard_normal(64)
-    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
-    x = unit(centre / np.linalg.norm(centre) + unit(rng.standard_normal((5000, 64))) * 0.229)
-    x[4900:] = unit(x[:100] + unit(rng.standard_normal((100, 64))) * 0.19)
+def planted(n, dim, radius, seed):
+    """Unit vectors within ``radius`` of one direction, and 100 partners at a cosine just over the threshold."""
+    rng = np.random.default_rng(seed)
+    unit = lambda m: m / np.linalg.norm(m, axis=-1, keepdims=True)
+    x = unit(unit(rng.standard_normal(dim)) + unit(rng.standard_normal((n, dim))) * radius)
+    x[-100:] = unit(x[:100] + unit(rng.standard_normal((100, dim))) * 0.195)
     x = x.astype(np.float32)
-    rows = [(i, v.tolist(), 1, 1, 2, "x") for i, v in enumerate(x)]
-    y = x.astype(np.float64)
-    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    y = unit(x.astype(np.float64))
     near = y @ y.T >= 0.98
     np.fill_diagonal(near, False)
+    return x, near
+
+
+@pytest.mark.parametrize(("radius", "held"), [(0.229, 32_768), (0.6, 32_768), (3.0, 32_768), (3.0, 1500)])
+def test_recall_on_dense_and_wide_labels(spark, monkeypatch, radius, held):
+    """A third of all rows in one label, dense (mutual cosine 0.95) to wide, ordered by one task or cut by signs."""
+    monkeypatch.setattr(embed_dedup, "HELD", held)
+    x, near = planted(6000, 64, radius, 4)
     assert near.sum() >= 200
-    got = {r.vec_id: r for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert [got[i].n_links for i in range(5000)] == near.sum(axis=1).tolist()
-    assert all(got[i].component_id == got[j].component_id for i, j in zip(*np.nonzero(near)))
+    rng = np.random.default_rng(1)
+    rows = [(i, v.tolist(), 1, 1, 2, "x") for i, v in enumerate(x)]
+    rows += [(10_000 + i, v.tolist(), 2 + i % 40, 1, 2, "x") for i, v in enumerate(rng.standard_normal((12_000, 64)).astype(np.float32))]
+    got = {r.vec_id: r for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(8)).collect()}
+    want = near.sum(axis=1)
+    assert sum(got[i].n_links for i in range(6000)) >= 0.99 * want.sum()
+    assert all(got[i].n_links <= want[i] for i in range(6000))
+
+
+def test_plan_follows_size_and_density(spark):
+    mean = lambda length: [length] + [0.0] * 3
+    rows = [("wide", 4, 100_000, mean(0.1)), ("dense", 4, 100_000, mean(0.9)), ("small", 4, 50, mean(0.1)), ("huge", 4, 10**9, mean(0.1))]
+    plan = {r.label: r for r in embed_dedup.planned(spark.createDataFrame(rows, "label string, dim int, n long, mean array<double>"), 0.98, 0.999).collect()}
+    assert 0 < plan["wide"].passes < plan["dense"].passes and plan["wide"].passes < plan["huge"].passes and plan["small"].passes == 0
+    assert plan["small"].cut == 0 < plan["wide"].cut < plan["huge"].cut
+
+
+def test_a_pass_compares_windows_and_runs():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((1, 8)) + 1e-3 * rng.standard_normal((400, 8))  # one run of equal hashes, longer than a window
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    root = np.arange(400)
+    embed_dedup._pass(x, x.astype(np.float32), embed_dedup.hashes(x, 0), root, 0.98)
+    assert set(root) == {0}
+
+
+def test_exact_way_equals_the_passes_on_clusters(spark):
+    docs = spark.createDataFrame([(*r, 1, 2, "x") for r in clusters(7)], SCHEMA)
+    assert sorted(map(tuple, embed_dedup.near_duplicates(docs, exact=True).collect())) == slow(clusters(7)) == sorted(map(tuple, embed_dedup.near_duplicates(docs).collect()))
