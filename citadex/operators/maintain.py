@@ -276,22 +276,26 @@ def content_hash_skip(
     return out.withColumn("skip", F.lit(False) if force else skip).drop("prior_sha256")
 
 
-def fresh_ids(registry: DataFrame, artifacts: DataFrame, families: Iterable[str]) -> DataFrame:
-    """(md_id, document_family) already indexed with no newer date announced since the fetch."""
+def _of_families(registry: DataFrame, families: Iterable[str] | None) -> DataFrame:
+    return registry if families is None else registry.filter(F.col("document_family").isin(*families))
+
+
+def fresh_ids(registry: DataFrame, artifacts: DataFrame, families: Iterable[str] | None = None) -> DataFrame:
+    """(md_id, document_family) already indexed with no newer date announced since the fetch; of all families if none are named."""
     indexed = artifacts.filter("is_indexed").groupBy("document_id").agg(F.max(F.to_date("fetched_at")).alias("fetched_on"))
     return (
-        registry.filter(F.col("document_family").isin(*families))
+        _of_families(registry, families)
         .join(indexed, "document_id")
         .filter(F.col("last_updated_at").isNull() | (F.col("fetched_on") >= F.col("last_updated_at")))
         .select("md_id", "document_family")
     )
 
 
-def stale_selection(registry: DataFrame, artifacts: DataFrame, families: Sequence[str]) -> DataFrame:
-    """Registry rows of the families that must be indexed (again)."""
-    return registry.filter(F.col("document_family").isin(*families)).join(
-        fresh_ids(registry, artifacts, families), list(KEY), "left_anti"
-    )
+def stale_selection(registry: DataFrame, artifacts: DataFrame, families: Sequence[str] | None = None) -> DataFrame:
+    """Registry rows that must be indexed (again): of the families, or of all, those without a family included."""
+    fresh = fresh_ids(registry, artifacts, families).toDF("_md_id", "_family")
+    same = F.col("md_id").eqNullSafe(F.col("_md_id")) & F.col("document_family").eqNullSafe(F.col("_family"))
+    return _of_families(registry, families).join(fresh, same, "left_anti")
 
 
 def existing_skip(listing: DataFrame, registry: DataFrame, family: str) -> DataFrame:

@@ -217,20 +217,16 @@ def content_hash_skip(spark, sf):
     )
 
 
-FAMILIES = tuple(f"src{i}" for i in range(20))
-IN_FAMILIES = "document_family IN (" + ", ".join(f"'{f}'" for f in FAMILIES) + ")"
-
-
 @query(
     "stale_selection",
     sql(
-        f"""SELECT document_id, md_id, document_family FROM registry r WHERE {IN_FAMILIES} AND NOT EXISTS (SELECT 1 FROM artifacts a
+        """SELECT document_id, md_id, document_family FROM registry r WHERE NOT EXISTS (SELECT 1 FROM artifacts a
   WHERE a.document_id = r.document_id AND a.is_indexed AND (a.last_updated_at IS NULL OR a.fetched_on >= a.last_updated_at))""",
         "registry", "artifacts",
     ),
 )
 def stale_selection(spark, sf):
-    return M.stale_selection(registry(spark, sf), artifacts(spark, sf), FAMILIES).select("document_id", "md_id", "document_family")
+    return M.stale_selection(registry(spark, sf), artifacts(spark, sf)).select("document_id", "md_id", "document_family")
 
 
 @query(

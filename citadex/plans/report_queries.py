@@ -25,8 +25,8 @@ from .retrieval_queries import LONG
 
 cte(
     "plain_flags",
-    """SELECT c.query_id, CASE WHEN contains(c.text, chr(10)) THEN 'hybrid' ELSE 'sparse_only' END AS retrieval,
-  CASE WHEN t.query_id IS NULL THEN true WHEN contains(c.text, chr(10)) THEN coalesce(t.fusion_score, 0) < 0.022 OR t.sparse_rank IS NULL OR t.dense_rank IS NULL
+    """SELECT c.query_id, CASE WHEN c.query_id IN (SELECT CAST(vec_id AS VARCHAR) FROM embeddings) THEN 'hybrid' ELSE 'sparse_only' END AS retrieval,
+  CASE WHEN t.query_id IS NULL THEN true WHEN c.query_id IN (SELECT CAST(vec_id AS VARCHAR) FROM embeddings) THEN coalesce(t.fusion_score, 0) < 0.022 OR t.sparse_rank IS NULL OR t.dense_rank IS NULL
     ELSE t.bm25_score IS NULL OR t.bm25_score > -5.0 END AS low_confidence
 FROM clauses c LEFT JOIN (SELECT * FROM fused WHERE rank = 1) t USING (query_id)""",
     "clauses", "fused",

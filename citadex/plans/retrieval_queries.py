@@ -12,7 +12,7 @@ from ..functions.vectors import hashed_encoder
 from ..operators import dense, documents, fusion, lexical, status, segments
 from ..session import shared_dir
 from .bindings import (
-    SAMPLE, TERM, aliases, chunks, clause_vectors, clauses, cte, hinted_clauses, query, registry, sql, table, vectors,
+    SAMPLE, TERM, aliases, chunks, clause_vectors, clauses, cte, hinted_clauses, lined_clause_vectors, query, registry, sql, table, vectors,
     withdrawn_view,
 )
 from .porter_sql import stems_sql
@@ -268,9 +268,10 @@ def rrf_fuse(spark, sf):
     return _fused(fusion.rrf_fuse(sparse, near).filter(F.col("fusion_score").isNotNull()))
 
 
-@query("single_side_fallback", sql(f"SELECT {FUSED} FROM fused WHERE fusion_score IS NULL", "fused"))
+@query("single_side_fallback", sql(f"SELECT {FUSED} FROM fused_lined WHERE fusion_score IS NULL", "fused_lined"))
 def single_side(spark, sf):
-    return _fused(_hybrid(spark, sf, 60).filter(F.col("fusion_score").isNull()))
+    found = fusion.hybrid_search(clauses(spark, sf), chunks(spark, sf), vectors(spark, sf), lined_clause_vectors(spark, sf), 60)
+    return _fused(found.filter(F.col("fusion_score").isNull()))
 
 
 @query("hybrid_search", sql(f"SELECT {FUSED} FROM fused WHERE rank <= 5", "fused"))
@@ -309,7 +310,7 @@ def check_compliance(spark, sf):
 @query(
     "search",
     sql(
-        """SELECT c.query_id, c.text AS query, CASE WHEN contains(c.text, chr(10)) THEN 'hybrid' ELSE 'sparse_only' END AS retrieval,
+        """SELECT c.query_id, c.text AS query, CASE WHEN c.query_id IN (SELECT CAST(vec_id AS VARCHAR) FROM embeddings) THEN 'hybrid' ELSE 'sparse_only' END AS retrieval,
   CASE WHEN contains(c.text, chr(10)) THEN 'regulated_entity, as_of_date' ELSE 'as_of_date' END AS filter_warning,
   f.rank, f.chunk_id, round(f.fusion_score, 6) AS fusion_score, k.document_id, k.title AS document_title, k.status
 FROM clauses c LEFT JOIN (SELECT * FROM fused WHERE rank <= 5) f USING (query_id) LEFT JOIN chunks k ON k.chunk_id = f.chunk_id""",
