@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..schema import FAMILIES, STATUSES
 from ..session import settle
+from ..sizes import BROADCAST_ROWS, broadcast_if, fits
 from .evaluate import latency_stats
 
 RATE_LIMIT = 60
@@ -159,13 +160,7 @@ def rate_limit_audit(
     width = int(window_seconds * 1_000_000)
     rows = rows.withColumn("bucket", F.lit("main") if bucket is None else bucket).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
     # A struct, as nulls in it are equal.
-    rows = rows.where("us IS NOT NULL").select("request_id", F.struct("client", "bucket").alias("who"), "us", F.floor(F.col("us") / F.lit(width)).alias("cell"))
-    starts = _window_starts(rows, width)
-    own = starts.withColumnRenamed("start", "own")
-    earlier = starts.select("who", (F.col("cell") + 1).alias("cell"), F.col("start").alias("earlier"))
-    placed = rows.join(own, ["who", "cell"], "left").join(earlier, ["who", "cell"], "left")
-    placed = placed.select("request_id", "who", "us", F.when(F.col("own") <= F.col("us"), F.col("own")).otherwise(F.col("earlier")).alias("start"))
-    numbered = _numbered(placed.withColumn("part", F.floor((F.col("us") - F.col("start")) * PARTS / F.lit(width))))
+    numbered = window_numbers(rows.where("us IS NOT NULL").select("request_id", F.struct("client", "bucket").alias("who"), "us"), width)
     cap = F.lit(limit)
     for name, value in (bucket_limits or {}).items():
         cap = F.when(F.col("who.bucket") == name, value).otherwise(cap)
@@ -178,6 +173,29 @@ def rate_limit_audit(
     )
 
 
+def window_numbers(rows: DataFrame, width: int, held: DataFrame | None = None) -> DataFrame:
+    """request_id, who, us, start, n: the window of each of ``rows`` (request_id, who, us) and its number in it.
+
+    ``held`` (who, held_start, held_n; one row a client at most) is the window that is open from before, with the requests it
+    has; what arrives from before its start counts into it.
+    """
+    seeds = None
+    if held is not None:
+        held = settle(held)
+        rows = rows.join(broadcast_if(fits(held, BROADCAST_ROWS), held), "who", "left").withColumn("us", F.greatest("us", "held_start"))
+        seeds = held.select("who", F.col("held_start").alias("us"))
+    rows = rows.withColumn("cell", F.floor(F.col("us") / F.lit(width)))
+    starts = _window_starts(rows, width, seeds)
+    own = starts.withColumnRenamed("start", "own")
+    earlier = starts.select("who", (F.col("cell") + 1).alias("cell"), F.col("start").alias("earlier"))
+    placed = rows.join(own, ["who", "cell"], "left").join(earlier, ["who", "cell"], "left")
+    placed = placed.withColumn("start", F.when(F.col("own") <= F.col("us"), F.col("own")).otherwise(F.col("earlier")))
+    numbered = _numbered(placed.withColumn("part", F.floor((F.col("us") - F.col("start")) * PARTS / F.lit(width))))
+    if held is not None:
+        numbered = numbered.withColumn("n", F.col("n") + F.when(F.col("start") == F.col("held_start"), F.col("held_n")).otherwise(0))
+    return numbered.select("request_id", "who", "us", "start", "n")
+
+
 def _numbered(placed: DataFrame) -> DataFrame:
     """``placed`` (request_id, who, us, start, part) with n, the number of the request in its window."""
     counts = placed.groupBy("who", "start", "part").agg(F.count(F.lit(1)).alias("size"))
@@ -187,9 +205,12 @@ def _numbered(placed: DataFrame) -> DataFrame:
     return placed.join(counts, ["who", "start", "part"]).withColumn("n", F.row_number().over(within) + F.col("before"))
 
 
-def _window_starts(rows: DataFrame, width: int) -> DataFrame:
-    """who, cell, start of every window; ``rows``: who, us, cell."""
-    moments = settle(rows.select("who", "us", "cell").distinct())
+def _window_starts(rows: DataFrame, width: int, seeds: DataFrame | None = None) -> DataFrame:
+    """who, cell, start of every window; ``rows``: who, us, cell; ``seeds`` (who, us): starts before all of a client's rows."""
+    moments = rows.select("who", "us", "cell")
+    if seeds is not None:
+        moments = moments.unionByName(seeds.withColumn("cell", F.floor(F.col("us") / F.lit(width))))
+    moments = settle(moments.distinct())
     in_order = Window.partitionBy("who").orderBy("cell")
     cells = moments.groupBy("who", "cell").agg(F.min("us").alias("first"), F.max("us").alias("last"))
     following = F.lead("first").over(in_order)

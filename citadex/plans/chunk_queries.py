@@ -2,27 +2,45 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import chunking as C
 from ..operators.records import payload_check
-from ..sources.tables import page_source, text_pages
-from .bindings import outlined, query, registry, split_cte, sql, table
-
-DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+from ..schema import TABLES
+from ..session import shared_dir
+from ..sources.tables import load_corpus, page_source, text_pages, write_table
+from .bindings import chunks as whole_chunks
+from .bindings import outlined, query, registry, split_cte, sql, table, vectors
 
 
 @query(
     "load_corpus",
-    """SELECT d.doc_id, d.source, d.lang, d.n_chars, sha256(d.text) AS text_sha256, count(p.page_id) AS pages
-FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id GROUP BY ALL""",
+    sql(
+        """SELECT r.document_id, r.md_id, r.status, sha256(r.text) AS text_sha256, len(r.text) AS chars, CAST(CASE WHEN e.vec_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS vectors
+FROM registry r LEFT JOIN embeddings e ON e.vec_id = r.doc_id WHERE r.text IS NOT NULL""",
+        "registry",
+    ),
 )
-def load_corpus(spark, sf):
-    docs = spark.read.schema(DOCUMENTS).parquet(f"{sf}/documents.parquet")
-    pages = table(spark, sf, "pages").groupBy("page_id").agg(F.count(F.lit(1)).alias("pages"))
-    return docs.join(pages, F.col("doc_id") == F.col("page_id"), "left").select(
-        "doc_id", "source", "lang", "n_chars", F.sha2("text", 256).alias("text_sha256"), F.coalesce("pages", F.lit(0)).alias("pages")
-    )
+def corpus(spark, sf):
+    """A corpus is stored as tables of the fixed schemas and loaded again, the tables that have no rows included."""
+    seen = F.lit("2025-01-01 00:00:00").cast("timestamp")
+    made = {
+        "documents": registry(spark, sf),
+        "chunks": whole_chunks(spark, sf).where("text IS NOT NULL").select(
+            "*", F.sha2("text", 256).alias("text_sha256"), F.lit(0).alias("char_start"), F.length("text").alias("char_end"), seen.alias("indexed_at")
+        ),
+        "vectors": vectors(spark, sf),
+    }
+    folder = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    for name, schema in TABLES.items():
+        rows = made[name] if name in made else spark.createDataFrame([], schema)
+        write_table(rows.select(*(F.col(f.name).cast(f.dataType) for f in schema)), f"{folder}/{name}")
+    tables = load_corpus(spark, folder)
+    have = tables["vectors"].groupBy("chunk_id").agg(F.count(F.lit(1)).alias("vectors"))
+    found = tables["chunks"].join(tables["documents"].select("document_id", "status"), "document_id").join(have, "chunk_id", "left")
+    return found.select("document_id", "md_id", "status", "text_sha256", F.col("char_end").cast("bigint").alias("chars"), F.coalesce("vectors", F.lit(0)).alias("vectors"))
 
 
 @query("page_source", "SELECT page_id, url, sha256(html) AS raw_html_sha256, strlen(html) AS html_bytes FROM pages")

@@ -11,7 +11,7 @@ from ..operators import evaluate as E
 from ..operators import quality as Q
 from ..operators import fusion, lexical, segments
 from ..schema import DOCUMENTS
-from ..session import STATE_STORE, settle, shared_dir
+from ..session import settle, shared_dir
 from ..sources.dumps import load_dump, write_dump
 from ..sources.snapshots import publish_snapshot, read_snapshot
 from ..sources.tables import write_table
@@ -416,22 +416,6 @@ def _stream(spark, sf, name):
     return S.file_stream(spark, sf, table(spark, sf, name).schema, pattern=f"{name}.parquet")
 
 
-class _state_store:
-    """Keyed state wants the RocksDB provider; put the session's own back afterwards."""
-
-    KEY = "spark.sql.streaming.stateStore.providerClass"
-
-    def __init__(self, spark):
-        self.spark = spark
-
-    def __enter__(self):
-        self.before = self.spark.conf.get(self.KEY)
-        self.spark.conf.set(self.KEY, STATE_STORE)
-
-    def __exit__(self, *exc):
-        self.spark.conf.set(self.KEY, self.before)
-
-
 def _collect_stream(spark, stream, name, mode="append"):
     """Write a stream to parquet and read it back."""
     out = _folder(spark, name)
@@ -474,8 +458,9 @@ def stream_ingest(spark, sf):
 )
 def stream_changed_only(spark, sf):
     rows = _stream(spark, sf, "conversations").select(F.concat(F.lit("c"), "conv_id", "role").alias("document_id"), F.col("turn").alias("seq"), "text")
-    with _state_store(spark):
-        return _collect_stream(spark, S.stream_changed_only(rows), "changed")
+    out = _folder(spark, "changed")
+    S.stream_changed_only(rows, out, f"{out}/checkpoint")
+    return S.batch_folders(spark, f"{out}/rows", S.CHANGED)
 
 
 @query("stream_dedupe", "SELECT DISTINCT user_id, event_type FROM events")
@@ -523,6 +508,6 @@ def stream_rate_limit(spark, sf):
     rows = _stream(spark, sf, "events").select(
         F.col("event_id").alias("request_id"), F.col("user_id").alias("client"), F.col("ts").cast("timestamp").alias("ts")
     )
-    with _state_store(spark):
-        out = _collect_stream(spark, S.stream_rate_limit(rows, LIMIT, WINDOW_SECONDS), "limit")
-    return out.select("request_id", "client", "request_no", "limited")
+    out = _folder(spark, "limit")
+    S.stream_rate_limit(rows, out, f"{out}/checkpoint", LIMIT, WINDOW_SECONDS)
+    return S.batch_folders(spark, f"{out}/rows", S.LIMITED).select("request_id", "client", "request_no", "limited")

@@ -1,29 +1,22 @@
 """Structured Streaming forms of the batch operators.
 
 Sinks write one folder per micro-batch, named by its id, so a replayed batch replaces its own output and nothing
-else. Keyed state needs the RocksDB state store provider (see :data:`citadex.session.STATE_STORE`).
+else. Keyed state lies in tables (:mod:`citadex.streaming.keyed`), so a key of any size is worked on in joins.
 """
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.chunking import outline_chunks
 from ..operators.lexical import TextIndex, bm25_topk
-from ..operators.quality import RATE_LIMIT, RATE_WINDOW_SECONDS
-
-
-# The driver-side worker of keyed state does not see files shipped to the executors, so processors travel by value.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from ..operators.quality import RATE_LIMIT, RATE_WINDOW_SECONDS, window_numbers
+from ..session import settle
+from ..sizes import BROADCAST_ROWS, broadcast_if, fits
+from .keyed import KeyedTable
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType | str, files_per_batch: int | None = None, pattern: str | None = None) -> DataFrame:
@@ -66,7 +59,8 @@ def stream_ingest(bodies: DataFrame, root: str, checkpoint: str, min_chars: int
 
     def ingest(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = latest_hashes(batch_folders(spark, f"{root}/hashes", HASHES).filter(F.col("batch_id") < batch_id))
+        state = KeyedTable(spark, f"{root}/state", "document_id string, known_sha256 string")
+        known = state.before(batch_id, batch.select("document_id"))
         # The same document twice in one batch: any copy of the largest hash, so that a replay decides alike.
         one = batch.groupBy("document_id").agg(F.max_by(F.struct("md_id", "ref_no", "text"), F.sha2("text", 256)).alias("r"))
         fresh = (
@@ -84,14 +78,12 @@ def stream_ingest(bodies: DataFrame, root: str, checkpoint: str, min_chars: int
         failed = seen.join(done, "document_id", "left_anti").withColumn("error", F.lit("no_chunks"))
         failed.write.mode("overwrite").parquet(f"{root}/failed/batch-{batch_id}")
         seen.join(done, "document_id", "left_semi").write.mode("overwrite").parquet(f"{root}/hashes/batch-{batch_id}")
+        stored = spark.read.schema(HASHES).parquet(f"{root}/hashes/batch-{batch_id}")
+        state.write(batch_id, stored.select("document_id", F.col("text_sha256").alias("known_sha256")))
 
     run_available(bodies.writeStream.foreachBatch(ingest), checkpoint)
 
 
-def latest_hashes(hashes: DataFrame) -> DataFrame:
-    return hashes.groupBy("document_id").agg(F.max_by("text_sha256", "batch_id").alias("known_sha256"))
-
-
 def ingested_chunks(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
     """Chunks of the newest version of every document."""
     full = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
@@ -101,49 +93,48 @@ def ingested_chunks(spark: SparkSession, root: str, schema: T.StructType) -> Dat
 
 # --- changed only ---------------------------------------------------------------------------------------------
 
+#: Versions of a document that are put in order together; a document with more in one micro-batch is ordered in pieces.
+PIECE = 10_000
+CHANGED = "document_id string, seq bigint, text_sha256 string"
 
-class _LastHash(StatefulProcessor):
-    """Remembers the last content hash of a document and passes on rows that change it."""
-
-    def __init__(self, ttl_ms: int | None):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        kind = T.StructType([T.StructField("sha", T.StringType())])
-        self.last = handle.getValueState("last", kind, ttlDurationMs=self.ttl_ms) if self.ttl_ms else handle.getValueState("last", kind)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.last.get()[0] if self.last.exists() else None
-        arrived = pd.concat(list(rows)).sort_values(["seq", "text_sha256"])
-        changed = arrived["text_sha256"].ne(arrived["text_sha256"].shift().fillna(held or ""))
-        self.last.update((arrived["text_sha256"].iloc[-1],))
-        yield arrived.loc[changed, ["document_id", "seq", "text_sha256"]]
-
-    def close(self) -> None:
-        pass
-
-
-CHANGED = T.StructType(
-    [
-        T.StructField("document_id", T.StringType()),
-        T.StructField("seq", T.LongType()),
-        T.StructField("text_sha256", T.StringType()),
-    ]
-)
-
-
-def stream_changed_only(bodies: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """Rows (document_id, seq, text) whose content hash differs from the document's previous one.
 
-    Only the hash enters the state; ``seq`` orders versions inside a micro-batch.
+def _with_former(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """``rows`` (document_id, seq, text_sha256) with former, the hash before each in order of seq and hash; ``held`` knows the one
+    before the first. A document's rows are cut at equal steps of seq, so that no task orders all of a hot one.
+    """
+    spans = rows.groupBy("document_id").agg(F.min("seq").alias("low"), F.max("seq").alias("high"), F.ceil(F.count(F.lit(1)) / PIECE).alias("pieces"))
+    same = lambda side: F.col("r.document_id").eqNullSafe(F.col(f"{side}.document_id"))
+    piece = F.coalesce(F.floor((F.col("seq") - F.col("low")) * F.col("pieces") / (F.col("high") - F.col("low") + 1)), F.lit(-1)).alias("piece")
+    spans = broadcast_if(fits(spans, BROADCAST_ROWS), spans)
+    cut = rows.alias("r").join(spans.alias("p"), same("p")).select("r.*", piece)
+    order, sha = F.struct("seq", "text_sha256"), F.struct("text_sha256")  # a struct is there even if the hash is null
+    lasts = cut.groupBy("document_id", "piece").agg(F.max_by(sha, order).alias("last"))
+    lasts = lasts.withColumn("earlier", F.lag("last").over(Window.partitionBy("document_id").orderBy("piece"))).drop("last")
+    inside = cut.withColumn("before", F.lag(sha).over(Window.partitionBy("document_id", "piece").orderBy("seq", "text_sha256")))
+    met = inside.alias("r").join(lasts.alias("l"), same("l") & (F.col("r.piece") == F.col("l.piece"))).select("r.*", "l.earlier")
+    met = met.alias("r").join(held.alias("h"), same("h"), "left")
+    former = F.coalesce("r.before", "r.earlier", F.struct(F.col("h.known_sha256").alias("text_sha256")))
+    return met.select("r.document_id", "r.seq", "r.text_sha256", former["text_sha256"].alias("former"))
+
+
+def stream_changed_only(bodies: DataFrame, root: str, checkpoint: str, expire_batches: int | None = None) -> None:
+    """Rows (document_id, seq, text_sha256) whose content hash differs from the document's previous one, a folder per batch.
+
+    ``seq`` orders versions inside a micro-batch. Of a document only its last hash is kept, in a keyed table, and none of
+    its rows; with ``expire_batches`` the hash of a document that has not come for so many batches may be forgotten.
     """
     slim = bodies.select("document_id", F.col("seq").cast("bigint").alias("seq"), F.sha2("text", 256).alias("text_sha256"))
-    return slim.groupBy("document_id").transformWithStateInPandas(
-        statefulProcessor=_LastHash(ttl_ms),
-        outputStructType=CHANGED,
-        outputMode="Append",
-        timeMode="ProcessingTime" if ttl_ms else "None",
-    )
+
+    def pass_on(batch: DataFrame, batch_id: int) -> None:
+        state = KeyedTable(batch.sparkSession, f"{root}/state", "document_id string, known_sha256 string, seen bigint")
+        rows = settle(batch)
+        held = state.before(batch_id, rows.select("document_id"))
+        changed = _with_former(rows, held).where("text_sha256 IS DISTINCT FROM former").select("document_id", "seq", "text_sha256")
+        changed.write.mode("overwrite").parquet(f"{root}/rows/batch-{batch_id}")
+        last = rows.groupBy("document_id").agg(F.max_by("text_sha256", F.struct("seq", "text_sha256")).alias("known_sha256"), F.lit(batch_id).cast("bigint").alias("seen"))
+        state.write(batch_id, last, None if expire_batches is None else F.col("seen") > batch_id - expire_batches)
+
+    run_available(slim.writeStream.foreachBatch(pass_on), checkpoint)
 
 
 # --- dedupe, search, telemetry --------------------------------------------------------------------------------
@@ -185,76 +176,38 @@ def stream_telemetry(calls: DataFrame, every: str = "1 hour", late: str = "1 hou
 # --- rate limit -----------------------------------------------------------------------------------------------
 
 
-class _Window(StatefulProcessor):
-    """A client's fixed window (start, count), forgotten when it has run out."""
-
-    def __init__(self, limit: int, width_us: int, expire: bool):
-        self.limit, self.width, self.expire = limit, width_us, expire
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        kind = T.StructType([T.StructField("start", T.LongType()), T.StructField("n", T.LongType())])
-        self.state = handle.getValueState("window", kind)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        start, n = self.state.get() if self.state.exists() else (None, 0)
-        arrived = pd.concat(list(rows)).sort_values(["us", "request_id"])
-        numbers, starts = [], []
-        for at in arrived["us"]:
-            if start is None or at - start >= self.width:
-                start, n = int(at), 0
-            n += 1
-            numbers.append(n)
-            starts.append(start)
-        self.state.update((start, n))
-        if self.expire:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer((start + self.width) // 1000 + 1)
-        yield pd.DataFrame(
-            {
-                "request_id": arrived["request_id"].to_numpy(),
-                "client": key[0],
-                "start_us": starts,
-                "request_no": numbers,
-                "limited": [x > self.limit for x in numbers],
-            }
-        )
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
-        yield pd.DataFrame()
-
-    def close(self) -> None:
-        pass
-
-
 LIMITED = "request_id bigint, client bigint, start_us bigint, request_no bigint, limited boolean"
 
 
 def stream_rate_limit(
     requests: DataFrame,
+    root: str,
+    checkpoint: str,
     limit: int = RATE_LIMIT,
     window_seconds: float = RATE_WINDOW_SECONDS,
-    expire: bool = False,
-    late: str = "0 seconds",
+    late_seconds: float | None = None,
     client_type: str = "bigint",
-) -> DataFrame:
-    """Requests (request_id, client, ts) with their window, number and verdict, state per client.
+) -> None:
+    """Requests (request_id, client, ts) with their window, number and verdict, a folder per batch under ``root``/rows.
 
-    With ``expire`` an event-time timer drops the state once the watermark has passed the window's end.
+    A micro-batch is audited as a batch is, in joins, from the windows that were open before it: of a client only the start
+    and count of its last window is kept, in a keyed table, and none of its requests. A request from before the open window counts
+    into it. With ``late_seconds`` windows that ended so long before the latest request may be forgotten.
     """
-    rows = requests.withWatermark("ts", late) if expire else requests
-    columns: list[Column | str] = ["client", "request_id", F.unix_micros(F.col("ts")).alias("us")]
-    if expire:
-        columns.append("ts")
-    return (
-        rows.select(*columns)
-        .groupBy("client")
-        .transformWithStateInPandas(
-            statefulProcessor=_Window(limit, int(window_seconds * 1_000_000), expire),
-            outputStructType=T._parse_datatype_string(LIMITED.replace("client bigint", f"client {client_type}")),
-            outputMode="Append",
-            timeMode="EventTime" if expire else "None",
-        )
-    )
+    width = int(window_seconds * 1_000_000)
+
+    def audit(batch: DataFrame, batch_id: int) -> None:
+        state = KeyedTable(batch.sparkSession, f"{root}/state", f"client {client_type}, held_start bigint, held_n bigint")
+        rows = settle(batch.select("request_id", "client", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).where("us IS NOT NULL"))
+        who = F.struct("client", F.lit("main").alias("bucket")).alias("who")
+        held = state.before(batch_id, rows.select("client")).select(who, "held_start", "held_n")
+        found = settle(window_numbers(rows.select("request_id", who, "us"), width, held))
+        out = found.select("request_id", "who.client", F.col("start").alias("start_us"), F.col("n").alias("request_no"), (F.col("n") > limit).alias("limited"))
+        out.write.mode("overwrite").parquet(f"{root}/rows/batch-{batch_id}")
+        last = found.groupBy("who.client").agg(F.max(F.struct(F.col("start").alias("held_start"), F.col("n").cast("bigint").alias("held_n"))).alias("s")).select("client", "s.*")
+        keep = None
+        if late_seconds is not None and (latest := rows.agg(F.max("us")).first()[0]) is not None:
+            keep = F.col("held_start") + width > latest - int(late_seconds * 1_000_000)
+        state.write(batch_id, last, keep)
+
+    run_available(requests.writeStream.foreachBatch(audit), checkpoint)

@@ -66,10 +66,50 @@ def test_changed_only(spark, tmp_path, files):
     schema = "document_id string, seq int, text string"
     one = spark.createDataFrame([("a", 1, "x"), ("a", 2, "x"), ("b", 1, "x")], schema)
     two = spark.createDataFrame([("a", 3, "x"), ("b", 2, "y"), ("b", 3, "x"), ("c", 1, "z")], schema)
-    got = collected(spark, S.stream_changed_only(files(one, two)), tmp_path)
+    out = str(tmp_path / "out")
+    S.stream_changed_only(files(one, two), out, str(tmp_path / "cp"))
+    got = S.batch_folders(spark, f"{out}/rows", S.CHANGED)
     assert sorted((r.document_id, r.seq) for r in got.collect()) == [("a", 1), ("b", 1), ("b", 2), ("b", 3), ("c", 1)]
 
 
+def test_changed_only_of_a_hot_document_in_pieces(spark, tmp_path, files, monkeypatch):
+    """One document with most rows, ordered in pieces over three batches; equal to reading all of it in order."""
+    monkeypatch.setattr(S, "PIECE", 50)
+    frames, want, last, seq = [], [], {}, 0
+    for b in range(3):
+        rows = [("hot", seq + i, f"text {(seq + i) * 7 // 30}") for i in range(400)] + [(f"d{i}", b, f"text {b * i % 3}") for i in range(30)] + [(None, b, "same")]
+        seq += 400
+        for d, n, t in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+            if last.get(d) != t:
+                want.append((d, n))
+            last[d] = t
+        frames.append(spark.createDataFrame(rows, "document_id string, seq int, text string"))
+    out = str(tmp_path / "out")
+    S.stream_changed_only(files(*frames), out, str(tmp_path / "cp"))
+    got = [(r.document_id, r.seq) for r in S.batch_folders(spark, f"{out}/rows", S.CHANGED).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_keyed_table_reads_a_base_and_what_came_after(spark, tmp_path):
+    from citadex.streaming.keyed import KeyedTable
+
+    table = KeyedTable(spark, str(tmp_path / "s"), "k string, v bigint", buckets=4, every=3)
+    known = {}
+    for n in range(8):
+        assert {r.k: r.v for r in table.before(n).collect()} == known
+        new = {f"k{n}": n, "same": n}
+        rows = spark.createDataFrame(list(new.items()), "k string, v bigint")
+        for _ in range(2):  # a batch that runs again finds and leaves the same
+            table.write(n, rows)
+        known |= new
+        asked = spark.createDataFrame([("same",), ("k0",), ("none",)], "k string")
+        assert {r.k: r.v for r in table.before(n + 1, asked).collect()} == {k: v for k, v in known.items() if k in ("same", "k0")}
+    names = {p.name for p in (tmp_path / "s").iterdir()}
+    assert names == {"base-2", "base-5", "batch-3", "batch-4", "batch-5", "batch-6", "batch-7"}
+    table.write(8, rows, F.col("v") > 5)
+    assert {r.v for r in table.before(9).collect()} == {6, 7}
+
+
 def test_dedupe(spark, tmp_path, files):
     at = lambda m: dt.datetime(2025, 1, 1, 0, m)
     one = spark.createDataFrame([("k", at(0)), ("k", at(1)), ("l", at(2))], "key string, ts timestamp")
@@ -100,13 +140,15 @@ def test_telemetry_drops_late_rows(spark, tmp_path, files):
     assert (first.calls, first.errors, first.latency_sum) == (2, 1, 3.0)
 
 
-@pytest.mark.parametrize("expire", [False, True])
-def test_rate_limit_equals_batch(spark, tmp_path, files, expire):
+@pytest.mark.parametrize("late", [None, 3600.0])
+def test_rate_limit_equals_batch(spark, tmp_path, files, late):
     rows = [(i, i % 2, dt.datetime(2025, 1, 1) + dt.timedelta(seconds=(i * i * 7) % 50 + 20 * i)) for i in range(60)]
     rows.sort(key=lambda r: r[2])
     rows = [(i, c, at) for i, (_, c, at) in enumerate(rows)]
     df = spark.createDataFrame(rows, "request_id bigint, client bigint, ts timestamp")
-    stream = S.stream_rate_limit(files(df.filter("request_id < 20"), df.filter("request_id >= 20")), 3, 60.0, expire=expire, late="1 hour")
-    got = {r.request_id: (r.request_no, r.limited) for r in collected(spark, stream, tmp_path).collect()}
+    out = str(tmp_path / "out")
+    parts = [df.filter(f"request_id BETWEEN {a} AND {a + 19}") for a in (0, 20, 40)]
+    S.stream_rate_limit(files(*parts), out, str(tmp_path / "cp"), 3, 60.0, late)
+    got = {r.request_id: (r.request_no, r.limited) for r in S.batch_folders(spark, f"{out}/rows", S.LIMITED).collect()}
     want = {r.request_id: (r.request_no, r.limited) for r in Q.rate_limit_audit(df, 3, 60.0).collect()}
     assert got == want
