@@ -108,6 +108,28 @@ def test_folding_follows_the_unicode_tables(spark):
     assert df.select(fold_diacritics(F.col("v"))).first()[0] == "a α и e e n ß"
 
 
+def test_search_in_the_row_equals_the_join(spark, monkeypatch):
+    """Floored words, ties, filters and several batches a task: the k best are those of scoring every pair."""
+    import random
+
+    rng = random.Random(7)
+    words = ["the", "of", "and"] + [f"w{i}" for i in range(25)]
+    text = lambda: " ".join([w for w in words[:3] if rng.random() < 0.8] * rng.randrange(1, 4) + rng.choices(words[3:], k=rng.randrange(0, 5)))
+    rows = [(f"c{i:03}", text() if i % 50 else None, f"m{i % 7}" if i % 11 else None, rng.choice(["current", "withdrawn", None])) for i in range(400)]
+    corpus = spark.createDataFrame(rows, "chunk_id string, text string, md_id string, status string").repartition(3)
+    asked = [(i, " ".join(rng.choices(words, k=rng.randrange(1, 6))), rng.choice([None, None, "m1", "m2", "none"]), rng.choice([None, True, False])) for i in range(60)]
+    asked += [(100, "the of", None, None), (101, "the", "m3", True), (102, "", None, None), (103, "unseen", None, None), (104, "the w1", None, False)]
+    q = spark.createDataFrame(asked, "query_id long, text string, filter_md_id string, include_withdrawn boolean")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        for k in (1, 5, 50):
+            got = sorted(map(tuple, lexical.bm25_topk(q, corpus, k).collect()))
+            assert got == sorted(map(tuple, lexical.bm25_topk(q, corpus, k, small=False).collect()))
+            assert got == sorted(map(tuple, lexical.bm25_topk(q, corpus, k, index=lexical.build_index(corpus)).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def same_index(got, want):
     assert sorted(got.stats.collect()) == sorted(want.stats.collect())
     rows = lambda i: sorted(map(str, i.postings.select("chunk_id", "dl", "term", "tf").collect()))
