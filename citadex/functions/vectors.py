@@ -54,14 +54,18 @@ def hashed_encoder(dim: int) -> Encoder:
     return encode
 
 
-def best_k(distances: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k smallest (distance, id) pairs."""
-    if distances.size > 4 * k:
-        bar = np.partition(distances, k - 1)[k - 1]
-        pool = np.flatnonzero(distances <= bar)
+def best_k(distances: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k smallest (distance, id) pairs of every row, row by row in that order; all rows at once."""
+    if distances.shape[1] > 4 * k:
+        near = distances <= np.partition(distances, k - 1, axis=1)[:, k - 1 : k]
     else:
-        pool = np.arange(distances.size)
-    return pool[np.lexsort((ids[pool], distances[pool]))[:k]]
+        near = np.ones(distances.shape, bool)
+    row, column = np.nonzero(near)
+    order = np.lexsort((ids[column], distances[row, column], row))
+    row, column = row[order], column[order]
+    first = np.searchsorted(row, row)  # where each row begins
+    keep = np.arange(len(row)) - first < k
+    return row[keep], column[keep]
 
 
 def l2(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:

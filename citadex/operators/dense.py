@@ -19,8 +19,8 @@ from .lexical import top_k
 
 #: Query rows that may be held by the driver and each worker (about 3 MB per thousand at 768 dimensions).
 QUERY_ROWS = 4096
-#: Rows packed into one block of the shuffled form.
-BLOCK_ROWS = 1024
+#: Partitions of the shuffled form at most.
+MOST_TASKS = 20_000
 OVERFETCH = 8
 
 
@@ -39,31 +39,33 @@ class _Best:
         self.groups: dict[tuple[object, bool], list[int]] = {}
         for position, wish in enumerate(wishes):
             self.groups.setdefault(wish, []).append(position)
-        self.found: list[tuple[np.ndarray, np.ndarray | None]] = [(np.empty(0), None)] * len(query_ids)
+        #: The best so far, flat: query, distance, id.
+        self.query, self.distance, self.ids = np.empty(0, np.int64), np.empty(0), None
 
     def add(self, ids: np.ndarray, rows: np.ndarray, labels: np.ndarray, current: np.ndarray) -> None:
+        query, distance, found = [self.query], [self.distance], [] if self.ids is None else [self.ids]
         for (wanted, any_status), positions in self.groups.items():
             usable = np.ones(len(ids), dtype=bool) if any_status else current.copy()
             if wanted is not None:
                 usable &= labels == wanted
             inside = np.flatnonzero(usable)
-            if not len(inside):
-                continue
-            for line, q in zip(l2(self.queries[positions], rows[inside]), positions):
-                old_d, old_ids = self.found[q]
-                pool_d = np.concatenate([old_d, line])
-                pool_ids = ids[inside] if old_ids is None else np.concatenate([old_ids, ids[inside]])
-                keep = best_k(pool_d, pool_ids, self.k)
-                self.found[q] = (pool_d[keep], pool_ids[keep])
+            if len(inside):
+                near = l2(self.queries[positions], rows[inside])
+                at, column = best_k(near, ids[inside], self.k)
+                query.append(np.asarray(positions)[at])
+                distance.append(near[at, column])
+                found.append(ids[inside[column]])
+        if not found:
+            return
+        query, distance, found = map(np.concatenate, (query, distance, found))
+        order = np.lexsort((found, distance, query))
+        kept = order[np.arange(len(order)) - np.searchsorted(query[order], query[order]) < self.k]
+        self.query, self.distance, self.ids = query[kept], distance[kept], found[kept]
 
     def table(self, schema: pa.Schema) -> pa.RecordBatch:
-        counts = [len(d) for d, _ in self.found]
-        hit = [f for f in self.found if len(f[0])]
-        queries = np.repeat(self.query_ids, counts)
-        ids = np.concatenate([i for _, i in hit]) if hit else np.empty(0)
-        distances = np.concatenate([d for d, _ in hit]) if hit else np.empty(0)
-        columns = [pa.array(queries.tolist(), schema.types[0]), pa.array(ids.tolist(), schema.types[1])]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(distances, pa.float64())], schema=schema)
+        ids = [] if self.ids is None else self.ids.tolist()
+        columns = [pa.array(self.query_ids[self.query].tolist(), schema.types[0]), pa.array(ids, schema.types[1])]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(self.distance, pa.float64())], schema=schema)
 
 
 def _arrow_type(df: DataFrame, col: str) -> pa.DataType:
@@ -96,7 +98,7 @@ def knn_topk(
 
     def nearest(candidates: DataFrame, asked: DataFrame) -> DataFrame:
         held = asked.limit(query_rows + 1).toArrow()
-        return _knn_broadcast(candidates, asked, held, k) if held.num_rows <= query_rows else _knn_blocks(candidates, asked, k)
+        return _knn_broadcast(candidates, asked, held, k) if held.num_rows <= query_rows else _knn_blocks(candidates, asked, k, max(64, query_rows))
 
     if "filter_md_id" not in queries.columns:
         partial = nearest(vectors, queries)
@@ -157,44 +159,53 @@ def _ddl(vectors: DataFrame, queries: DataFrame) -> str:
     return f"query_id {kind(queries, 'query_id')}, chunk_id {kind(vectors, 'chunk_id')}, vec_distance double"
 
 
-def _pack(df: DataFrame, names: list[str], block_rows: int) -> DataFrame:
-    """One row per block of rows, columns turned into arrays."""
-    parts = [f"{n} array<{df.schema[n].dataType.simpleString()}>" for n in names]
+def _knn_blocks(vectors: DataFrame, queries: DataFrame, k: int, group_rows: int = QUERY_ROWS) -> DataFrame:
+    """Large query sets: a grid of query groups and vector shards, a task a meeting.
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, block_rows):
-                piece = batch.slice(at, block_rows)
-                lists = [
-                    pa.ListArray.from_arrays(pa.array([0, piece.num_rows], pa.int32()), piece[n]) for n in names
-                ]
-                yield pa.RecordBatch.from_arrays(lists, names=names)
-
-    return df.select(*names).mapInArrow(pack, ", ".join(parts))
-
-
-def _knn_blocks(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Large query sets: blocks of both sides meet by an equi-join on a shard number, k rows leave each meeting."""
-    shards = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = (
-        _pack(vectors, ["chunk_id", "embedding", "md_id", "is_current"], block_rows)
-        .withColumn("shard", F.pmod(F.xxhash64(F.col("chunk_id")[0]), F.lit(shards)))
-        .withColumnRenamed("embedding", "rows")
+    A task holds its queries and one running best for each, and reads the vectors of its shard as a stream; so k rows
+    a query and shard leave, and there are only as many shards as it takes to keep all tasks busy.
+    """
+    spark = vectors.sparkSession
+    groups = max(1, -(-queries.count() // group_rows))
+    shards = max(1, -(-2 * int(spark.conf.get("spark.sql.shuffle.partitions")) // groups))
+    over = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    chunk, query = (df.schema[c].dataType for df, c in ((vectors, "chunk_id"), (queries, "query_id")))
+    left = vectors.select(
+        F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(1).alias("side"), F.lit(None).cast(query).alias("query_id"), "chunk_id",
+        "embedding", "md_id", "is_current", over(groups).alias("g"),
     )
-    right = _pack(queries, ["query_id", "embedding", "wanted", "any"], block_rows).withColumn(
-        "shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>"))
+    right = queries.select(
+        over(shards).alias("shard"), F.lit(0).alias("side"), "query_id", F.lit(None).cast(chunk).alias("chunk_id"),
+        "embedding", F.col("wanted").alias("md_id"), F.col("any").alias("is_current"), F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int").alias("g"),
     )
+    met = left.unionByName(right).repartition(min(MOST_TASKS, groups * shards), "g", "shard").sortWithinPartitions("g", "shard", "side")
     schema = _schema(vectors, queries)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, best = None, [], None
         for batch in batches:
-            for i in range(batch.num_rows):
-                one = {name: batch[name][i].values for name in batch.schema.names if name != "shard"}
-                best = _Best(*_query_side(one), k)
-                best.add(*_vector_side({**one, "embedding": one["rows"]}))
-                yield best.table(schema)
-
-    return left.join(right, "shard").mapInArrow(meet, _ddl(vectors, queries))
+            spots = list(zip(*(batch[c].to_pylist() for c in ("g", "shard", "side"))))
+            bounds = [0, *(i for i in range(1, len(spots)) if spots[i] != spots[i - 1]), len(spots)]
+            for first, last in zip(bounds, bounds[1:]):
+                if first == last:
+                    continue
+                if spots[first][:2] != now:
+                    if best:
+                        yield best.table(schema)
+                    now, held, best = spots[first][:2], [], None
+                rows = batch.slice(first, last - first)
+                if spots[first][2] == 0:
+                    held.append(rows)
+                    continue
+                if best is None and held:
+                    asked = pa.Table.from_batches(held)
+                    best = _Best(*_query_side({"query_id": asked["query_id"], "embedding": asked["embedding"], "wanted": asked["md_id"], "any": asked["is_current"]}), k)
+                if best:
+                    best.add(*_vector_side({c: rows[c] for c in ("chunk_id", "embedding", "md_id", "is_current")}))
+        if best:
+            yield best.table(schema)
+
+    return met.mapInArrow(meet, _ddl(vectors, queries))
 
 
 def knn_overfetch(vectors: DataFrame, queries: DataFrame, k: int = 30, factor: int = OVERFETCH) -> DataFrame:

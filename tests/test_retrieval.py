@@ -191,6 +191,33 @@ def test_stemming(spark):
     assert {(r.term, r.tf) for r in rows} == {("verifi", 2), ("verif", 1)}
 
 
+def test_best_of_all_rows_at_once():
+    from citadex.functions.vectors import best_k
+
+    rng = np.random.default_rng(2)
+    for n in (0, 3, 40, 200):
+        d, ids = np.round(rng.random((7, n)), 1), np.array([f"c{i}" for i in rng.permutation(n)])
+        row, column = best_k(d, ids, 4)
+        want = [(r, c) for r in range(7) for c in sorted(range(n), key=lambda c: (d[r, c], ids[c]))[:4]]
+        assert list(zip(row.tolist(), column.tolist())) == want
+
+
+def test_grid_of_groups_and_shards_hands_on_k_rows_a_meeting(spark):
+    from citadex.operators.dense import _knn_blocks
+
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in np.round(rng.standard_normal(3), 1)]) for i in range(600)]
+    vectors = spark.createDataFrame(rows, "chunk_id long, embedding array<double>").selectExpr("*", "cast(null AS string) md_id", "true is_current")
+    asked = spark.createDataFrame(rows[:300], "query_id long, embedding array<double>").selectExpr("*", "cast(null AS string) wanted", "true any")
+    found = _knn_blocks(vectors, asked, 3, 64)
+    assert found.count() <= 300 * 2 * 3  # five groups, two shards each at four shuffle partitions
+    got = {r.query_id: r.ids for r in lexical.top_k(found, 3, F.col("vec_distance"), F.col("chunk_id")).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id"))).alias("ids")).collect()}
+    x = np.array([v for _, v in rows])
+    for q in range(300):
+        d = np.round(np.sqrt(((x - x[q]) ** 2).sum(1)), 6)
+        assert [r.chunk_id for r in got[q]] == sorted(range(600), key=lambda i: (d[i], i))[:3]
+
+
 @pytest.fixture(scope="module")
 def vec_tables(spark):
     rng = np.random.default_rng(3)
