@@ -232,11 +232,11 @@ def _window_starts(rows: DataFrame, width: int, seeds: DataFrame | None = None)
     # What leads to a head says nothing new.
     jump = settle(links.join(heads.withColumnRenamed("us", "next"), ["who", "next"], "left_anti").select("who", "us", "next"))
     reached = heads
-    while True:
+    while jump.limit(1).count():
         found = settle(reached.join(jump, ["who", "us"]).select("who", F.col("next").alias("us")))
         if not found.limit(1).count():
             break
-        reached = settle(reached.unionByName(found))
+        reached = reached.unionByName(found)
         onward = jump.select("who", F.col("us").alias("next"), F.col("next").alias("then"))
         jump = settle(jump.join(onward, ["who", "next"]).select("who", "us", F.col("then").alias("next")))
     return reached.distinct().select("who", F.floor(F.col("us") / F.lit(width)).alias("cell"), F.col("us").alias("start"))
