@@ -141,8 +141,9 @@ def links(reps: DataFrame, least: float = 0.98) -> DataFrame:
     span the components. A vector without a link has no row.
     """
     size = F.greatest(F.lit(BLOCK), F.least(F.lit(MOST), F.ceil(F.col("n") / 64)))
-    sizes = settle(reps.groupBy("label", "dim").agg(F.count("*").alias("n")).where("n > 1").select("label", "dim", F.ceil(F.col("n") / size).cast("int").alias("blocks")))
-    meetings = sizes.agg(F.sum(F.expr("bigint(blocks) * (blocks + 1) div 2"))).first()[0] or 1
+    sizes = settle(reps.groupBy("label", "dim").agg(F.count("*").alias("n")).where("n > 1").select("label", "dim", "n", F.ceil(F.col("n") / size).cast("int").alias("blocks")))
+    work = sizes.agg(F.sum(F.expr("bigint(blocks) * (blocks + 1) div 2")).alias("meetings"), F.ceil(F.sum(F.col("n") * F.col("blocks")) / BLOCK).alias("parts")).first()
+    sizes = sizes.drop("n")
     dealt = (
         reps.join(broadcast_if(fits(sizes, BROADCAST_ROWS), sizes), ["label", "dim"])
         .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
@@ -150,7 +151,7 @@ def links(reps: DataFrame, least: float = 0.98) -> DataFrame:
         .select("label", "dim", "m.a", "m.b", "m.side", "rep", "copies", "unit")
     )
     keys = ["label", "dim", "a", "b"]
-    ordered = dealt.repartition(min(TASKS, meetings), *keys).sortWithinPartitions(*keys)
+    ordered = dealt.repartition(max(1, min(TASKS, work.meetings or 1, work.parts or 1)), *keys).sortWithinPartitions(*keys)
     return arrow_map(ordered, _meetings(least), "rep long, links long, peer long")
 
 
@@ -203,8 +204,8 @@ def hashes(x: np.ndarray, number: int) -> np.ndarray:
 def _pass(x: np.ndarray, x32: np.ndarray, key: np.ndarray, root: np.ndarray, least: float) -> None:
     """Unite what one pass finds: windows of successors, and runs of equal hashes that are longer than a window."""
     order = np.argsort(key, kind="stable")
-    for at in range(0, len(order), TILE):
-        p, q = order[at : at + TILE], order[at : at + TILE + WINDOW]
+    for at in range(0, len(order), 2 * WINDOW):
+        p, q = order[at : at + 2 * WINDOW], order[at : at + 3 * WINDOW]
         i, j = _near(x[p], x[q], x32[p], x32[q], least)
         good = (j > i) & (j - i <= WINDOW)
         _join(root, p[i[good]], q[j[good]])
