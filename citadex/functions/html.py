@@ -13,7 +13,7 @@ from .text import blank_to_null, clean_text, extract, extract_all, let, strip
 
 _BREAK = "\u0001"
 _TAG = r"(?s)<!--.*?-->|<[/!?A-Za-z][^>]*>"
-_ENTITY = r"&(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);"
+ENTITY = r"&(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);"
 
 
 def _named_entities() -> Column:
@@ -37,7 +37,7 @@ def unescape(c: Column) -> Column:
     is_amp = lambda e: e.isin("&amp;", "&#38;", "&#x26;", "&#X26;")
 
     def decode(text: Column) -> Column:
-        found = F.array_distinct(extract_all(text, _ENTITY))
+        found = F.array_distinct(extract_all(text, ENTITY))
         ordered = F.concat(F.filter(found, lambda e: ~is_amp(e)), F.filter(found, is_amp))
         decoded = F.aggregate(
             ordered,
