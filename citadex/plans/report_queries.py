@@ -412,8 +412,8 @@ def _folder(spark, name):
 
 
 def _stream(spark, sf, name):
-    """A test table as a stream of files."""
-    return S.file_stream(spark, sf, table(spark, sf, name).schema, pattern=f"{name}.parquet")
+    """A test table as a stream of files; its path, written as a pattern, may be one file or a folder of them."""
+    return S.file_stream(spark, f"{sf}/{name}.parque[t]", table(spark, sf, name).schema)
 
 
 def _collect_stream(spark, stream, name, mode="append"):
