@@ -57,7 +57,7 @@ def hashed_encoder(dim: int) -> Encoder:
 def best_k(distances: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the k smallest (distance, id) pairs of every row, row by row in that order; all rows at once."""
     if distances.shape[1] > 4 * k:
-        near = distances <= np.partition(distances, k - 1, axis=1)[:, k - 1 : k]
+        near = ~(distances > np.partition(distances, k - 1, axis=1)[:, k - 1 : k])  # what is not a number stays, and comes last
     else:
         near = np.ones(distances.shape, bool)
     row, column = np.nonzero(near)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import os
 import pathlib
 import tempfile
@@ -13,13 +12,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citadex import session
 from citadex.session import settle
 
 __all__ = ["arrow_map", "fold", "grouped", "held_out", "settle", "ship", "table", "text_bytes"]
 
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: Rows of an Arrow batch; a session that asks for fewer keeps its own number.
-ROWS = 1000
 ROOT = pathlib.Path(__file__).resolve().parents[2]
 _shipped: set[str] = set()
 
@@ -56,26 +53,10 @@ def text_bytes(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit("")).cast("binary")
 
 
-def release() -> None:
-    """Hand memory that a finished task has freed back to the system; Spark keeps the worker for the next task."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
-
-
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with the package at hand in the workers, and batches of few rows, as texts may be long."""
     ship(df.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from fn(batches)
-        release()
-
-    if int(df.sparkSession.conf.get(BATCH_ROWS, "10000")) > ROWS:
-        df.sparkSession.conf.set(BATCH_ROWS, str(ROWS))
-    return df.mapInArrow(run, schema)
+    return session.arrow_map(df, fn, schema)
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:

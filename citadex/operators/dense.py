@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import QUERY_INSTRUCTION, Encoder, best_k, l2, list_column, matrix, normalise
+from ..session import arrow_map
 from ..sizes import BROADCAST_ROWS, broadcast_if, fits
 from .lexical import top_k
 
@@ -21,6 +22,10 @@ from .lexical import top_k
 QUERY_ROWS = 4096
 #: Partitions of the shuffled form at most.
 MOST_TASKS = 20_000
+#: Numbers in the queries that a task of the shuffled form holds (32 MB).
+GROUP_NUMBERS = 1 << 22
+#: Distances worked on at a time (8 MB), and the rows in them.
+TILE, TILE_ROWS = 1 << 20, 2048
 OVERFETCH = 8
 
 
@@ -31,41 +36,62 @@ def _id_array(column: pa.Array) -> np.ndarray:
 class _Best:
     """Running best k of one task, per query.
 
-    ``wishes`` holds per query the wanted record id (None: any) and whether non-current rows count.
+    ``wishes`` holds per query the wanted record id (None: any) and whether non-current rows count. Queries and rows meet in tiles
+    of ``TILE`` distances, so that memory depends neither on the number of queries nor on that of rows.
     """
 
     def __init__(self, query_ids: np.ndarray, queries: np.ndarray, wishes: list[tuple[object, bool]], k: int):
         self.query_ids, self.queries, self.k = query_ids, queries, k
-        self.groups: dict[tuple[object, bool], list[int]] = {}
+        groups: dict[tuple[object, bool], list[int]] = {}
         for position, wish in enumerate(wishes):
-            self.groups.setdefault(wish, []).append(position)
-        #: The best so far, flat: query, distance, id.
-        self.query, self.distance, self.ids = np.empty(0, np.int64), np.empty(0), None
+            groups.setdefault(wish, []).append(position)
+        self.groups = {wish: np.array(positions) for wish, positions in groups.items()}
+        #: The best so far, a row a query: how many there are, their distances and ids in order.
+        self.count, self.distance, self.ids = np.zeros(len(query_ids), np.int64), np.full((len(query_ids), k), np.inf), None
 
     def add(self, ids: np.ndarray, rows: np.ndarray, labels: np.ndarray, current: np.ndarray) -> None:
-        query, distance, found = [self.query], [self.distance], [] if self.ids is None else [self.ids]
+        if self.ids is None:
+            self.ids = np.empty((len(self.query_ids), self.k), ids.dtype)
+        self.ids = self.ids.astype(np.result_type(self.ids, ids), copy=False)  # longer strings
         for (wanted, any_status), positions in self.groups.items():
             usable = np.ones(len(ids), dtype=bool) if any_status else current.copy()
             if wanted is not None:
                 usable &= labels == wanted
             inside = np.flatnonzero(usable)
-            if len(inside):
-                near = l2(self.queries[positions], rows[inside])
-                at, column = best_k(near, ids[inside], self.k)
-                query.append(np.asarray(positions)[at])
-                distance.append(near[at, column])
-                found.append(ids[inside[column]])
-        if not found:
+            for at in range(0, len(inside), TILE_ROWS):
+                some = inside[at : at + TILE_ROWS]
+                step = max(1, TILE // len(some))
+                for first in range(0, len(positions), step):
+                    asked = positions[first : first + step]
+                    self._meet(asked, l2(self.queries[asked], rows[some]), ids[some])
+
+    def _meet(self, asked: np.ndarray, near: np.ndarray, ids: np.ndarray) -> None:
+        """Merge a tile of distances into the best of the queries ``asked``."""
+        worst = np.where(self.count[asked] == self.k, self.distance[asked, -1], np.inf)
+        row, column = np.nonzero(~(near > worst[:, None]))
+        if len(row) > 4 * self.k * len(asked):
+            row, column = best_k(near, ids, self.k)
+        if not len(row):
             return
-        query, distance, found = map(np.concatenate, (query, distance, found))
+        touched = np.unique(row)
+        held = np.arange(self.k) < self.count[asked[touched]][:, None]
+        query = np.concatenate([np.nonzero(held)[0], np.searchsorted(touched, row)])
+        distance = np.concatenate([self.distance[asked[touched]][held], near[row, column]])
+        found = np.concatenate([self.ids[asked[touched]][held], ids[column]])
         order = np.lexsort((found, distance, query))
-        kept = order[np.arange(len(order)) - np.searchsorted(query[order], query[order]) < self.k]
-        self.query, self.distance, self.ids = query[kept], distance[kept], found[kept]
+        place = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+        order, place = order[place < self.k], place[place < self.k]
+        position = asked[touched[query[order]]]
+        self.distance[position, place], self.ids[position, place] = distance[order], found[order]
+        self.count[asked[touched]] = np.bincount(query[order], minlength=len(touched))
 
-    def table(self, schema: pa.Schema) -> pa.RecordBatch:
-        ids = [] if self.ids is None else self.ids.tolist()
-        columns = [pa.array(self.query_ids[self.query].tolist(), schema.types[0]), pa.array(ids, schema.types[1])]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(self.distance, pa.float64())], schema=schema)
+    def tables(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        step = max(1, TILE // self.k)
+        for first in range(0, len(self.query_ids) if self.ids is not None else 0, step):
+            part = slice(first, first + step)
+            query, place = np.nonzero(np.arange(self.k) < self.count[part][:, None])
+            columns = [pa.array(c.tolist(), kind) for c, kind in zip((self.query_ids[part][query], self.ids[part][query, place]), schema.types)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(self.distance[part][query, place], pa.float64())], schema=schema)
 
 
 def _arrow_type(df: DataFrame, col: str) -> pa.DataType:
@@ -98,7 +124,7 @@ def knn_topk(
 
     def nearest(candidates: DataFrame, asked: DataFrame) -> DataFrame:
         held = asked.limit(query_rows + 1).toArrow()
-        return _knn_broadcast(candidates, asked, held, k) if held.num_rows <= query_rows else _knn_blocks(candidates, asked, k, max(64, query_rows))
+        return _knn_broadcast(candidates, asked, held, k) if held.num_rows <= query_rows else _knn_blocks(candidates, asked, k)
 
     if "filter_md_id" not in queries.columns:
         partial = nearest(vectors, queries)
@@ -149,9 +175,9 @@ def _knn_broadcast(vectors: DataFrame, queries: DataFrame, held: pa.Table, k: in
         for batch in batches:
             if batch.num_rows:
                 best.add(*_vector_side(batch))
-        yield best.table(schema)
+        yield from best.tables(schema)
 
-    return vectors.mapInArrow(scan, _ddl(vectors, queries))
+    return arrow_map(vectors, scan, _ddl(vectors, queries))
 
 
 def _ddl(vectors: DataFrame, queries: DataFrame) -> str:
@@ -159,15 +185,18 @@ def _ddl(vectors: DataFrame, queries: DataFrame) -> str:
     return f"query_id {kind(queries, 'query_id')}, chunk_id {kind(vectors, 'chunk_id')}, vec_distance double"
 
 
-def _knn_blocks(vectors: DataFrame, queries: DataFrame, k: int, group_rows: int = QUERY_ROWS) -> DataFrame:
+def _knn_blocks(vectors: DataFrame, queries: DataFrame, k: int, group_rows: int | None = None) -> DataFrame:
     """Large query sets: a grid of query groups and vector shards, a task a meeting.
 
     A task holds its queries and one running best for each, and reads the vectors of its shard as a stream; so k rows
-    a query and shard leave, and there are only as many shards as it takes to keep all tasks busy.
+    a query and shard leave. The vectors travel once a group, and a group is as many queries as a task can hold; there are
+    only as many shards as it takes to keep all cores busy.
     """
     spark = vectors.sparkSession
-    groups = max(1, -(-queries.count() // group_rows))
-    shards = max(1, -(-2 * int(spark.conf.get("spark.sql.shuffle.partitions")) // groups))
+    sizes = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+    groups = max(1, -(-sizes.n // (group_rows or max(1, GROUP_NUMBERS // max(1, sizes.dim or 1)))))
+    busy = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    shards = max(1, -(-2 * busy // groups))
     over = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     chunk, query = (df.schema[c].dataType for df, c in ((vectors, "chunk_id"), (queries, "query_id")))
     left = vectors.select(
@@ -191,7 +220,7 @@ def _knn_blocks(vectors: DataFrame, queries: DataFrame, k: int, group_rows: int
                     continue
                 if spots[first][:2] != now:
                     if best:
-                        yield best.table(schema)
+                        yield from best.tables(schema)
                     now, held, best = spots[first][:2], [], None
                 rows = batch.slice(first, last - first)
                 if spots[first][2] == 0:
@@ -203,9 +232,9 @@ def _knn_blocks(vectors: DataFrame, queries: DataFrame, k: int, group_rows: int
                 if best:
                     best.add(*_vector_side({c: rows[c] for c in ("chunk_id", "embedding", "md_id", "is_current")}))
         if best:
-            yield best.table(schema)
+            yield from best.tables(schema)
 
-    return met.mapInArrow(meet, _ddl(vectors, queries))
+    return arrow_map(met, meet, _ddl(vectors, queries))
 
 
 def knn_overfetch(vectors: DataFrame, queries: DataFrame, k: int = 30, factor: int = OVERFETCH) -> DataFrame:
@@ -284,7 +313,7 @@ def embed(
                     [ids.slice(at, len(part)).take(pa.array(kept)), list_column(rows)], names=[id_col, "embedding"]
                 )
 
-    return df.select(id_col, "text").mapInArrow(run, f"{id_col} {id_type}, embedding array<float>")
+    return arrow_map(df.select(id_col, "text"), run, f"{id_col} {id_type}, embedding array<float>")
 
 
 def embed_queries(queries: DataFrame, encoder: Encoder, dim: int, instruction: str = QUERY_INSTRUCTION) -> DataFrame:

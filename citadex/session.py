@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -49,3 +52,34 @@ def settle(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch; a session that asks for fewer keeps its own number.
+ROWS = 1000
+
+
+def few_rows_a_batch(spark: SparkSession) -> None:
+    """Python workers get batches of few rows, as texts may be long; what a worker holds then does not grow with the table."""
+    if not 0 < int(spark.conf.get(BATCH_ROWS, "10000")) <= ROWS:
+        spark.conf.set(BATCH_ROWS, str(ROWS))
+
+
+def release() -> None:
+    """Hand memory that a finished task has freed back to the system; Spark keeps the worker for the next task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` over batches of few rows, with the memory given back at the end of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        release()
+
+    few_rows_a_batch(df.sparkSession)
+    return df.mapInArrow(run, schema)
