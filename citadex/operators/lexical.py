@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stem import stem_tokens
 from ..functions.text import index_tokens, word_tokens
-from ..session import settle
+from ..session import arrow_map, few_rows_a_batch, settle
 from ..sizes import BROADCAST_ROWS, fits
 
 MAX_QUERY_TERMS = 32
@@ -60,6 +60,7 @@ class TextIndex:
     hot_terms: DataFrame  # term
     stored: bool = False  # postings come from files, in term order
     stem: bool = False  # terms are folded and stemmed, queries have to be, too
+    rows: DataFrame | None = None  # chunk_id, dl, terms, tfs: what the others are derived from, if they are not stored
 
 
 #: Pseudo terms of the statistics, never tokens: number of chunks and total length. One column for all keeps the
@@ -68,28 +69,57 @@ EVERY, LENGTH = "", "\u0001"
 
 
 def build_index(chunks: DataFrame, stem: bool = False) -> TextIndex:
-    """Inverted index of chunks (chunk_id, text) over all of their terms."""
-    rows = tokens_of(chunks, stem, "chunk_id")
-    # The outer generator keeps Spark from testing the token list for emptiness first, which would tokenise twice.
-    exploded = rows.select("chunk_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term")).filter("term IS NOT NULL")
-    postings = exploded.groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    sizes = rows.select(F.size("tokens").alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length"))
-    pair = lambda term, value: F.struct(F.lit(term).alias("term"), F.col(value).cast("bigint").alias("df"))
-    every = sizes.select(F.inline(F.array(pair(EVERY, "n"), pair(LENGTH, "length"))))
-    stats = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).unionByName(every)
-    return TextIndex(postings, stats, hot_terms(stats), stem=stem)
+    """Inverted index of chunks (chunk_id, text) over all of their terms; ``chunk_id`` is a key."""
+    return index_of(counted_terms(chunks, stem), stem)
+
+
+def index_of(rows: DataFrame, stem: bool = False) -> TextIndex:
+    """The index of chunks whose terms are counted."""
+    every = all_postings(rows)
+    stats = term_stats(every)
+    return TextIndex(every.filter(F.col("term") != EVERY), stats, hot_terms(stats), stem=stem, rows=rows)
+
+
+def counted_terms(chunks: DataFrame, stem: bool = False) -> DataFrame:
+    """(chunk_id, dl, terms, tfs), a row a chunk: terms are counted where the chunk is, so that no token is shuffled for it."""
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tokens = b.column("tokens")
+            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(tokens), 0).to_numpy())])
+            coded = tokens.flatten().dictionary_encode()
+            size = max(1, len(coded.dictionary))
+            seen, tf = np.unique(np.repeat(np.arange(b.num_rows), np.diff(ends)) * size + coded.indices.to_numpy().astype(np.int64), return_counts=True)
+            offsets = pa.array(np.searchsorted(seen // size, np.arange(b.num_rows + 1)).astype(np.int32))
+            terms = pa.ListArray.from_arrays(offsets, coded.dictionary.take(pa.array(seen % size)))
+            tfs = pa.ListArray.from_arrays(offsets, pa.array(tf.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column("chunk_id"), pa.array(np.diff(ends).astype(np.int32)), terms, tfs], ["chunk_id", "dl", "terms", "tfs"])
+
+    return arrow_map(tokens_of(chunks, stem, "chunk_id"), run, f"chunk_id {kind}, dl int, terms array<string>, tfs array<int>")
+
+
+def all_postings(rows: DataFrame) -> DataFrame:
+    """(chunk_id, dl, term, tf) of counted chunks, with one row of the pseudo term ``EVERY`` for each chunk, also without terms."""
+    pairs = F.arrays_zip(F.concat(F.array(F.lit(EVERY)), F.col("terms")).alias("term"), F.concat(F.array(F.lit(1)), F.col("tfs")).alias("tf"))
+    return rows.select("chunk_id", "dl", F.inline(pairs).alias("term", "tf")).withColumn("tf", F.col("tf").cast("bigint"))
 
 
 def tokens_of(chunks: DataFrame, stem: bool, *keep: str) -> DataFrame:
     """``keep`` and tokens, the index terms of each text in order."""
+    few_rows_a_batch(chunks.sparkSession)  # stems come from Python
     rows = chunks.select(*keep, index_tokens(F.col("text")).alias("tokens"))
     return rows.select(*keep, analysed(F.col("tokens"), stem).alias("tokens"))
 
 
-def term_stats(seen: DataFrame) -> DataFrame:
-    """(term, df) from one row (dl, term) per chunk and distinct term, pseudo terms included."""
-    weight = F.when(F.col("term") == LENGTH, F.col("dl")).otherwise(1).cast("bigint")
-    return seen.groupBy("term").agg(F.sum(weight).alias("df"))
+def term_stats(postings: DataFrame) -> DataFrame:
+    """(term, df) from postings with a row of ``EVERY`` for each chunk, in one pass; pseudo terms included."""
+    length = F.sum(F.when(F.col("term") == EVERY, F.col("dl")))
+    counted = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), length.alias("length"))
+    pair = lambda term, df: F.struct(term.alias("term"), df.cast("bigint").alias("df"))
+    own = pair(F.col("term"), F.col("df"))
+    both = F.array(own, pair(F.lit(LENGTH), F.coalesce("length", F.lit(0))))
+    return counted.select(F.inline(F.when(F.col("term") == EVERY, both).otherwise(F.array(own))))
 
 
 def hot_terms(stats: DataFrame) -> DataFrame:
@@ -183,7 +213,7 @@ def _matched(chunks: DataFrame, vocabulary: list[str], stem: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("chunk_id"), b.column("md_id"), b.column("is_current"), pa.array(np.diff(ends).astype(np.int32)), *lists], MATCHED_NAMES)
 
     rows = tokens_of(chunks, stem, "chunk_id", "md_id", "is_current")
-    return rows.mapInArrow(run, MATCHED)
+    return arrow_map(rows, run, MATCHED)
 
 
 MATCHED = "chunk_id string, md_id string, is_current boolean, dl int, terms array<int>, tfs array<int>"
@@ -268,6 +298,23 @@ class _Scorer:
         self.best[n] = merged[: self.k]
 
 
+#: Terms of the chunks that are scored together; their texts are no longer there.
+SCORED_TERMS = 1 << 19
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most about ``SCORED_TERMS`` terms, as every batch costs each query a step."""
+    held, terms = [], 0
+    for b in batches:
+        held.append(b)
+        terms += len(b.column("terms").flatten()) + b.num_rows
+        if terms >= SCORED_TERMS:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, terms = [], 0
+    if terms:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _held_topk(matched: DataFrame, stats: dict[int, int], chunks: int, avgdl: float, queries: list, places: dict[str, int], k: int) -> DataFrame:
     """(query_id, chunk_id, bm25_score): the best k rows of each query in each task. ``queries``: rows of query terms."""
     weights = {t: _idf(df, chunks) for t, df in stats.items()}
@@ -284,13 +331,13 @@ def _held_topk(matched: DataFrame, stats: dict[int, int], chunks: int, avgdl: fl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(asked, k, avgdl)
-        for b in batches:
+        for b in _joined(batches):
             scorer.add(b)
         rows = [(a.query_id, i, -s) for a, best in zip(asked, scorer.best) for s, i in best]
         cols = list(zip(*rows)) if rows else [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (kind, pa.string(), pa.float64()))], ["query_id", "chunk_id", "bm25_score"])
 
-    return matched.mapInArrow(run, f"query_id {'long' if kind == pa.int64() else 'string'}, chunk_id string, bm25_score double")
+    return arrow_map(matched, run, f"query_id {'long' if kind == pa.int64() else 'string'}, chunk_id string, bm25_score double")
 
 
 def _idf(df: int, n: int) -> float:

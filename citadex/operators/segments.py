@@ -1,7 +1,9 @@
 """A stored term index that changes at the cost of the change: segments, tombstones, merges.
 
-Postings lie in ``postings/segment=<id>/bucket=<n>``, where the bucket is the chunk's hash; within a bucket they are in term
-order, so a batch of queries reads the row groups of its terms. A refresh writes one segment: the postings of the fresh chunks,
+Postings lie in ``postings/segment=<id>/bucket=<n>``, where the bucket is the chunk's hash; every file of a bucket is in term
+order, so a batch of queries reads the pages of its terms. Each chunk, also one without terms, has a posting of the pseudo
+term ``EVERY``, so that its length is known when it leaves. Texts are read once: what a segment is made of is kept as a row a
+chunk until the segment is committed. A refresh writes one segment: the postings of the fresh chunks,
 the ids of those that left, and the difference of the statistics, for which it reads the buckets of the leaving chunks
 alone. A merge rewrites the buckets that have gathered too many segments and no others. What a version of the index
 consists of is one line in ``log``, whose number only one writer can take; readers of earlier versions are not disturbed.
@@ -9,7 +11,9 @@ consists of is one line in ``log``, whose number only one writer can take; reade
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +22,7 @@ from pyspark.sql import functions as F
 from ..session import settle
 from ..sizes import BROADCAST_ROWS, broadcast_if, fits
 from ..sources.claims import claim, entries
-from .lexical import EVERY, LENGTH, TextIndex, hot_terms, term_stats
+from .lexical import EVERY, LENGTH, TextIndex, all_postings, hot_terms, index_of, term_stats
 
 LOG = "version int, segment string, kind string, buckets int, stem boolean, whole_stats boolean, merged array<int>, filled array<int>"
 POSTINGS = "chunk_id string, dl int, term string, tf bigint"
@@ -67,15 +71,30 @@ def _bucket(buckets: int) -> Column:
 
 
 def _write(state_folder: str, segment: str, postings: DataFrame, stats: DataFrame, buckets: int) -> list[int]:
-    """Write the postings and statistics of a segment; the buckets it fills."""
+    """Write the postings (with those of ``EVERY``) and statistics of a segment; the buckets it fills."""
+    spark = postings.sparkSession
+    pieces = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // buckets)
     rows = postings.select(F.col("chunk_id").cast("string"), F.col("dl").cast("int"), "term", F.col("tf").cast("long"), _bucket(buckets).alias("bucket"))
-    dealt = rows.repartitionByRange("bucket", "term", "chunk_id").sortWithinPartitions("bucket", "term", "chunk_id")
+    # Pieces by chunk: no word of many chunks weighs on one of them, and no rows are looked at first to find bounds.
+    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("chunk_id", F.lit("piece")), F.lit(pieces))).sortWithinPartitions("bucket", "term", "chunk_id")
     path = f"{state_folder}/postings/segment={segment}"
     dealt.write.mode("errorifexists").partitionBy("bucket").parquet(path)
     stats.select("term", F.col("df").cast("long")).write.mode("errorifexists").parquet(f"{state_folder}/stats/segment={segment}")
-    spark = postings.sparkSession
-    read = spark.read.schema(f"{POSTINGS}, bucket int").parquet(path)
-    return sorted(r.bucket for r in read.select("bucket").distinct().collect())  # at most ``buckets`` numbers
+    home = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [s.getPath().getName() for s in home.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(home)]
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith("bucket="))  # at most ``buckets`` numbers
+
+
+@contextlib.contextmanager
+def _kept(index: TextIndex, folder: str, segment: str) -> Iterator[TextIndex]:
+    """The index with its counted terms in files, so that texts are read once; the files go at the end."""
+    if index.rows is None:
+        raise ValueError("an index that is stored already cannot be stored again")
+    spark, path = index.postings.sparkSession, f"{folder}/draft/segment={segment}"
+    index.rows.write.mode("errorifexists").parquet(path)
+    yield index_of(spark.read.schema(index.rows.schema).parquet(path), index.stem)
+    home = spark._jvm.org.apache.hadoop.fs.Path(path)
+    home.getFileSystem(spark._jsc.hadoopConfiguration()).delete(home, True)
 
 
 def _commit(spark: SparkSession, folder: str, line: dict) -> None:
@@ -86,7 +105,8 @@ def _commit(spark: SparkSession, folder: str, line: dict) -> None:
 def create(index: TextIndex, folder: str, buckets: int = 64) -> None:
     """Store an index under ``folder``. ``buckets`` stays for its life: the share of it that the smallest change rewrites."""
     spark, segment = index.postings.sparkSession, uuid.uuid4().hex
-    filled = _write(folder, segment, index.postings, index.stats, buckets)
+    with _kept(index, folder, segment) as kept:
+        filled = _write(folder, segment, all_postings(kept.rows), kept.stats, buckets)
     _commit(spark, folder, {"version": 1, "segment": segment, "kind": "create", "buckets": buckets, "stem": index.stem, "whole_stats": True, "merged": [], "filled": filled})
 
 
@@ -134,7 +154,7 @@ def load(spark: SparkSession, folder: str) -> TextIndex:
     """The newest version of a stored index."""
     state = _state(spark, folder)
     stats = _stats(spark, state)
-    return TextIndex(_live(spark, state).drop("bucket"), stats, hot_terms(stats), stored=True, stem=state.lines[0].stem)
+    return TextIndex(_live(spark, state).drop("bucket").where(F.col("term") != EVERY), stats, hot_terms(stats), stored=True, stem=state.lines[0].stem)
 
 
 def refresh(spark: SparkSession, folder: str, gone: DataFrame, fresh: TextIndex, most: int = MOST_SEGMENTS) -> int:
@@ -149,13 +169,12 @@ def refresh(spark: SparkSession, folder: str, gone: DataFrame, fresh: TextIndex,
     segment, version = uuid.uuid4().hex, state.version + 1
     leaving = settle(gone.select(F.col("chunk_id").cast("string").alias("chunk_id")).where("chunk_id IS NOT NULL").distinct())
     dirty = sorted(r.bucket for r in leaving.select(_bucket(state.buckets).alias("bucket")).distinct().collect())
-    dropped = settle(_live(spark, state, dirty).join(broadcast_if(fits(leaving, BROADCAST_ROWS), leaving), "chunk_id", "left_semi"))
-    pseudo = F.explode(F.array(F.lit(EVERY), F.lit(LENGTH))).alias("term")
-    lengths = dropped.groupBy("chunk_id").agg(F.first("dl").alias("dl")).select("dl", pseudo)
-    lost = term_stats(dropped.select("dl", "term").unionByName(lengths)).select("term", (-F.col("df")).alias("df"))
-    change = fresh.stats.select("term", "df").unionByName(lost).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
+    dropped = _live(spark, state, dirty).join(broadcast_if(fits(leaving, BROADCAST_ROWS), leaving), "chunk_id", "left_semi")
+    lost = term_stats(dropped).select("term", (-F.col("df")).alias("df"))
     leaving.write.mode("errorifexists").parquet(f"{folder}/gone/segment={segment}")
-    filled = _write(folder, segment, fresh.postings, change, state.buckets)
+    with _kept(fresh, folder, segment) as kept:
+        change = kept.stats.select("term", "df").unionByName(lost).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
+        filled = _write(folder, segment, all_postings(kept.rows), change, state.buckets)
     _commit(spark, folder, {"version": version, "segment": segment, "kind": "refresh", "buckets": state.buckets, "stem": fresh.stem, "whole_stats": False, "merged": [], "filled": filled})
     after = _state(spark, folder)
     crowded = [b for b in range(state.buckets) if after.living(b) > most]
