@@ -66,7 +66,10 @@ class WordEncoder:
         vocab = self.whole.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        #: Ids of words as they stand, of their letters in lower case, and of the marks after them.
         self.known: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
 
     def alone(self, word: str) -> bytes:
         return array("I", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
@@ -74,14 +77,20 @@ class WordEncoder:
     def learn(self, words: list[str]) -> None:
         split = {}
         for w in words:
-            m = _CORE.fullmatch(w)
-            if m:
-                split[w] = m.groups()
+            if w.isascii() and w.isalpha():
+                split[w] = w.lower(), ""
+            elif m := _CORE.fullmatch(w):
+                core, tail = m.groups()
+                # The tokenizer ignores case; only for ASCII is it certain that both lower it alike.
+                split[w] = core.lower() if core.isascii() else core, tail
             else:
                 self.known[w] = self.alone(w)
-        parts = {p for pair in split.values() for p in pair}
-        cores = [p for p in parts if p.isalpha()]
-        ids = {p: self.alone(p) for p in parts if not p.isalpha()}
+        for tail in {tail for _, tail in split.values()} - self.tails.keys():
+            self.tails[tail] = self.alone(tail)
+        if len(self.cores) + len(split) > CACHE_WORDS:
+            self.cores.clear()
+        ids = self.cores
+        cores = list({core for core, _ in split.values() if core not in ids})
         calls = [cores[i : i + CALL_WORDS] for i in range(0, len(cores), CALL_WORDS)]
         for call, found in zip(calls, self.whole.encode_batch_fast([" ".join(c) for c in calls], add_special_tokens=False)):
             got = np.array(found.ids, np.uint32)
@@ -91,7 +100,7 @@ class WordEncoder:
                 ids.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(call, [0, *ends.tolist()], ends.tolist()))
             else:  # a letter that lower case turns into several characters
                 ids.update((w, self.alone(w)) for w in call)
-        self.known.update((w, ids[core] + ids[tail]) for w, (core, tail) in split.items())
+        self.known.update((w, ids[core] + self.tails[tail]) for w, (core, tail) in split.items())
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), CALL_TEXTS):

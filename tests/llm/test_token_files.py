@@ -110,3 +110,15 @@ def test_awkward_rows(spark):
     assert [r.doc_id for r in found] == [None, None, 1, 2, 3, 4, 5, 5, 8, 9]
     assert [r.start for r in found] == [sum(x.n_tokens for x in found[:i]) for i in range(len(found))]
     assert token_files.round_trip(nothing(spark), PATH).count() == 0
+
+
+def test_forms_of_a_word_share_what_is_learned():
+    """Letters are encoded once for all cases and marks of an ASCII word; words that lower case treats unlike stay apart."""
+    import public_tokenizers
+
+    encode = token_files.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["Straßen word Word WORD, word.", "ΟΔΟΣ οδος İstanbul ISTANBUL KK wort's Ünder ünder!?", "", "WORD;; x1 word"]
+    for _ in range(2):
+        got = list(encode(texts))
+        assert got == [array("I", encode.whole.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+    assert sum(core == "word" for core in encode.cores) == 1 and "WORD" not in encode.cores
