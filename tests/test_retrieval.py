@@ -402,3 +402,17 @@ def test_texts_are_read_once_and_chunks_without_terms_leave(spark, tmp_path):
     got = segments.load(spark, str(tmp_path))
     assert {r.term: r.df for r in got.stats.collect()} == {"y": 1, "é": 1, lexical.EVERY: 1, lexical.LENGTH: 2}
     assert got.postings.count() == 2 and not list((tmp_path / "draft").glob("segment*"))
+
+
+def test_only_distinct_tokens_of_a_batch_become_strings(monkeypatch):
+    """A batch of lists with few words asks for few stems, however long the lists are; nulls and empty lists stay."""
+    import pyarrow as pa
+
+    from citadex.functions import stem
+
+    asked = []
+    monkeypatch.setattr(stem, "_remembered", lambda word: asked.append(word) or stem.porter(word))
+    lists = [["running", "houses"] * 500, None, [], ["running", None], ["houses"]]
+    got = stem.porter_lists(pa.array([["x"], *lists], pa.list_(pa.string())).slice(1)).to_pylist()
+    assert got == [["run", "hous"] * 500, None, [], ["run", None], ["hous"]]
+    assert sorted(asked) == ["houses", "running"]
