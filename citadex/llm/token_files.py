@@ -15,6 +15,7 @@ A plain zstandard decoder reads all ids from it, a reader of this module only th
 
 from __future__ import annotations
 
+import operator
 import os
 import posixpath
 import struct
@@ -22,10 +23,11 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import regex
 import xxhash
@@ -42,11 +44,13 @@ from citadex.sizes import BROADCAST_ROWS, broadcast_if, fits
 FRAME_IDS, FILE_IDS = 32_768, 1 << 24
 #: Words whose ids a worker remembers.
 CACHE_WORDS = 600_000
-#: Texts whose unknown words are looked up together, and words of one call to the tokenizer.
-CALL_TEXTS, CALL_WORDS = 64, 1000
+#: Bytes of the texts whose unknown words are looked up together, and words of one call to the tokenizer.
+CALL_BYTES, CALL_WORDS = 1 << 22, 1000
 LEVEL = 3
 INDEX_MAGIC, SEEK_MAGIC, FOOTER_MAGIC, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 MANIFEST = "file long, path string, docs long, ids long, first_id long, last_id long"
+#: Marks that may follow a word of letters.
+MARKS = ".,;:!?$&*%#)"
 _CORE = regex.compile(r"([[:alpha:]]+)([.,;:!?$&*%#)]*)")
 _encoders: dict[str, WordEncoder] = {}
 
@@ -75,23 +79,37 @@ class WordEncoder:
         return array("I", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
 
     def learn(self, words: list[str]) -> None:
-        split = {}
+        whole, cores, tails = [], [], []
         for w in words:
-            if w.isascii() and w.isalpha():
-                split[w] = w.lower(), ""
+            if w.isascii():
+                front = w[:-1]
+                if w.isalpha():
+                    core, tail = w, ""
+                elif front.isalpha() and w[-1] in MARKS:
+                    core, tail = front, w[-1]
+                elif m := _CORE.fullmatch(w):
+                    core, tail = m.groups()
+                else:
+                    self.known[w] = self.alone(w)
+                    continue
+                core = core.lower()
             elif m := _CORE.fullmatch(w):
                 core, tail = m.groups()
                 # The tokenizer ignores case; only for ASCII is it certain that both lower it alike.
-                split[w] = core.lower() if core.isascii() else core, tail
+                core = core.lower() if core.isascii() else core
             else:
                 self.known[w] = self.alone(w)
-        for tail in {tail for _, tail in split.values()} - self.tails.keys():
+                continue
+            whole.append(w)
+            cores.append(core)
+            tails.append(tail)
+        for tail in set(tails) - self.tails.keys():
             self.tails[tail] = self.alone(tail)
-        if len(self.cores) + len(split) > CACHE_WORDS:
+        if len(self.cores) + len(whole) > CACHE_WORDS:
             self.cores.clear()
         ids = self.cores
-        cores = list({core for core, _ in split.values() if core not in ids})
-        calls = [cores[i : i + CALL_WORDS] for i in range(0, len(cores), CALL_WORDS)]
+        fresh = list(set(cores) - ids.keys())
+        calls = [fresh[i : i + CALL_WORDS] for i in range(0, len(fresh), CALL_WORDS)]
         for call, found in zip(calls, self.whole.encode_batch_fast([" ".join(c) for c in calls], add_special_tokens=False)):
             got = np.array(found.ids, np.uint32)
             ends = np.flatnonzero(self.closes[got]) + 1 if len(got) else np.zeros(0, np.int64)
@@ -100,16 +118,26 @@ class WordEncoder:
                 ids.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(call, [0, *ends.tolist()], ends.tolist()))
             else:  # a letter that lower case turns into several characters
                 ids.update((w, self.alone(w)) for w in call)
-        self.known.update((w, ids[core] + self.tails[tail]) for w, (core, tail) in split.items())
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(texts), CALL_TEXTS):
-            split = [t.replace("\n", " ").split(" ") for t in texts[at : at + CALL_TEXTS]]
-            words = set().union(*split)
+        self.known.update(zip(whole, map(operator.add, map(ids.__getitem__, cores), map(self.tails.__getitem__, tails))))
+
+    def __call__(self, texts: list[str] | pa.Array) -> Iterator[bytes]:
+        texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        cuts = [0, *(np.flatnonzero(np.diff(upto // CALL_BYTES)) + 1).tolist(), len(texts)]
+        for at, end in pairwise(cuts):
+            some = texts[at:end]
+            split = pc.split_pattern(pc.replace_substring(some, "\n", " "), " ")
+            coded = split.flatten().dictionary_encode()
+            words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
             if len(self.known) + len(words) > CACHE_WORDS:
                 self.known.clear()
             self.learn([w for w in words if w not in self.known])
-            yield from (b"".join(map(self.known.__getitem__, t)) for t in split)
+            ids = pa.array([self.known[w] for w in words], pa.large_binary()).take(coded.indices)
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])
+            _, offsets, data = ids.buffers()
+            places = np.frombuffer(offsets, np.int64)[ids.offset :][ends].tolist()
+            data = memoryview(data or b"")
+            yield from (data[a:b].tobytes() for a, b in pairwise(places))
 
 
 def encoder(json_path: str) -> WordEncoder:
@@ -231,7 +259,7 @@ def write(docs: DataFrame, folder: str, json_path: str, end: int = 1) -> DataFra
             rows.append((part * 1_000_000 + len(rows), *now.close()))
 
         for b in batches:
-            for doc, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist())):
+            for doc, ids in zip(b.column(0).to_pylist(), encode(b.column(1))):
                 now = now or Writer(fs, f"{root}/ids-{part:06d}-{len(rows):06d}.zst")
                 now.add(doc, ids + closing)
                 if now.ids >= FILE_IDS:

@@ -3,6 +3,7 @@ import zlib
 from array import array
 
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.fs as pafs
 import pytest
 import zstandard
@@ -46,6 +47,17 @@ def test_memory_is_bounded(monkeypatch):
     assert list(encode(texts)) == [array("I", whole.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
 
 
+def test_texts_are_looked_up_by_their_bytes(monkeypatch):
+    """Texts on both sides of a cut, longer than it, or empty, from an Arrow column, of which no text becomes a Python string."""
+    monkeypatch.setattr(token_files, "CALL_BYTES", 50)
+    texts = ["", "one two, three", "x " * 90, "", "Ünder (the) hill's 12,", "one\ntwo", "end."] * 3
+    whole = Tokenizer.from_file(PATH)
+    want = [array("I", whole.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+    encode = token_files.WordEncoder(PATH)
+    assert list(encode(pa.array(texts))) == want and list(encode(pa.array(["skip", *texts]).slice(1))) == want
+    assert list(encode(pa.array([], pa.string()))) == [] == list(encode([])) and list(encode([""])) == [b""]
+
+
 def written(tmp_path, docs):
     fs = pafs.LocalFileSystem()
     w = token_files.Writer(fs, str(tmp_path / "x.zst"))
