@@ -185,12 +185,15 @@ def window_numbers(rows: DataFrame, width: int, held: DataFrame | None = None) -
         rows = rows.join(broadcast_if(fits(held, BROADCAST_ROWS), held), "who", "left").withColumn("us", F.greatest("us", "held_start"))
         seeds = held.select("who", F.col("held_start").alias("us"))
     rows = rows.withColumn("cell", F.floor(F.col("us") / F.lit(width)))
-    starts = _window_starts(rows, width, seeds)
-    own = starts.withColumnRenamed("start", "own")
-    earlier = starts.select("who", (F.col("cell") + 1).alias("cell"), F.col("start").alias("earlier"))
-    placed = rows.join(own, ["who", "cell"], "left").join(earlier, ["who", "cell"], "left")
-    placed = placed.withColumn("start", F.when(F.col("own") <= F.col("us"), F.col("own")).otherwise(F.col("earlier")))
-    numbered = _numbered(placed.withColumn("part", F.floor((F.col("us") - F.col("start")) * PARTS / F.lit(width))))
+    starts = settle(_window_starts(rows, width, seeds))
+    # The start in a cell and that of the cell before, side by side, so that the rows meet them in one join.
+    nothing = F.lit(None).cast("bigint")
+    own = starts.select("who", "cell", F.col("start").alias("own"), nothing.alias("earlier"))
+    earlier = starts.select("who", (F.col("cell") + 1).alias("cell"), nothing.alias("own"), F.col("start").alias("earlier"))
+    around = own.unionByName(earlier).groupBy("who", "cell").agg(F.max("own").alias("own"), F.max("earlier").alias("earlier"))
+    placed = rows.join(around, ["who", "cell"], "left")
+    placed = placed.withColumn("start", F.when(F.col("own") <= F.col("us"), F.col("own")).otherwise(F.col("earlier"))).drop("own", "earlier", "cell")
+    numbered = _numbered(settle(placed.withColumn("part", F.floor((F.col("us") - F.col("start")) * PARTS / F.lit(width)))))
     if held is not None:
         numbered = numbered.withColumn("n", F.col("n") + F.when(F.col("start") == F.col("held_start"), F.col("held_n")).otherwise(0))
     return numbered.select("request_id", "who", "us", "start", "n")

@@ -90,3 +90,16 @@ def test_rate_limit_of_one_client_without_a_pause(spark):
     assert got == want
     plan = audit._jdf.queryExecution().executedPlan().toString()
     assert "Arrow" not in plan and "Python" not in plan
+
+
+def test_window_starts_are_followed_once_and_met_in_one_join(spark, monkeypatch):
+    from citadex.operators import quality as Q
+
+    df = spark.range(400).selectExpr("id AS request_id", "id % 5 AS client", "timestamp_micros(id * 1500000) AS ts")
+    settled, kept = [], Q.settle
+    monkeypatch.setattr(Q, "settle", lambda d: settled.append(d) or kept(d))
+    audit = Q.rate_limit_audit(df, 5, 60.0)
+    assert audit.count() == 400
+    joins = lambda d: d._jdf.queryExecution().analyzed().toString().count("Join ")
+    placed = next(d for d in settled if "part" in d.columns)
+    assert joins(placed) == 1 and joins(audit) == 1
