@@ -68,7 +68,6 @@ def best_k(distances: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray,
     return row[keep], column[keep]
 
 
-def l2(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Rounded L2 distances, (queries, rows)."""
-    squared = (queries**2).sum(1)[:, None] + (rows**2).sum(1)[None, :] - 2.0 * (queries @ rows.T)
-    return np.round(np.sqrt(np.clip(squared, 0.0, None)), 6)
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Rounded L2 distances of the rows of ``a`` from those of ``b``, pair by pair."""
+    return np.round(np.sqrt(((a - b) ** 2).sum(1)), 6)

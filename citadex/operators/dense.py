@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import QUERY_INSTRUCTION, Encoder, best_k, l2, list_column, matrix, normalise
+from ..functions.vectors import QUERY_INSTRUCTION, Encoder, distances, list_column, matrix, normalise
 from ..session import arrow_map
 from ..sizes import BROADCAST_ROWS, broadcast_if, fits
 from .lexical import top_k
@@ -26,6 +26,8 @@ MOST_TASKS = 20_000
 GROUP_NUMBERS = 1 << 22
 #: Distances worked on at a time (8 MB), and the rows in them.
 TILE, TILE_ROWS = 1 << 20, 2048
+#: Pairs measured at a time (6 MB each at 768 dimensions per thousand).
+PAIRS = 1 << 13
 OVERFETCH = 8
 
 
@@ -42,6 +44,9 @@ class _Best:
 
     def __init__(self, query_ids: np.ndarray, queries: np.ndarray, wishes: list[tuple[object, bool]], k: int):
         self.query_ids, self.queries, self.k = query_ids, queries, k
+        # A row's squared distance without the query's own square is one product with these.
+        self.squares = (queries**2).sum(1)
+        self.asking = np.hstack([-2.0 * queries, np.ones((len(queries), 1))])
         groups: dict[tuple[object, bool], list[int]] = {}
         for position, wish in enumerate(wishes):
             groups.setdefault(wish, []).append(position)
@@ -62,21 +67,29 @@ class _Best:
                 some = inside[at : at + TILE_ROWS]
                 step = max(1, TILE // len(some))
                 for first in range(0, len(positions), step):
-                    asked = positions[first : first + step]
-                    self._meet(asked, l2(self.queries[asked], rows[some]), ids[some])
-
-    def _meet(self, asked: np.ndarray, near: np.ndarray, ids: np.ndarray) -> None:
-        """Merge a tile of distances into the best of the queries ``asked``."""
+                    self._meet(positions[first : first + step], rows[some], ids[some])
+
+    def _meet(self, asked: np.ndarray, rows: np.ndarray, ids: np.ndarray) -> None:
+        """Merge a tile of queries ``asked`` and ``rows`` into the best. Only what may be among them is measured, by differences, as
+        products cancel out between vectors that are close."""
+        squares = (rows**2).sum(1)
+        near = self.asking[asked] @ np.column_stack([rows, squares]).T
+        own = self.squares[asked]
+        slack = 1e-12 * (own + squares[np.isfinite(squares)].max(initial=0.0))
+        bound = lambda worst: (worst + 1e-6) ** 2 - own + slack  # distances are rounded to 6 places
         worst = np.where(self.count[asked] == self.k, self.distance[asked, -1], np.inf)
-        row, column = np.nonzero(~(near > worst[:, None]))
+        row, column = np.nonzero(~(near > bound(worst)[:, None]))
         if len(row) > 4 * self.k * len(asked):
-            row, column = best_k(near, ids, self.k)
+            if near.shape[1] > self.k:  # the k nearest of the tile alone, and what ties with them
+                kth = np.sqrt(np.clip(np.partition(near, self.k - 1, axis=1)[:, self.k - 1] + own + slack, 0.0, None))
+                row, column = np.nonzero(~(near > np.fmin(bound(worst), bound(kth))[:, None]))
         if not len(row):
             return
+        measured = np.concatenate([distances(self.queries[asked[row[i : i + PAIRS]]], rows[column[i : i + PAIRS]]) for i in range(0, len(row), PAIRS)])
         touched = np.unique(row)
         held = np.arange(self.k) < self.count[asked[touched]][:, None]
         query = np.concatenate([np.nonzero(held)[0], np.searchsorted(touched, row)])
-        distance = np.concatenate([self.distance[asked[touched]][held], near[row, column]])
+        distance = np.concatenate([self.distance[asked[touched]][held], measured])
         found = np.concatenate([self.ids[asked[touched]][held], ids[column]])
         order = np.lexsort((found, distance, query))
         place = np.arange(len(order)) - np.searchsorted(query[order], query[order])
