@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -54,6 +55,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of what nothing refers to any more, which it does when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows of an Arrow batch; a session that asks for fewer keeps its own number.
 ROWS = 1000
